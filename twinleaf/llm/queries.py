@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from .packing import op8_packing
 from .sharding import op1_sharding
+from .simhash import op4_simhash
 from .token_counts import op10_token_counts
 from .token_store import op3_token_store
 
 
 def queries() -> dict:
     """Query name -> function of (spark, sf_dir)."""
-    return {f.__name__: f for f in (op1_sharding, op3_token_store, op8_packing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_sharding, op3_token_store, op4_simhash, op8_packing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
