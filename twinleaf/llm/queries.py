@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .bpe import op2_bpe
+from .html_text import op6_html
 from .langid import op5_langid
 from .packing import op8_packing
+from .phrases import op7_phrases
 from .quality import OP9_SQL, op9_quality
 from .sharding import op1_sharding
 from .simhash import op4_simhash
@@ -14,7 +16,7 @@ from .token_store import op3_token_store
 
 def queries() -> dict:
     """Query name -> function of (spark, sf_dir)."""
-    return {f.__name__: f for f in (op1_sharding, op2_bpe, op3_token_store, op4_simhash, op5_langid, op8_packing, op9_quality, op10_token_counts)}
+    return {f.__name__: f for f in (op1_sharding, op2_bpe, op3_token_store, op4_simhash, op5_langid, op6_html, op7_phrases, op8_packing, op9_quality, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
