@@ -124,15 +124,11 @@ class BytePairs:
         return [str(ids[s]) if keys[s] == w else " ".join(map(str, merge(w))) for w, s in zip(raw, slots)]
 
     def _encode_pieces(self, pieces: list[str]) -> list[str]:
-        split, words = list(map(self.split, pieces)), self.words
-        words.prepare(w for x in split for w in x)
-        return [" ".join(map(words.__getitem__, x)) for x in split]
+        return list(map(" ".join, self.words.lookup_each(list(map(self.split, pieces)))))
 
     def encode_texts(self, texts: list[str]) -> list[str]:
         """Ids of each text, as decimal numbers with one space between."""
-        cut = list(map(byte_level_pieces, texts))
-        self.pieces.prepare(p for x in cut for p in x)
-        return [" ".join(map(self.pieces.__getitem__, x)) for x in cut]
+        return list(map(" ".join, self.pieces.lookup_each(list(map(byte_level_pieces, texts)))))
 
     def decode(self, ids: str) -> bytes:
         return b"".join(map(self.text_of.__getitem__, ids.split(" "))) if ids else b""

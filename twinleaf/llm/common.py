@@ -63,32 +63,41 @@ def worker_state() -> dict:
     return sys._twinleaf_worker
 
 
-class Memo(dict):
+class Memo:
     """A bounded dictionary of computed values in two generations: when the young one is full it
     becomes the old one, and entries that are met again move back. Losing an entry only costs
     computing it again, so results never depend on the bound."""
 
-    def __init__(self, compute_many, limit: int = 250_000):
-        super().__init__()
-        self.compute_many, self.limit, self.old = compute_many, limit, {}
-
-    def prepare(self, keys) -> None:
-        """Make every key present until the next call."""
-        if len(self) > self.limit:
-            self.old = dict(self)
-            self.clear()
-        missing = [k for k in set(keys) if k not in self]
-        if not missing:
-            return
-        old, fresh = self.old, []
-        for k in missing:
-            v = old.get(k)
-            if v is None:
-                fresh.append(k)
-            else:
-                self[k] = v
-        if fresh:
-            self.update(zip(fresh, self.compute_many(fresh)))
+    def __init__(self, compute_many, limit: int = 150_000):
+        self.compute_many, self.limit, self.young, self.old = compute_many, limit, {}, {}
+
+    def lookup(self, keys: list) -> list:
+        """The value of each key; keys that are new are computed together, each once."""
+        if len(self.young) > self.limit:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        found = list(map(young.get, keys))
+        gaps = [i for i, v in enumerate(found) if v is None]
+        if gaps:
+            fresh = []
+            for k in {keys[i] for i in gaps}:
+                v = old.get(k)
+                if v is None:
+                    fresh.append(k)
+                else:
+                    young[k] = v
+            if fresh:
+                young.update(zip(fresh, self.compute_many(fresh)))
+            for i in gaps:
+                found[i] = young[keys[i]]
+        return found
+
+    def lookup_each(self, groups: list[list]) -> Iterator[list]:
+        """lookup for several lists of keys at once; a list of values for each."""
+        values, at = self.lookup([k for g in groups for k in g]), 0
+        for g in groups:
+            yield values[at : at + len(g)]
+            at += len(g)
 
 
 def batches(rows: Iterator, columns: list[str]) -> Iterator[tuple]:

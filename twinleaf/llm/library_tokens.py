@@ -14,23 +14,28 @@ from .common import Memo, tokenizer_path, worker_state
 
 #: White space outside ASCII, or that libraries disagree about: a text with any of it isn't cut there.
 _ODD_SPACE = re.compile(r"[\x00\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
-_PIECE = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+\Z")
-_WORD = re.compile(r"[^ \t-\r]+")
+#: Letters of which no library's tables disagree; the dotted capital I changes its length in lower case.
+_LATIN = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f"
+_PIECE = re.compile(rf"[ \t-\r]*[{_LATIN}]++(?=[.,!?;:])|[ \t-\r]*[^ \t-\r]+|[ \t-\r]+\Z")
+_WORD = re.compile(rf"[{_LATIN}]++(?=[.,!?;:])|[^ \t-\r]+")
+_ONE_WORD = re.compile(rf" ?[{_LATIN}]+")
 #: Bytes of distinct pieces in one call of the library.
-CALL_BYTES = 1 << 20
+CALL_BYTES = 1 << 18
 
 
 def byte_level_pieces(text: str) -> list[str]:
-    """Cut before runs of ASCII white space: no match holds a non-space followed by a space, and each
-    piece keeps its whole run, so look-ahead sees what it saw in the text. A text with other white
-    space stays whole, as runs could mix both."""
+    """Cut before runs of ASCII white space and between a letter and the punctuation after it.
+
+    No match holds a non-space followed by a space, or a letter followed by punctuation, and each
+    piece keeps its whole run of space, so look-ahead sees what it saw in the text. A text with other
+    white space stays whole, as runs could mix both."""
     return [text] if _ODD_SPACE.search(text) else _PIECE.findall(text)
 
 
 def space_dropped_words(text: str) -> list[str]:
-    """Cut at ASCII white space, for tokenizers that drop white space; normalization to NFC and
-    lower case never joins characters across it."""
-    return _WORD.findall(text) if _ODD_SPACE.search(text) else text.split()
+    """Cut at ASCII white space and between a letter and the punctuation after it, for tokenizers
+    that drop white space; normalization to NFC and lower case never joins characters across it."""
+    return _WORD.findall(text)
 
 
 def call_sizes(pieces: list[str]) -> list[slice]:
@@ -44,22 +49,46 @@ def call_sizes(pieces: list[str]) -> list[slice]:
     return [*out, slice(start, len(pieces))] if start < len(pieces) else out
 
 
-def encoder(file: str, kind: str, folder: str | None = None) -> Memo:
+def byte_alphabet() -> dict[int, str]:
+    """The characters that byte-level models have for bytes: printable ones themselves, the others
+    from U+0100 on, in order."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+def encoder(file: str, kind: str, lower: bool = False, folder: str | None = None) -> Memo:
     """This worker's memo for a tokenizer file: piece -> ids as little-endian unsigned 32-bit
-    integers (kind "ids") or their number (kind "count")."""
+    integers (kind "ids") or their number (kind "count").
+
+    Pieces that are one Latin word go to the library's model as they are, mapped to its byte
+    alphabet (lower: in lower case); the others go through all of its steps."""
     key, state = ("library", file, kind, folder), worker_state()
     if key not in state:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import numpy as np
+        from array import array
+
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(os.path.join(folder, file) if folder else tokenizer_path(file))
+        one_word, tokenize, table = _ONE_WORD.fullmatch, library.model.tokenize, byte_alphabet()
+        pack = len if kind == "count" else lambda ids: array("I", ids).tobytes()
 
         def compute(pieces: list[str]) -> list:
-            out = []
-            for part in call_sizes(pieces):
-                found = library.encode_batch(pieces[part], add_special_tokens=False)
-                out += [len(e) for e in found] if kind == "count" else [np.array(e.ids, "<u4").tobytes() for e in found]
+            out: list = [None] * len(pieces)
+            rest = []
+            for i, p in enumerate(pieces):
+                if one_word(p):
+                    word = p.lower() if lower else p
+                    if not word.isascii() or word[0] == " ":
+                        word = word.encode().decode("latin-1").translate(table)
+                    out[i] = pack([t.id for t in tokenize(word)])
+                else:
+                    rest.append(i)
+            for part in call_sizes([pieces[i] for i in rest]):
+                at = rest[part]
+                for i, e in zip(at, library.encode_batch([pieces[i] for i in at], add_special_tokens=False)):
+                    out[i] = pack(e.ids)
             return out
 
         state[key] = Memo(compute)

@@ -75,15 +75,13 @@ def pack_documents(
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
     def pack(rows):
-        memo, bins = encoder(file, "ids", folder), BestFit(capacity, max_open)
+        memo, bins = encoder(file, "ids", True, folder), BestFit(capacity, max_open)
         base, end = TaskContext.get().partitionId() << 32, end_id.to_bytes(4, "little")
         for doc_ids, texts in batches(rows, ["doc_id", "text"]):
             out, kept = [], []
             for part in grouped(texts):
-                words = [space_dropped_words(texts[i]) for i in part]
-                memo.prepare(w for x in words for w in x)
-                for i, x in zip(part, words):
-                    ids = b"".join(map(memo.__getitem__, x)) + end
+                for i, x in zip(part, memo.lookup_each([space_dropped_words(texts[i]) for i in part])):
+                    ids = b"".join(x) + end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         piece = ids[at : at + 4 * capacity]
                         found, offset = bins.place(len(piece) // 4)

@@ -34,13 +34,11 @@ def count_tokens(docs: DataFrame, file: str = "byte_bpe_50k.json", limit: int =
     bound_batches(docs.sparkSession)
 
     def count(rows):
-        memo = encoder(file, "count", folder)
+        memo = encoder(file, "count", folder=folder)
         for ids, sizes, texts in batches(rows, ["doc_id", "n_bytes", "text"]):
             out = []
             for part in grouped(texts):
-                pieces = [byte_level_pieces(texts[i]) for i in part]
-                memo.prepare(p for x in pieces for p in x)
-                out += [sum(map(memo.__getitem__, x)) for x in pieces]
+                out += map(sum, memo.lookup_each([byte_level_pieces(texts[i]) for i in part]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(out, pa.int64()), pa.array([n > limit for n in out], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))

@@ -137,7 +137,7 @@ def write_store(docs: DataFrame, path: str, file: str = "byte_bpe_50k.json", end
     bound_batches(docs.sparkSession)
 
     def write(rows):
-        memo, end, part = encoder(file, "ids", folder), end_id.to_bytes(4, "little"), TaskContext.get().partitionId()
+        memo, end, part = encoder(file, "ids", folder=folder), end_id.to_bytes(4, "little"), TaskContext.get().partitionId()
         names, held, size, shard, start = [], [], 0, 0, 0
 
         def flush():
@@ -148,10 +148,8 @@ def write_store(docs: DataFrame, path: str, file: str = "byte_bpe_50k.json", end
 
         for doc_ids, texts in batches(rows, ["doc_id", "text"]):
             for group in grouped(texts):
-                pieces = [byte_level_pieces(texts[i]) for i in group]
-                memo.prepare(p for x in pieces for p in x)
-                for i, x in zip(group, pieces):
-                    ids = b"".join(map(memo.__getitem__, x)) + end
+                for i, x in zip(group, memo.lookup_each([byte_level_pieces(texts[i]) for i in group])):
+                    ids = b"".join(x) + end
                     if held and size + len(ids) // 4 > SHARD_TOKENS:
                         yield flush()
                     names.append(doc_ids[i])
