@@ -158,7 +158,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row beside the next one in ascending doc_id (after the last one: the first): _ROW.
 
-    Null ids come first, equal ids are ordered by their text. Null texts are empty. The texts are
+    Null ids come first, equal ids are ordered by the hash of their text (and the text). Null texts are empty. The texts are
     dealt out by ranges of doc_id and sorted; a task compares each row with the next it reads. Only
     the first and the last row of each task wait for a join, in which every task has one pair."""
     spark = docs.sparkSession

@@ -132,7 +132,7 @@ class Shard:
 def write_store(docs: DataFrame, path: str, file: str = "byte_bpe_50k.json", end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> None:
     """Encode every whole text, append end_id, and write shards in ascending order of doc_id.
 
-    Null ids come first; equal ids are ordered by their text. Null and empty texts have end_id alone.
+    Null ids come first; equal ids are ordered by the hash of their text (and the text). Null and empty texts have end_id alone.
     Texts are shuffled once, by range, and encoded after it; a worker holds one shard at a time."""
     bound_batches(docs.sparkSession)
 
