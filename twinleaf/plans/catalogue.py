@@ -1,13 +1,386 @@
-"""Registered queries of the engine and their DuckDB equivalents."""
+"""Registered queries of the engine and their DuckDB equivalents.
+
+The given tables hold no Chinese and no Markdown, so blocks are the lines of documents and the
+translation of a block is made by the same rule in both engines.
+"""
 
 from __future__ import annotations
 
+import json
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.text import fold_space, is_blank, numbers, word_count
+from ..operators import artifact, assemble, blocks, chunks, glossary, mining, rules
+from ..sources import journal
+
+
+def _table(spark, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _lines(spark, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    return blocks.lines_as_blocks(docs)
+
+
+def block_ids(spark, sf_dir):
+    return _lines(spark, sf_dir).select("book", "chapter", F.col("seq").cast("long").alias("seq"), "id")
+
+
+def word_token_counts(spark, sf_dir):
+    rows = _lines(spark, sf_dir).groupBy("lang", "book").agg(F.count("*").alias("blocks"), F.sum(word_count(F.col("text"))).alias("words"), F.count_distinct("id").alias("ids"))
+    return rows.withColumn("est_tokens", chunks.estimate(F.col("words"), F.col("blocks")))
+
+
+def block_kinds(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.regexp_replace("html", "<li>", "\n- "), "<h[1-6]>", "\n# ").alias("src"))
+    lines = pages.select("page_id", F.explode(F.split("src", "\n")).alias("line")).where(~is_blank(F.col("line")))
+    return lines.select("page_id", blocks.kind_of(F.array("line")).alias("kind")).groupBy("page_id", "kind").agg(F.count("*").alias("n"))
+
+
+def markdown_blocks(spark, sf_dir):
+    """Documents as Markdown books: each document a chapter heading, its lines paragraphs."""
+    return _book(spark, sf_dir).select("book", "seq", "kind", "level", "chapter", "id")
+
+
+def _book(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    body = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~is_blank(x)), "\n\n")
+    part = F.concat(F.lit("# Part "), F.col("doc_id").cast("string"), F.lit("\n\n"), body)
+    books = docs.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", part.alias("p")))).alias("p"))
+    return blocks.parse_markdown(books.select(F.col("source").alias("book"), F.array_join(F.transform("p", lambda x: x["p"]), "\n\n").alias("src")))
+
+
+def _documents_as_blocks(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return docs.select(F.col("source").alias("book"), F.col("source").alias("chapter"), F.col("doc_id").alias("seq"), F.lit("para").alias("kind"), F.lit(0).alias("level"), F.col("text"), F.col("doc_id").cast("string").alias("id"))
+
+
+def chunk_plan(spark, sf_dir):
+    packed = chunks.pack(_documents_as_blocks(spark, sf_dir))
+    return packed.select("book", F.col("seq").alias("doc_id"), F.col("words").cast("long").alias("words"), F.col("chunk_no").cast("long").alias("chunk_no"), "oversized")
+
+
+def chunk_manifest(spark, sf_dir):
+    plan = chunks.manifest(chunks.chunk_document(_documents_as_blocks(spark, sf_dir)))
+    return plan.select("chapter", "chunk_id", F.array_join("block_ids", ",").alias("block_ids"), F.col("word_count").cast("long").alias("word_count"), F.col("estimated_output_tokens").cast("long").alias("est_tokens"), "oversized")
+
+
+def chunk_summary(spark, sf_dir):
+    s = chunks.summarize(chunks.chunk_document(_documents_as_blocks(spark, sf_dir)))
+    return s.select("book", "chunks", F.col("words").cast("long").alias("words"), "tokens", "largest_chunk", F.col("largest_words").cast("long").alias("largest_words"), "oversized")
+
+
+def chunk_context(spark, sf_dir):
+    turns = _table(spark, sf_dir, "conversations")
+    run = Window.partitionBy("conv_id").orderBy("turn")
+    before = F.array_join(F.collect_list(F.col("turn").cast("string")).over(run.rowsBetween(-2, -1)), ",")
+    return turns.select("conv_id", "turn", before.alias("prev_turns"), F.lead("turn").over(run).alias("next_turn"))
+
+
+def _journal(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    return e.select(F.col("user_id").cast("string").alias("chunk_id"), F.col("event_id").alias("line_no"), F.col("event_type").alias("status"), "props")
+
+
+def last_record_wins(spark, sf_dir):
+    return journal.last_records(_journal(spark, sf_dir)).select("chunk_id", "line_no", "status", "props")
+
+
+def cost_rollup(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    cost = F.coalesce(F.expr("try_cast(get_json_object(props, '$.k') AS bigint)"), F.lit(0))
+    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(cost).alias("cost"))
+
+
+def reconcile_state(spark, sf_dir):
+    """Orders as state (block ids 1 and 2 or fewer), events as journal with the blocks they hold."""
+    o, e = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "events")
+    status = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "pending").otherwise("failed")
+    blocks_of = F.transform(F.sequence(F.lit(1), (F.col("o_orderkey") % 2 + 1).cast("int")), lambda i: i.cast("string"))
+    none = F.create_map().cast("map<string,string>")
+    state = o.select(F.col("o_orderkey").cast("string").alias("chunk_id"), blocks_of.alias("block_ids"), status.alias("status"), F.lit(3).alias("attempts"), none.alias("usage"), F.lit("").alias("error"), F.lit("").alias("updated_at"))
+    held = F.transform(F.sequence(F.lit(1), (F.col("event_id") % 3 + 1).cast("int")), lambda i: i.cast("string"))
+    log = e.select(F.col("user_id").cast("string").alias("chunk_id"), F.map_from_arrays(held, held).alias("translations"), F.lit(1).alias("attempts"), none.alias("usage"), F.col("event_id").alias("line_no"))
+    done = journal.reconcile(state, journal.last_records(log))
+    return done.select("chunk_id", "status", F.col("attempts").cast("long").alias("attempts"), (F.col("error") != "").alias("inconsistent"))
+
+
+def journal_unknown(spark, sf_dir):
+    plan = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("chunk_id"))
+    return journal.unknown_records(_journal(spark, sf_dir), plan).groupBy("chunk_id").agg(F.count("*").alias("n"))
+
+
+def _doc_pairs(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("id"), F.lit("para").alias("kind"), "text")
+    said = _table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("block_id"), F.when(F.col("quality") == 1, "ok").otherwise(" ").alias("zh"))
+    return docs, said
+
+
+def aligned_pairs(spark, sf_dir):
+    docs, said = _doc_pairs(spark, sf_dir)
+    return assemble.aligned(docs, said).select("id", "zh")
+
+
+def missing_translations(spark, sf_dir):
+    docs, said = _doc_pairs(spark, sf_dir)
+    return assemble.missing(docs, said).select("id")
+
+
+def stale_translations(spark, sf_dir):
+    docs, _ = _doc_pairs(spark, sf_dir)
+    said = _table(spark, sf_dir, "embeddings").select((F.col("vec_id") * 3).cast("string").alias("block_id"), F.lit("x").alias("zh"))
+    return assemble.stale(docs, said).select("block_id")
+
+
+def _turn_pairs(spark, sf_dir):
+    c = _table(spark, sf_dir, "conversations")
+    user = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("user_text"))
+    said = c.where("role = 'assistant'").select(F.col("conv_id").alias("_c"), (F.col("turn") - 1).alias("_t"), F.col("text").alias("assistant_text"))
+    return user.join(said, (F.col("conv_id") == F.col("_c")) & (F.col("turn") == F.col("_t"))).drop("_c", "_t")
+
+
+def number_multiset_diff(spark, sf_dir):
+    """Number tokens of a document that the next document (by id) lacks, with how many."""
+    d = _table(spark, sf_dir, "documents").select("doc_id", numbers(F.col("text")).alias("n"))
+    other = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("n").alias("m"))
+    lacking = d.join(other, "doc_id").where("size(n) > 0")
+    return lacking.select("doc_id", F.explode(rules.bag_minus(F.col("n"), F.col("m"))).alias("x")).select("doc_id", "x.token", F.col("x.n").cast("long").alias("missing"))
+
+
+def bag_overlap(spark, sf_dir):
+    return _turn_pairs(spark, sf_dir).select("conv_id", "turn", F.round(rules.overlap_ratio(F.col("user_text"), F.col("assistant_text")), 6).alias("overlap"))
+
+
+def duplicate_source(spark, sf_dir):
+    """Equal lines, their source as translation: groups with two or more."""
+    lines = _lines(spark, sf_dir).select("id", "text", F.col("book").alias("zh"))
+    d = rules.duplicate_sources(lines)
+    return d.select("source", "n_blocks", F.size("variants").cast("long").alias("n_variants"), F.get("variants", F.lit(0))["translation"].alias("first_variant"))
+
+
+def candidate_phrases(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    ascii_lines = docs.where(~F.col("line").rlike(r"[^\x00-\x7f]"))
+    return mining.candidate_phrases(ascii_lines, text="line", position=["doc_id", "n"]).select(F.col("key").alias("phrase"), "n")
+
+
+#: Senses for the queries: frequent words, one of them with an alias in capitals, one no more than a candidate.
+SENSES = [(f"s{i:02d}", w, f"译{i}", ["THE"] if w == "In" else [], "approved" if i != 4 else "candidate") for i, w in enumerate(["the", "tion", "and the", "In", "ea", "erth", "of the", "thanedble"])]
+
+
+def _senses(spark, sf_dir):
+    rows = SENSES
+    return glossary.complete(spark.createDataFrame(rows, "id string, surface string, zh string, surface_aliases array<string>, status string"))
+
+
+def term_hits(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.col("text"))
+    plain = docs.where(~F.col("text").rlike(r"[^\x00-\x7f]"))
+    return glossary.hits(plain, _senses(spark, sf_dir), ["doc_id"]).groupBy("id").agg(F.count("*").alias("n_docs"), F.sum("doc_id").alias("doc_id_sum"))
+
+
+def pseudo(text: Column, doc_id: Column) -> Column:
+    """A translation by rule: nothing, an echo, a leaked tag, another script, or plain filler."""
+    k = doc_id % 5
+    return F.when(k == 0, "  ").when(k == 1, text).when(k == 2, F.concat(F.lit("<thinking>"), text)).when(k == 3, F.concat(text, F.lit(" Ж"))).otherwise("译文")
+
+
+def quality_rules(spark, sf_dir):
+    """Findings by rule over lines with translations by rule."""
+    lines = _lines(spark, sf_dir)
+    pairs = lines.select("id", F.lit("para").alias("kind"), "text", pseudo(F.col("text"), F.col("chapter").cast("long")).alias("zh"))
+    wanted = ("empty", "foreign_script", "tag_leak", "residual_en", "suspicious_short")
+    return rules.pair_findings(pairs).where(F.col("rule").isin(*wanted)).groupBy("rule", "severity").agg(F.count("*").alias("n"), F.count_distinct("id").alias("blocks"))
+
+
+def verification_report(spark, sf_dir):
+    lines = _lines(spark, sf_dir)
+    pairs = lines.select("id", "chapter", F.lit("para").alias("kind"), "text", pseudo(F.col("text"), F.col("chapter").cast("long")).alias("zh"))
+    found = rules.pair_findings(pairs).where("rule IN ('empty', 'tag_leak', 'foreign_script')").withColumnRenamed("id", "block_id")
+    return rules.report(found, ["chapter"]).select("chapter", "errors", "warnings", "ok", F.size("retry").cast("long").alias("n_retry"))
+
+
+def forbidden_terms(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").where("lang = 'en'").where(~F.col("text").rlike(r"[^\x00-\x7f]"))
+    pairs = docs.select(F.col("doc_id").cast("string").alias("id"), F.lit("para").alias("kind"), "text", F.when(F.col("doc_id") % 2 == 0, "用词乙").otherwise("用词甲").alias("zh"))
+    senses = spark.createDataFrame([("a", "tion", "甲", ["乙"], "approved"), ("b", "erth", "乙", [], "approved")], "id string, surface string, zh string, forbidden_zh array<string>, status string")
+    return rules.glossary_findings(pairs, senses).groupBy("rule").agg(F.count("*").alias("n"), F.sum(F.col("block_id").cast("long")).alias("id_sum"))
+
+
+def _posts(spark, sf_dir):
+    t = _turn_pairs(spark, sf_dir).withColumn("idx", F.col("conv_id") * 1000 + F.col("turn"))
+    tokens = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z]+"), lambda w: F.length(w) >= 4))
+    return t, t.select("idx", F.explode(tokens("user_text")).alias("term")), t.select("idx", F.explode(tokens("assistant_text")).alias("token"))
+
+
+def association_lift(spark, sf_dir):
+    t, left, right = _posts(spark, sf_dir)
+    found = mining.associations(left, right, t.agg(F.count("*").alias("n")))
+    return found.select("term", "token", "n", "n_term", "n_token", F.round("lift", 6).alias("lift"))
+
+
+def top_k_variants(spark, sf_dir):
+    lines = _lines(spark, sf_dir).groupBy("book", fold_space(F.col("text")).alias("line")).agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("book").orderBy(F.desc("n"), "line"))
+    return lines.withColumn("r", rank).where("r <= 5").select("book", "line", "n", F.col("r").cast("long").alias("r"))
+
+
+def glossary_merge(spark, sf_dir):
+    """Regions, nations and parts as three layers over ids that overlap."""
+    r = _table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("string").alias("id"), F.col("r_name").alias("surface"), F.col("r_name").alias("zh"))
+    n = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("surface"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).otherwise("REGION").alias("zh"), F.lit("nation").alias("decision"))
+    p = _table(spark, sf_dir, "part").where("p_partkey < 40").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("surface"), F.col("p_brand").alias("zh"), F.lit("part").alias("decision"))
+    merged = glossary.merge_layers(r, n, p)
+    return merged.select("id", "surface", "zh", "layer", F.array_join("overrides", "|").alias("overrides"))
+
+
+def glossary_freeze(spark, sf_dir):
+    return glossary.freeze(_senses(spark, sf_dir)).select("id", "surface", "zh", "version")
+
+
+def assembled_md(spark, sf_dir):
+    """Conversations as chapters: a user turn is a block, the assistant's answer its translation."""
+    t = _turn_pairs(spark, sf_dir)
+    ids = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    b = t.select(F.lit("conv").alias("book"), F.col("conv_id").cast("string").alias("chapter"), F.col("turn").alias("seq"), F.lit("para").alias("kind"), F.lit(0).alias("level"), F.col("user_text").alias("text"), ids.alias("id"))
+    said = t.where("turn % 4 = 0").select(ids.alias("block_id"), F.col("assistant_text").alias("zh"))
+    return assemble.assemble(b, said).select("chapter", "markdown", "written", F.size("missing").cast("long").alias("n_missing"))
+
+
+def artifact_checks(spark, sf_dir):
+    """Findings on assembled conversations: unanswered turns are missing marks."""
+    t = _turn_pairs(spark, sf_dir)
+    ids = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    b = t.select(F.lit("conv").alias("book"), F.col("conv_id").cast("string").alias("chapter"), F.col("turn").alias("seq"), F.lit("para").alias("kind"), F.lit(0).alias("level"), F.col("user_text").alias("text"), ids.alias("id"))
+    said = t.where("turn % 4 = 0").select(ids.alias("block_id"), F.col("assistant_text").alias("zh"))
+    return artifact.verify_artifacts(b, said, assemble.assemble(b, said)).groupBy("rule").agg(F.count("*").alias("n"), F.count_distinct("chapter").alias("chapters"))
+
+
+def html_heading_links(spark, sf_dir):
+    p = _table(spark, sf_dir, "pages")
+    heads, links = F.regexp_extract_all("html", F.lit(r"<h[1-6]>"), F.lit(0)), F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), F.lit(1))
+    return p.select("page_id", F.size(heads).cast("long").alias("headings"), F.size(links).cast("long").alias("links"), F.array_join(links, " ").alias("targets"))
+
 
 def queries() -> dict:
     """Query name -> function of (spark, sf_dir)."""
-    return {}
+    found = (
+        block_ids, word_token_counts, block_kinds, markdown_blocks, chunk_plan, chunk_manifest, chunk_summary, chunk_context, last_record_wins,
+        cost_rollup, reconcile_state, journal_unknown, aligned_pairs, missing_translations, stale_translations, number_multiset_diff, bag_overlap,
+        duplicate_source, candidate_phrases, term_hits, quality_rules, verification_report, forbidden_terms, association_lift, top_k_variants,
+        glossary_merge, glossary_freeze, assembled_md, artifact_checks, html_heading_links,
+    )
+    return {f.__name__: f for f in found}
+
+
+_LINES = """lines AS (SELECT doc_id, lang, source AS book, doc_id::VARCHAR AS chapter, i - 1 AS seq, ln AS text,
+    array_to_string(list_filter(string_split_regex(ln, '\\s+'), lambda x: x <> ''), ' ') AS norm
+  FROM (SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS ln, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
+  WHERE regexp_matches(ln, '\\S')),
+ids AS (SELECT *, row_number() OVER (PARTITION BY book, chapter, norm ORDER BY seq) - 1 AS occ FROM lines),
+b AS (SELECT *, book || '/' || chapter || '/§' || substr(sha256(book || chr(0) || chapter || chr(0) || norm || CASE WHEN occ > 0 THEN chr(0) || '#' || occ ELSE '' END), 1, 8) AS id,
+    len(list_filter(string_split_regex(norm, ' '), lambda x: x <> '')) AS words FROM ids)"""
+_PSEUDO = "CASE chapter::BIGINT % 5 WHEN 0 THEN '  ' WHEN 1 THEN text WHEN 2 THEN '<thinking>' || text WHEN 3 THEN text || ' Ж' ELSE '译文' END"
+_TURNS = """t AS (SELECT u.conv_id, u.turn, u.text AS user_text, a.text AS assistant_text FROM conversations u
+  JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')"""
+_PACK = """d AS (SELECT source AS book, doc_id, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS w,
+  row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents),
+p(book, doc_id, w, rn, no, cw, n) AS (
+  SELECT book, doc_id, w, rn, 1, CASE WHEN w > 1800 OR floor(w * 1.8) + 40 > 8192 THEN 0 ELSE w END, CASE WHEN w > 1800 OR floor(w * 1.8) + 40 > 8192 THEN 0 ELSE 1 END FROM d WHERE rn = 1
+  UNION ALL
+  SELECT d.book, d.doc_id, d.w, d.rn,
+    CASE WHEN d.w > 1800 OR p.n = 0 OR p.cw + d.w > 1500 OR floor((p.cw + d.w) * 1.8) + 40 * (p.n + 1) > 8192 THEN p.no + 1 ELSE p.no END,
+    CASE WHEN d.w > 1800 THEN 0 WHEN p.n = 0 OR p.cw + d.w > 1500 OR floor((p.cw + d.w) * 1.8) + 40 * (p.n + 1) > 8192 THEN d.w ELSE p.cw + d.w END,
+    CASE WHEN d.w > 1800 THEN 0 WHEN p.n = 0 OR p.cw + d.w > 1500 OR floor((p.cw + d.w) * 1.8) + 40 * (p.n + 1) > 8192 THEN 1 ELSE p.n + 1 END
+  FROM p JOIN d ON d.book = p.book AND d.rn = p.rn + 1)"""
+_MANIFEST = """m AS (SELECT book AS chapter, book || '/c' || CASE WHEN no < 10 THEN '0' ELSE '' END || no AS chunk_id, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS block_ids,
+  sum(w)::BIGINT AS word_count, floor(sum(w) * 1.8)::BIGINT + 40 * count(*) AS est_tokens, bool_or(w > 1800) AS oversized, min(doc_id) AS first_doc FROM p GROUP BY book, no)"""
+_NUM = """n AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '(\\s)', '\\1\\1', 'g'), '(?:^|[^A-Za-z0-9_-])(\\d+(?:[.,]\\d+)*)(?:$|[^A-Za-z0-9_-])', 1)) AS tok FROM documents),
+c AS (SELECT doc_id, regexp_replace(regexp_replace(tok, ',', '', 'g'), '\\s', '', 'g') AS token, count(*) AS k FROM n GROUP BY 1, 2)"""
 
 
 def oracle_sql() -> dict[str, str]:
     """Query name -> DuckDB SQL."""
-    return {}
+    word = "regexp_extract_all(lower({}), '[a-z]+(?:[''’-][a-z]+)?')"
+    hit = lambda form: f"regexp_matches(text, '(?i)(?:^|[^A-Za-z0-9_]){form}(?:s|es)?(?:$|[^A-Za-z0-9_])')"
+    terms = ["the", "tion", "and\\s+the", None, None, "erth", "of\\s+the", "thanedble"]
+    hits = " UNION ALL ".join(f"SELECT 's{i:02d}' AS id, doc_id FROM a WHERE {hit(f)}" for i, f in enumerate(terms) if f)
+    hits += " UNION ALL SELECT 's03', doc_id FROM a WHERE " + hit("In") + " OR regexp_matches(text, '(?:^|[^A-Za-z0-9_])THE(?:s|es)?(?:$|[^A-Za-z0-9_])')"
+    posts = """l AS (SELECT DISTINCT conv_id * 1000 + turn AS idx, unnest(list_filter(string_split_regex(lower(user_text), '[^a-z]+'), lambda w: length(w) >= 4)) AS term FROM t),
+r AS (SELECT DISTINCT conv_id * 1000 + turn AS idx, unnest(list_filter(string_split_regex(lower(assistant_text), '[^a-z]+'), lambda w: length(w) >= 4)) AS token FROM t)"""
+    quoted = lambda pattern: pattern.replace("'", "''")
+    bare = f"regexp_replace(text, '{quoted(rules.BULLET)}', '')"
+    reference = "(" + " OR ".join(f"regexp_matches({bare}, '{quoted(p)}')" for p in (rules.ENDNOTE, rules.BIBLIOGRAPHY, rules.AUTHOR_TITLE, rules.ORGANIZATION_TITLE)) + ")"
+    frozen = [{"id": i, "surface": w, "zh": zh, "parent": "", "author": "", "first_use": "", "surface_aliases": al, "aliases_zh": [], "forbidden_zh": [], "status": st} for i, w, zh, al, st in SENSES if st == "approved"]
+    version = "substr(sha256('" + json.dumps(frozen, ensure_ascii=False, sort_keys=True) + "'), 1, 16)"
+    return {
+        "block_ids": f"WITH {_LINES} SELECT book, chapter, seq::BIGINT AS seq, id FROM b",
+        "word_token_counts": f"WITH {_LINES} SELECT lang, book, count(*) AS blocks, sum(words)::BIGINT AS words, count(DISTINCT id) AS ids, floor(sum(words) * 1.8)::BIGINT + 40 * count(*) AS est_tokens FROM b GROUP BY lang, book",
+        "block_kinds": """WITH l AS (SELECT page_id, unnest(string_split(regexp_replace(regexp_replace(html, '<li>', chr(10) || '- ', 'g'), '<h[1-6]>', chr(10) || '# ', 'g'), chr(10))) AS line FROM pages)
+SELECT page_id, CASE WHEN regexp_matches(line, '^\\s*```') THEN 'code' WHEN regexp_matches(line, '^\\s*!\\[') THEN 'image' WHEN regexp_matches(line, '^\\s*#{1,6}\\s') THEN 'heading'
+  WHEN regexp_matches(line, '^\\s*((\\*\\s*){3,}|(-\\s*){3,}|(_\\s*){3,})$') THEN 'rule' WHEN regexp_matches(line, '^\\s*([-*+]\\s+)?\\[[^\\]]*\\]\\(#[^)]*\\)\\s*$') THEN 'toc'
+  WHEN regexp_matches(line, '^\\s*>') THEN 'quote' WHEN regexp_matches(line, '^\\s*([-*+]|\\d+[.)])\\s+') THEN 'list' WHEN regexp_matches(line, '^\\s*\\|') THEN 'table' ELSE 'para' END AS kind,
+  count(*) AS n FROM l WHERE regexp_matches(line, '\\S') GROUP BY 1, 2""",
+        "markdown_blocks": f"""WITH {_LINES}, a AS (SELECT book, doc_id, 'part-' || chapter AS chapter, seq + 1 AS s, 'para' AS kind, 0 AS level, norm FROM lines
+  UNION ALL SELECT source, doc_id, 'part-' || doc_id, 0, 'heading', 1, '# Part ' || doc_id FROM documents),
+o AS (SELECT *, row_number() OVER (PARTITION BY book, chapter, norm ORDER BY s) - 1 AS occ, row_number() OVER (PARTITION BY book ORDER BY doc_id, s) AS seq FROM a)
+SELECT book, seq, kind, level, chapter, book || '/' || chapter || '/§' || substr(sha256(book || chr(0) || chapter || chr(0) || norm || CASE WHEN occ > 0 THEN chr(0) || '#' || occ ELSE '' END), 1, 8) AS id FROM o""",
+        "glossary_freeze": "SELECT id, surface, zh, " + version + " AS version FROM (VALUES " + ", ".join(f"('{x['id']}', '{x['surface']}', '{x['zh']}')" for x in frozen) + ") AS v(id, surface, zh)",
+        "artifact_checks": f"WITH {_TURNS}, m AS (SELECT DISTINCT conv_id FROM t WHERE turn % 4 <> 0) SELECT 'artifact.missing' AS rule, count(*) AS n, count(*) AS chapters FROM m",
+        "chunk_plan": f"WITH RECURSIVE {_PACK} SELECT book, doc_id, w::BIGINT AS words, no::BIGINT AS chunk_no, w > 1800 AS oversized FROM p",
+        "chunk_manifest": f"WITH RECURSIVE {_PACK}, {_MANIFEST} SELECT chapter, chunk_id, block_ids, word_count, est_tokens, oversized FROM m",
+        "chunk_summary": f"WITH RECURSIVE {_PACK}, {_MANIFEST} SELECT chapter AS book, count(*) AS chunks, sum(word_count)::BIGINT AS words, sum(est_tokens)::BIGINT AS tokens, arg_max(chunk_id, word_count * 1000000000 - first_doc) AS largest_chunk, max(word_count) AS largest_words, count(*) FILTER (oversized) AS oversized FROM m GROUP BY chapter",
+        "chunk_context": """SELECT conv_id, turn, array_to_string(coalesce(list(turn::VARCHAR) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), []), ',') AS prev_turns,
+  lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next_turn FROM conversations""",
+        "last_record_wins": "SELECT user_id::VARCHAR AS chunk_id, max(event_id) AS line_no, arg_max(event_type, event_id) AS status, arg_max(props, event_id) AS props FROM events GROUP BY user_id",
+        "cost_rollup": "SELECT event_type, count(*) AS n, sum(coalesce(try_cast(json_extract_string(props, '$.k') AS BIGINT), 0))::BIGINT AS cost FROM events GROUP BY event_type",
+        "reconcile_state": """WITH r AS (SELECT user_id, max(event_id) % 3 + 1 AS got FROM events GROUP BY user_id),
+j AS (SELECT o_orderkey, o_orderkey % 2 + 1 AS want, got, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'pending' ELSE 'failed' END AS s FROM orders LEFT JOIN r ON user_id = o_orderkey)
+SELECT o_orderkey::VARCHAR AS chunk_id, CASE WHEN want = got THEN 'done' WHEN s = 'done' THEN 'failed' ELSE s END AS status,
+  (CASE WHEN want = got AND s <> 'done' THEN 1 WHEN coalesce(want <> got, true) AND s = 'done' THEN 0 ELSE 3 END)::BIGINT AS attempts, coalesce(want <> got, true) AND s = 'done' AS inconsistent FROM j""",
+        "journal_unknown": "SELECT user_id::VARCHAR AS chunk_id, count(*) AS n FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer) GROUP BY user_id",
+        "aligned_pairs": "SELECT d.doc_id::VARCHAR AS id, 'ok' AS zh FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality = 1",
+        "missing_translations": "SELECT doc_id::VARCHAR AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)",
+        "stale_translations": "SELECT (vec_id * 3)::VARCHAR AS block_id FROM embeddings WHERE vec_id * 3 NOT IN (SELECT doc_id FROM documents)",
+        "number_multiset_diff": f"WITH {_NUM} SELECT a.doc_id, a.token, (a.k - coalesce(o.k, 0))::BIGINT AS missing FROM c a JOIN documents x ON x.doc_id = a.doc_id + 1 LEFT JOIN c o ON o.doc_id = a.doc_id + 1 AND o.token = a.token WHERE a.k > coalesce(o.k, 0)",
+        "bag_overlap": f"""WITH {_TURNS}, u AS (SELECT conv_id, turn, unnest({word.format("user_text")}) AS w FROM t), a AS (SELECT conv_id, turn, unnest({word.format("assistant_text")}) AS w FROM t),
+uc AS (SELECT conv_id, turn, w, count(*) AS k FROM u GROUP BY ALL), ac AS (SELECT conv_id, turn, w, count(*) AS k FROM a GROUP BY ALL),
+s AS (SELECT uc.conv_id, uc.turn, sum(least(uc.k, coalesce(ac.k, 0))) / sum(uc.k) AS x FROM uc LEFT JOIN ac ON ac.conv_id = uc.conv_id AND ac.turn = uc.turn AND ac.w = uc.w GROUP BY 1, 2)
+SELECT t.conv_id, t.turn, round(coalesce(x, 0)::DOUBLE, 6) AS overlap FROM t LEFT JOIN s ON s.conv_id = t.conv_id AND s.turn = t.turn""",
+        "duplicate_source": f"""WITH {_LINES}, c AS (SELECT norm, book, count(*) AS n FROM lines GROUP BY 1, 2),
+f AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY n DESC, book) AS r FROM c)
+SELECT norm AS source, sum(n)::BIGINT AS n_blocks, count(*) AS n_variants, max(book) FILTER (r = 1) AS first_variant FROM f GROUP BY norm HAVING count(*) > 1""",
+        "candidate_phrases": """WITH l AS (SELECT unnest(string_split(text, chr(10))) AS ln FROM documents),
+m AS (SELECT unnest(regexp_extract_all(ln, '\\b(?:The|A|An|[A-Z][a-z]+)(?:\\s+(?:of|the|and|to|for|in|on|with|[A-Z][a-z]+)){1,6}\\b')) AS p FROM l WHERE NOT regexp_matches(ln, '[^\\x00-\\x7f]')),
+k AS (SELECT lower(regexp_replace(regexp_replace(p, '\\s+', ' ', 'g'), '^(?:The|A|An) ', '')) AS phrase FROM m)
+SELECT phrase, count(*) AS n FROM k WHERE contains(phrase, ' ') GROUP BY phrase HAVING count(*) >= 3""",
+        "term_hits": f"WITH a AS (SELECT doc_id, text FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7f]')), h AS ({hits}) SELECT id, count(*) AS n_docs, sum(doc_id)::BIGINT AS doc_id_sum FROM h GROUP BY id",
+        "quality_rules": f"""WITH {_LINES}, z AS (SELECT id, text, {_PSEUDO} AS zh, chapter::BIGINT % 5 AS k, len(regexp_extract_all(text, '[A-Za-z]+(?:[''’-][A-Za-z]+)?')) AS w, {reference} AS ref,
+  len(regexp_extract_all(text, '[A-Za-z]+(?:[''’-][A-Za-z]+)?')) >= 20 AND length(text) - length(replace(text, ',', '')) >= 8
+    AND len(list_filter(regexp_extract_all(text, '[A-Za-z]+(?:[''’-][A-Za-z]+)?'), lambda x: regexp_matches(x, '^[A-Z]'))) >= 0.65 * len(regexp_extract_all(text, '[A-Za-z]+(?:[''’-][A-Za-z]+)?')) AS names FROM b),
+f AS (SELECT id, 'empty' AS rule FROM z WHERE k = 0 UNION ALL SELECT id, 'foreign_script' FROM z WHERE k = 3 UNION ALL SELECT id, 'tag_leak' FROM z WHERE k = 2
+  UNION ALL SELECT id, 'residual_en' FROM z WHERE k IN (1, 2, 3) AND w >= 8 AND NOT ref UNION ALL SELECT id, 'suspicious_short' FROM z WHERE k <> 0 AND w >= 40 AND NOT ref AND NOT names)
+SELECT rule, 'error' AS severity, count(*) AS n, count(DISTINCT id) AS blocks FROM f GROUP BY rule""",
+        "verification_report": f"""WITH {_LINES} SELECT chapter, count(*) AS errors, 0::BIGINT AS warnings, false AS ok, count(DISTINCT id) AS n_retry FROM b WHERE chapter::BIGINT % 5 IN (0, 2, 3) GROUP BY chapter""",
+        "forbidden_terms": f"""WITH a AS (SELECT doc_id, text FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7f]')),
+f AS (SELECT 'glossary' AS rule, doc_id FROM a WHERE doc_id % 2 = 0 AND {hit("tion")} UNION ALL SELECT 'glossary.forbidden', doc_id FROM a WHERE doc_id % 2 = 0 AND {hit("tion")}
+  UNION ALL SELECT 'glossary', doc_id FROM a WHERE doc_id % 2 = 1 AND {hit("erth")})
+SELECT rule, count(*) AS n, sum(doc_id)::BIGINT AS id_sum FROM f GROUP BY rule""",
+        "association_lift": f"""WITH {_TURNS}, {posts}, tot AS (SELECT count(*) AS n FROM t), lt AS (SELECT term, count(*) AS n_term FROM l GROUP BY 1 HAVING count(*) >= 12), rt AS (SELECT token, count(*) AS n_token FROM r GROUP BY 1),
+m AS (SELECT term, token, count(*) AS n FROM l JOIN r ON l.idx = r.idx GROUP BY 1, 2),
+x AS (SELECT m.term, m.token, m.n, n_term, n_token, tot.n AS total, m.n / n_term AS inside, (m.n / n_term) / greatest((n_token - m.n) / greatest(1, tot.n - n_term), 1 / tot.n) AS lift FROM m JOIN lt ON lt.term = m.term JOIN rt ON rt.token = m.token, tot)
+SELECT term, token, n, n_term, n_token, round(lift, 6) AS lift FROM x WHERE n >= 4 AND inside >= 0.08 AND lift >= 1.5""",
+        "top_k_variants": f"""WITH {_LINES}, c AS (SELECT book, norm AS line, count(*) AS n FROM lines GROUP BY 1, 2) SELECT book, line, n, r FROM (SELECT *, row_number() OVER (PARTITION BY book ORDER BY n DESC, line) AS r FROM c) WHERE r <= 5""",
+        "glossary_merge": """WITH a AS (SELECT r_regionkey AS id, r_name AS surface, r_name AS zh, 0 AS rank, 'global' AS layer FROM region
+  UNION ALL SELECT n_nationkey, n_name, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'REGION' END, 1, 'domain' FROM nation
+  UNION ALL SELECT p_partkey, p_name, p_brand, 2, 'book' FROM part WHERE p_partkey < 40),
+b AS (SELECT *, lag(zh) OVER (PARTITION BY id ORDER BY rank) AS before FROM a)
+SELECT id::VARCHAR AS id, arg_max(surface, rank) AS surface, arg_max(zh, rank) AS zh, arg_max(layer, rank) AS layer, coalesce(string_agg(before, '|' ORDER BY rank) FILTER (before <> zh), '') AS overrides FROM b GROUP BY id""",
+        "assembled_md": f"""WITH {_TURNS}, q AS (SELECT conv_id, turn, array_to_string(list_transform(string_split(user_text, chr(10)), lambda x: CASE WHEN regexp_matches(x, '\\S') THEN '> ' || x ELSE '>' END), chr(10)) || chr(10) || chr(10)
+  || CASE WHEN turn % 4 = 0 THEN regexp_replace(regexp_replace(assistant_text, '^\\s+|\\s+$', '', 'g'), '(?m)^\\s*>+\\s?', '', 'g') ELSE '*（未译 · 待重跑）*' END AS part, turn % 4 = 0 AS done FROM t)
+SELECT conv_id::VARCHAR AS chapter, regexp_replace(string_agg(part, chr(10) || chr(10) ORDER BY turn), '\\s+$', '') || chr(10) AS markdown, count(*) FILTER (done) AS written, count(*) FILTER (NOT done) AS n_missing FROM q GROUP BY conv_id""",
+        "html_heading_links": """SELECT page_id, len(regexp_extract_all(html, '<h[1-6]>'))::BIGINT AS headings, len(regexp_extract_all(html, 'href="([^"]*)"', 1))::BIGINT AS links, array_to_string(regexp_extract_all(html, 'href="([^"]*)"', 1), ' ') AS targets FROM pages""",
+    }
