@@ -9,7 +9,7 @@ from ..functions.text import FOREIGN, WS, unquote_lines
 from .assemble import MISSING_MARK, expected_parts, with_translation
 from .blocks import TRANSLATABLE
 
-# What a bilingual heading looks like, and what it must not hold.
+# What a two-language heading looks like, and what it must not hold.
 HEADING = r"\A#{1,6} [^#].+ · .+\z"
 HEADING_LINK = r"(?<!!)\[[^\]]*\]\([^)]+\)"
 HEADING_PREFIX = rf"\A#{{1,6}}{WS}+#{{1,6}}{WS}+"

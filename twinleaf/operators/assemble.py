@@ -1,4 +1,4 @@
-"""Blocks and translations to bilingual Markdown, chapter by chapter.
+"""Blocks and translations to two-language Markdown, chapter by chapter.
 
 Source text comes from blocks alone; a translation is looked up by the id of its block.
 """
