@@ -11,9 +11,12 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fold_space, is_blank, numbers, word_count
+from ..functions.numerals import short_column
+from ..functions.text import fold_space, is_blank, numbers, safe_component, word_count
 from ..operators import artifact, assemble, blocks, chunks, glossary, mining, rules
 from ..sources import journal
+from ..streaming import journal_stream
+from .build import overlay
 
 
 def _table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -167,6 +170,8 @@ def candidate_phrases(spark, sf_dir):
     return mining.candidate_phrases(ascii_lines, text="line", position=["doc_id", "n"]).select(F.col("key").alias("phrase"), "n")
 
 
+#: Configured renderings for the queries.
+CONFIGURED = [("the", ["tion", "ing", "zzz"]), ("of", ["erth", "ea"]), ("nowhere", ["x", "y"])]
 #: Senses for the queries: frequent words, one of them with an alias in capitals, one no more than a candidate.
 SENSES = [(f"s{i:02d}", w, f"译{i}", ["THE"] if w == "In" else [], "approved" if i != 4 else "candidate") for i, w in enumerate(["the", "tion", "and the", "In", "ea", "erth", "of the", "thanedble"])]
 
@@ -228,6 +233,54 @@ def top_k_variants(spark, sf_dir):
     return lines.withColumn("r", rank).where("r <= 5").select("book", "line", "n", F.col("r").cast("long").alias("r"))
 
 
+def source_terms(spark, sf_dir):
+    """Content words of English documents with the number of documents that hold them."""
+    docs = _table(spark, sf_dir, "documents").where("lang = 'en'").where(~F.col("text").rlike(r"[^\x00-\x7f]"))
+    return docs.select(F.explode(mining.source_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_docs"))
+
+
+def configured_splits(spark, sf_dir):
+    """Renderings of three configured terms in the assistant's answers."""
+    aligned = _turn_pairs(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("idx"), F.col("user_text").alias("text"), F.col("assistant_text").alias("zh"))
+    forms = spark.createDataFrame(CONFIGURED, "form string, renderings array<string>")
+    found = mining.configured_splits(aligned, forms)
+    shown = F.array_join(F.transform("variants", lambda x: F.concat_ws(":", x["token"], x["n"].cast("string"))), " ")
+    return found.select("surface", "source_blocks", "covered", shown.alias("variants"))
+
+
+def session_activity(spark, sf_dir):
+    """Runs of a user's events with gaps under six hours."""
+    e = _table(spark, sf_dir, "events").select(F.col("user_id").alias("chunk_id"), "ts")
+    found = journal_stream.stalled(e, gap="6 hours")
+    return found.select("chunk_id", F.unix_micros(F.col("start").cast("timestamp")).alias("start_us"), "n")
+
+
+def file_names(spark, sf_dir):
+    """Page addresses as file names."""
+    pages = _table(spark, sf_dir, "pages")
+    return pages.select("page_id", safe_component(F.col("url"), F.lit("page")).alias("file"))
+
+
+def chapter_numerals(spark, sf_dir):
+    """Order keys up to 120 as Chinese numerals, where there is a short form."""
+    k = F.col("o_orderkey")
+    return _table(spark, sf_dir, "orders").where(k <= 120).select("o_orderkey", short_column(k).alias("zh"))
+
+
+def review_overlay(spark, sf_dir):
+    """A review over a journal: conversations are chunks, turns blocks. The journal lacks some turns,
+    the review adds some, and every seventh review names a turn that isn't planned."""
+    c = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("chunk_id"), F.col("turn").cast("string").alias("t"), "conv_id", "turn")
+    none = F.create_map().cast("map<string,string>")
+    entries = lambda when: F.map_from_entries(F.array_sort(F.collect_list(F.when(when, F.struct("t", F.col("t").alias("v"))))))
+    plan = c.groupBy("chunk_id").agg(F.array_sort(F.collect_list("t")).alias("block_ids"))
+    records = c.groupBy("chunk_id").agg(entries(F.col("turn") % 2 == 0).alias("translations")).select("chunk_id", "translations", none.alias("usage"), F.lit(1).alias("attempts"))
+    patch = c.groupBy("chunk_id", "conv_id").agg(entries((F.col("turn") % 2 == 1) & ((F.col("conv_id") % 3 != 0) | (F.col("turn") != 1))).alias("m"))
+    extra = F.when(F.col("conv_id") % 7 == 0, F.create_map(F.lit("99"), F.lit("x"))).otherwise(none)
+    merged = overlay(patch.select("chunk_id", F.map_concat("m", extra).alias("translations")), records, plan)
+    return merged.select("chunk_id", F.coalesce(F.substring_index("problem", ":", 1), F.lit("ok")).alias("result"), F.coalesce(F.size("translations"), F.lit(0)).cast("long").alias("n"))
+
+
 def glossary_merge(spark, sf_dir):
     """Regions, nations and parts as three layers over ids that overlap."""
     r = _table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("string").alias("id"), F.col("r_name").alias("surface"), F.col("r_name").alias("zh"))
@@ -271,7 +324,7 @@ def queries() -> dict:
         block_ids, word_token_counts, block_kinds, markdown_blocks, chunk_plan, chunk_manifest, chunk_summary, chunk_context, last_record_wins,
         cost_rollup, reconcile_state, journal_unknown, aligned_pairs, missing_translations, stale_translations, number_multiset_diff, bag_overlap,
         duplicate_source, candidate_phrases, term_hits, quality_rules, verification_report, forbidden_terms, association_lift, top_k_variants,
-        glossary_merge, glossary_freeze, assembled_md, artifact_checks, html_heading_links,
+        source_terms, configured_splits, session_activity, file_names, chapter_numerals, review_overlay, glossary_merge, glossary_freeze, assembled_md, artifact_checks, html_heading_links,
     )
     return {f.__name__: f for f in found}
 
@@ -374,6 +427,24 @@ m AS (SELECT term, token, count(*) AS n FROM l JOIN r ON l.idx = r.idx GROUP BY
 x AS (SELECT m.term, m.token, m.n, n_term, n_token, tot.n AS total, m.n / n_term AS inside, (m.n / n_term) / greatest((n_token - m.n) / greatest(1, tot.n - n_term), 1 / tot.n) AS lift FROM m JOIN lt ON lt.term = m.term JOIN rt ON rt.token = m.token, tot)
 SELECT term, token, n, n_term, n_token, round(lift, 6) AS lift FROM x WHERE n >= 4 AND inside >= 0.08 AND lift >= 1.5""",
         "top_k_variants": f"""WITH {_LINES}, c AS (SELECT book, norm AS line, count(*) AS n FROM lines GROUP BY 1, 2) SELECT book, line, n, r FROM (SELECT *, row_number() OVER (PARTITION BY book ORDER BY n DESC, line) AS r FROM c) WHERE r <= 5""",
+        "source_terms": r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+(?:[''-][a-z]+)?')) AS w FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\x00-\x7f]')),
+t AS (SELECT DISTINCT doc_id, CASE WHEN w LIKE '%ies' AND length(w) > 5 THEN left(w, -3) || 'y' WHEN w LIKE '%s' AND w NOT LIKE '%ss' AND length(w) > 4 THEN left(w, -1) ELSE w END AS term
+  FROM w WHERE length(w) >= 4 AND NOT contains(w, chr(39)) AND w NOT IN (""" + ", ".join(f"'{w}'" for w in mining.COMMON_WORDS) + "))\nSELECT term, count(*) AS n_docs FROM t GROUP BY term",
+        "configured_splits": f"WITH {_TURNS}, f(surface, token) AS (VALUES " + ", ".join(f"('{a}', '{x}')" for a, xs in CONFIGURED for x in xs) + """),
+m AS (SELECT surface, token, conv_id, turn, contains(assistant_text, token) AS held FROM t, f WHERE regexp_matches(user_text, '(?i)(?:^|[^A-Za-z0-9_])' || surface || '(?:$|[^A-Za-z0-9_])')),
+s AS (SELECT surface, count(DISTINCT conv_id * 1000 + turn) AS source_blocks, count(DISTINCT conv_id * 1000 + turn) FILTER (held) AS covered FROM m GROUP BY 1),
+v AS (SELECT surface, token, count(*) AS n FROM m WHERE held GROUP BY 1, 2)
+SELECT s.surface, source_blocks, covered, string_agg(token || ':' || n, ' ' ORDER BY n DESC, token) AS variants FROM s JOIN v ON v.surface = s.surface WHERE source_blocks >= 12 GROUP BY 1, 2, 3 HAVING count(*) > 1""",
+        "session_activity": """WITH g AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 6 HOURS, true) AS opens FROM events),
+k AS (SELECT user_id, ts, sum(opens::INT) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS s FROM g)
+SELECT user_id AS chunk_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM k GROUP BY user_id, s""",
+        "file_names": r"""SELECT page_id, regexp_replace(left(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(url, '[<>:"/\\|?*\x00-\x1f]', '-', 'g')), '[. ]+$', ''), '\.{2,}', '-', 'g'), '^[. ]+', ''), 120), '[. ]+$', '') AS file FROM pages""",
+        "chapter_numerals": """SELECT o_orderkey, CASE WHEN o_orderkey > 100 THEN NULL WHEN o_orderkey = 100 THEN '百' WHEN o_orderkey < 10 THEN substr('零一二三四五六七八九', o_orderkey + 1, 1)
+  ELSE CASE WHEN o_orderkey < 20 THEN '' ELSE substr('零一二三四五六七八九', o_orderkey // 10 + 1, 1) END || '十' || CASE WHEN o_orderkey % 10 = 0 THEN '' ELSE substr('零一二三四五六七八九', o_orderkey % 10 + 1, 1) END END AS zh FROM orders WHERE o_orderkey <= 120""",
+        "review_overlay": """WITH c AS (SELECT conv_id, turn, turn % 2 = 0 AS old, turn % 2 = 1 AND (conv_id % 3 <> 0 OR turn <> 1) AS new FROM conversations),
+g AS (SELECT conv_id, count(*) AS n, count(*) FILTER (new) + (conv_id % 7 = 0)::INT AS revised, count(*) FILTER (NOT old AND NOT new) AS lacking FROM c GROUP BY conv_id)
+SELECT conv_id::VARCHAR AS chunk_id, CASE WHEN revised = 0 THEN 'no translations' WHEN conv_id % 7 = 0 THEN 'outside the plan' WHEN lacking > 0 THEN 'still missing' ELSE 'ok' END AS result,
+  CASE WHEN revised > 0 AND conv_id % 7 <> 0 AND lacking = 0 THEN n ELSE 0 END AS n FROM g""",
         "glossary_merge": """WITH a AS (SELECT r_regionkey AS id, r_name AS surface, r_name AS zh, 0 AS rank, 'global' AS layer FROM region
   UNION ALL SELECT n_nationkey, n_name, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'REGION' END, 1, 'domain' FROM nation
   UNION ALL SELECT p_partkey, p_name, p_brand, 2, 'book' FROM part WHERE p_partkey < 40),
