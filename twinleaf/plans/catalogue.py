@@ -262,9 +262,8 @@ def file_names(spark, sf_dir):
 
 
 def chapter_numerals(spark, sf_dir):
-    """Order keys up to 120 as Chinese numerals, where there is a short form."""
-    k = F.col("o_orderkey")
-    return _table(spark, sf_dir, "orders").where(k <= 120).select("o_orderkey", short_column(k).alias("zh"))
+    """The last digits of order keys (0 to 120) as Chinese numerals, where there is a short form."""
+    return _table(spark, sf_dir, "orders").select("o_orderkey", short_column(F.col("o_orderkey") % 121).alias("zh"))
 
 
 def review_overlay(spark, sf_dir):
@@ -285,7 +284,7 @@ def glossary_merge(spark, sf_dir):
     """Regions, nations and parts as three layers over ids that overlap."""
     r = _table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("string").alias("id"), F.col("r_name").alias("surface"), F.col("r_name").alias("zh"))
     n = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("surface"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).otherwise("REGION").alias("zh"), F.lit("nation").alias("decision"))
-    p = _table(spark, sf_dir, "part").where("p_partkey < 40").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("surface"), F.col("p_brand").alias("zh"), F.lit("part").alias("decision"))
+    p = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("surface"), F.col("p_brand").alias("zh"), F.lit("part").alias("decision"))
     merged = glossary.merge_layers(r, n, p)
     return merged.select("id", "surface", "zh", "layer", F.array_join("overrides", "|").alias("overrides"))
 
@@ -439,15 +438,16 @@ SELECT s.surface, source_blocks, covered, string_agg(token || ':' || n, ' ' ORDE
 k AS (SELECT user_id, ts, sum(opens::INT) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS s FROM g)
 SELECT user_id AS chunk_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM k GROUP BY user_id, s""",
         "file_names": r"""SELECT page_id, regexp_replace(left(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(url, '[<>:"/\\|?*\x00-\x1f]', '-', 'g')), '[. ]+$', ''), '\.{2,}', '-', 'g'), '^[. ]+', ''), 120), '[. ]+$', '') AS file FROM pages""",
-        "chapter_numerals": """SELECT o_orderkey, CASE WHEN o_orderkey > 100 THEN NULL WHEN o_orderkey = 100 THEN '百' WHEN o_orderkey < 10 THEN substr('零一二三四五六七八九', o_orderkey + 1, 1)
-  ELSE CASE WHEN o_orderkey < 20 THEN '' ELSE substr('零一二三四五六七八九', o_orderkey // 10 + 1, 1) END || '十' || CASE WHEN o_orderkey % 10 = 0 THEN '' ELSE substr('零一二三四五六七八九', o_orderkey % 10 + 1, 1) END END AS zh FROM orders WHERE o_orderkey <= 120""",
+        "chapter_numerals": """WITH k AS (SELECT o_orderkey, o_orderkey % 121 AS n, '零一二三四五六七八九' AS d FROM orders)
+SELECT o_orderkey, CASE WHEN n > 100 THEN NULL WHEN n = 100 THEN '百' WHEN n < 10 THEN substr(d, n + 1, 1)
+  ELSE CASE WHEN n < 20 THEN '' ELSE substr(d, n // 10 + 1, 1) END || '十' || CASE WHEN n % 10 = 0 THEN '' ELSE substr(d, n % 10 + 1, 1) END END AS zh FROM k""",
         "review_overlay": """WITH c AS (SELECT conv_id, turn, turn % 2 = 0 AS old, turn % 2 = 1 AND (conv_id % 3 <> 0 OR turn <> 1) AS new FROM conversations),
 g AS (SELECT conv_id, count(*) AS n, count(*) FILTER (new) + (conv_id % 7 = 0)::INT AS revised, count(*) FILTER (NOT old AND NOT new) AS lacking FROM c GROUP BY conv_id)
 SELECT conv_id::VARCHAR AS chunk_id, CASE WHEN revised = 0 THEN 'no translations' WHEN conv_id % 7 = 0 THEN 'outside the plan' WHEN lacking > 0 THEN 'still missing' ELSE 'ok' END AS result,
   CASE WHEN revised > 0 AND conv_id % 7 <> 0 AND lacking = 0 THEN n ELSE 0 END AS n FROM g""",
         "glossary_merge": """WITH a AS (SELECT r_regionkey AS id, r_name AS surface, r_name AS zh, 0 AS rank, 'global' AS layer FROM region
   UNION ALL SELECT n_nationkey, n_name, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'REGION' END, 1, 'domain' FROM nation
-  UNION ALL SELECT p_partkey, p_name, p_brand, 2, 'book' FROM part WHERE p_partkey < 40),
+  UNION ALL SELECT p_partkey, p_name, p_brand, 2, 'book' FROM part),
 b AS (SELECT *, lag(zh) OVER (PARTITION BY id ORDER BY rank) AS before FROM a)
 SELECT id::VARCHAR AS id, arg_max(surface, rank) AS surface, arg_max(zh, rank) AS zh, arg_max(layer, rank) AS layer, coalesce(string_agg(before, '|' ORDER BY rank) FILTER (before <> zh), '') AS overrides FROM b GROUP BY id""",
         "assembled_md": f"""WITH {_TURNS}, q AS (SELECT conv_id, turn, array_to_string(list_transform(string_split(user_text, chr(10)), lambda x: CASE WHEN regexp_matches(x, '\\S') THEN '> ' || x ELSE '>' END), chr(10)) || chr(10) || chr(10)
