@@ -4,7 +4,7 @@ Fingerprints link at a distance of 3 or less. Half the radius, rounded down, is
 radius 1 meet only up to distance 2; balls of radius 2 would take 2,081 rows for each fingerprint.
 So the 64 bits are dealt into three blocks and one block at a time is masked: of 3 differing bits,
 the block that holds most holds one at least, and at most 2 remain. For each mask a fingerprint emits
-itself and all variants at distance 1, 132 rows in all; fingerprints within reach share a variant, and
+itself and all variants at distance 1, 131 rows in all; fingerprints within reach share a variant, and
 every colliding pair is verified on all 64 bits.
 """
 
@@ -60,14 +60,15 @@ def links(distinct_fps: DataFrame) -> DataFrame:
     distinct_fps: one long column fp without repeats. Copies of a text are one fingerprint here, so
     no group of copies is ever paired; a key's fingerprints all lie within distance 2 outside one
     block, and only pairs that pass verification leave the join."""
-    emitted = []
-    for low, high in BLOCKS:
-        block = ((1 << high) - 1) ^ ((1 << low) - 1)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+
+    def variants(low: int, high: int):
+        masked = F.col("fp").bitwiseAND(F.lit(signed((1 << 64) - (1 << high) + (1 << low) - 1)))
         flips = [0] + [1 << i for i in range(64) if not low <= i < high]
-        signed = [x - (1 << 64) if x >> 63 else x for x in (*flips, block ^ (1 << 64) - 1)]
-        mask = F.lit(signed.pop())
-        flipped = F.split(F.lit(",".join(map(str, signed))), ",").cast("array<bigint>")
-        emitted.append(F.transform(flipped, lambda x, m=mask: F.col("fp").bitwiseAND(m).bitwiseXOR(x)))
+        listed = F.split(F.lit(",".join(str(signed(x)) for x in flips)), ",").cast("array<bigint>")
+        return F.transform(listed, lambda flip: masked.bitwiseXOR(flip))
+
+    emitted = [variants(low, high) for low, high in BLOCKS]
     balls = distinct_fps.select("fp", F.explode(F.concat(*emitted)).alias("key"))
     left, right = balls.select("key", F.col("fp").alias("a")), balls.select(F.col("key").alias("key2"), F.col("fp").alias("b"))
     near = (F.col("key") == F.col("key2")) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
