@@ -70,8 +70,9 @@ def links(distinct_fps: DataFrame) -> DataFrame:
 
     emitted = [variants(low, high) for low, high in BLOCKS]
     balls = distinct_fps.select("fp", F.explode(F.concat(*emitted)).alias("key"))
-    left, right = balls.select("key", F.col("fp").alias("a")), balls.select(F.col("key").alias("key2"), F.col("fp").alias("b"))
-    near = (F.col("key") == F.col("key2")) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
+    # both sides have the same form, so that they share one shuffle
+    left, right = (balls.select(F.col("key").alias(f"key_{x}"), F.col("fp").alias(x)) for x in "ab")
+    near = (F.col("key_a") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
     return left.join(right, near).select("a", "b").distinct()
 
 
