@@ -170,6 +170,12 @@ def candidate_phrases(spark, sf_dir):
     return mining.candidate_phrases(ascii_lines, text="line", position=["doc_id", "n"]).select(F.col("key").alias("phrase"), "n")
 
 
+def candidate_phrases_whole(spark, sf_dir):
+    """candidate_phrases over all lines, whatever characters they hold."""
+    lines = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    return mining.candidate_phrases(lines, text="line", position=["doc_id", "n"]).select(F.col("key").alias("phrase"), "n")
+
+
 #: Configured renderings for the queries.
 CONFIGURED = [("the", ["tion", "ing", "zzz"]), ("of", ["erth", "ea"]), ("nowhere", ["x", "y"])]
 #: Senses for the queries: frequent words, one of them with an alias in capitals, one no more than a candidate.
@@ -347,7 +353,7 @@ def queries() -> dict:
 def whole_queries() -> dict:
     """Queries that go beyond what the SQL of their namesakes covers: no SQL, tests hold them against
     plain versions."""
-    found = (quality_rules_whole, verification_report_whole)
+    found = (quality_rules_whole, verification_report_whole, candidate_phrases_whole)
     return {f.__name__: f for f in found}
 
 
