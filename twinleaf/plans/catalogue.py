@@ -190,7 +190,20 @@ def _senses(spark, sf_dir):
 def term_hits(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.col("text"))
     plain = docs.where(~F.col("text").rlike(r"[^\x00-\x7f]"))
-    return glossary.hits(plain, _senses(spark, sf_dir), ["doc_id"]).groupBy("id").agg(F.count("*").alias("n_docs"), F.sum("doc_id").alias("doc_id_sum"))
+    return _term_hits(spark, plain)
+
+
+def term_hits_whole(spark, sf_dir):
+    """term_hits over all English documents, whatever characters they hold."""
+    return _term_hits(spark, _english(spark, sf_dir))
+
+
+def _english(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").where("lang = 'en'")
+
+
+def _term_hits(spark, docs):
+    return glossary.hits(docs, _senses(spark, sf_dir=None), ["doc_id"]).groupBy("id").agg(F.count("*").alias("n_docs"), F.sum("doc_id").alias("doc_id_sum"))
 
 
 def pseudo(text: Column, doc_id: Column) -> Column:
@@ -232,6 +245,15 @@ def verification_report_whole(spark, sf_dir):
 
 def forbidden_terms(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").where("lang = 'en'").where(~F.col("text").rlike(r"[^\x00-\x7f]"))
+    return _forbidden_terms(spark, docs)
+
+
+def forbidden_terms_whole(spark, sf_dir):
+    """forbidden_terms over all English documents."""
+    return _forbidden_terms(spark, _english(spark, sf_dir))
+
+
+def _forbidden_terms(spark, docs):
     pairs = docs.select(F.col("doc_id").cast("string").alias("id"), F.lit("para").alias("kind"), "text", F.when(F.col("doc_id") % 2 == 0, "用词乙").otherwise("用词甲").alias("zh"))
     senses = spark.createDataFrame([("a", "tion", "甲", ["乙"], "approved"), ("b", "erth", "乙", [], "approved")], "id string, surface string, zh string, forbidden_zh array<string>, status string")
     return rules.glossary_findings(pairs, senses).groupBy("rule").agg(F.count("*").alias("n"), F.sum(F.col("block_id").cast("long")).alias("id_sum"))
@@ -258,6 +280,15 @@ def top_k_variants(spark, sf_dir):
 def source_terms(spark, sf_dir):
     """Content words of English documents with the number of documents that hold them."""
     docs = _table(spark, sf_dir, "documents").where("lang = 'en'").where(~F.col("text").rlike(r"[^\x00-\x7f]"))
+    return _source_terms(docs)
+
+
+def source_terms_whole(spark, sf_dir):
+    """source_terms over all English documents."""
+    return _source_terms(_english(spark, sf_dir))
+
+
+def _source_terms(docs):
     return docs.select(F.explode(mining.source_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_docs"))
 
 
@@ -353,7 +384,7 @@ def queries() -> dict:
 def whole_queries() -> dict:
     """Queries that go beyond what the SQL of their namesakes covers: no SQL, tests hold them against
     plain versions."""
-    found = (quality_rules_whole, verification_report_whole, candidate_phrases_whole)
+    found = (quality_rules_whole, verification_report_whole, candidate_phrases_whole, term_hits_whole, forbidden_terms_whole, source_terms_whole)
     return {f.__name__: f for f in found}
 
 
