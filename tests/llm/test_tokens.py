@@ -10,7 +10,9 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
+from twinleaf.llm import library_tokens
 from twinleaf.llm.bpe import PerfectHash, encode_documents, model
+from twinleaf.llm.common import Memo
 from twinleaf.llm.packing import BestFit, pack_documents
 from twinleaf.llm.token_counts import count_tokens
 from twinleaf.llm.token_store import EliasFano, Shard, read_store, write_shard, write_store
@@ -116,10 +118,11 @@ def test_elias_fano_is_small():
     assert len(EliasFano.build(bounds).to_bytes()) < 20000 * 14 / 8  # not 8 bytes each
 
 
-def test_shard_round_trip():
-    ids = [[1, 2, 3], [2], [70000, 5]]
+@pytest.mark.parametrize("width", [2, 4])
+def test_shard_round_trip(width):
+    ids = [[1, 2, 3], [2], [65535 if width == 2 else 70000, 5]]
     for docs in ([-4, 7, 7], [None, -(2**62), 2**62]):
-        shard = Shard(write_shard(docs, list(map(u32, ids))))
+        shard = Shard(write_shard(docs, list(map(len, ids)), np.array(sum(ids, []), f"<u{width}").tobytes(), width))
         assert shard.doc_ids() == docs and [shard.ids(i).tolist() for i in range(3)] == ids
 
 
@@ -137,3 +140,69 @@ def test_store(spark, byte_level, make, tmp_path):
         at += n
     known = [d for _, d, _, _ in got if d is not None]
     assert known == sorted(known)
+
+
+#: ASCII and other space, marks, eastern clauses, special strings, and letters whose case changes their size.
+ODD_PARTS = [*"ab \u00e9.,!? \n\t\x0b\x1c\x1f\x85", *map(chr, (0xA0, 0x202F, 0x3000, 0x200B, 0x2003, 0x1680, 0x180E, 0x2028, 0xFEFF, 0x3001, 0x3002, 0x65E5, 0x304B, 0x3099, 0xFF0C, 0xAC00, 0x3A3, 0x130, 0x301)), "'s", "'ll", "12", "<|endoftext|>", " \u00c0\u00c9", " \u023ab", "\u023e"]
+
+
+def odd_texts(n: int, seed: int, most: int = 40) -> list[str]:
+    r = random.Random(seed)
+    return ["".join(r.choices(r.sample(ODD_PARTS, 8), k=r.randrange(most))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("group_bytes", [32, 1 << 20])
+def test_pieces_give_the_ids_of_whole_texts(monkeypatch, byte_level, rank_library, group_bytes):
+    monkeypatch.setattr(library_tokens, "GROUP_BYTES", group_bytes)
+    texts, words = odd_texts(3000, group_bytes), Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    own, lower = library_tokens.byte_level_ids("byte_bpe_50k.json"), library_tokens.word_ids("word_bpe_49k.json")
+    assert lower.of(texts) == [np.array(e.ids, "<u2").tobytes() for e in words.encode_batch(texts, add_special_tokens=False)]
+    want = byte_level.encode_batch(texts, add_special_tokens=False)
+    assert own.of(texts) == [np.array(e.ids, "<u2").tobytes() for e in want]
+    count = library_tokens.counter("byte_bpe_50k.json").getter([library_tokens.byte_level_pieces(t) for t in texts])
+    assert [sum(map(count, library_tokens.byte_level_pieces(t))) for t in texts] == [len(e.ids) for e in want]
+    assert model().encode_texts(texts) == [" ".join(map(str, rank_library.encode_ordinary(t))) for t in texts]
+
+
+@pytest.mark.parametrize("unit", ["mot\u00a0: un\u202fmot, ", "\u65e5\u672c\u8a9e\u3002\u65e5\u672c\uff0c", "plain words, here. "])
+def test_long_texts_come_in_bounded_parts(byte_level, unit):
+    text = unit * (3_000_000 // len(unit.encode()))
+    parts = [p for group in library_tokens.grouped([text]) for _, p in group]
+    assert "".join(parts) == text and max(map(library_tokens.utf8_size, parts)) < library_tokens.GROUP_BYTES
+    assert max(map(len, library_tokens.byte_level_pieces(text))) < 40
+    own = library_tokens.byte_level_ids("byte_bpe_50k.json")
+    assert own.of([text])[0] == np.array(byte_level.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+
+
+def test_groups_are_balanced_by_bytes(monkeypatch):
+    monkeypatch.setattr(library_tokens, "GROUP_BYTES", 1000)
+    texts = ["a b " * k for k in range(60)] + ["\u00e9 " * 90] * 5
+    groups = list(library_tokens.grouped(texts))
+    back = {}
+    for i, part in (x for g in groups for x in g):
+        back[i] = back.get(i, "") + part
+    assert [back[i] for i in range(len(texts))] == texts
+    assert all(sum(library_tokens.utf8_size(p) for _, p in g) < 1500 for g in groups)
+
+
+def test_memo_is_bounded_and_keeps_no_long_keys():
+    seen = []
+
+    def compute(keys):
+        seen.extend(keys)
+        return [k.upper() for k in keys]
+
+    memo, r = Memo(compute, limit=20_000), random.Random(2)
+    for _ in range(200):
+        groups = [[r.choice("abcdef") * r.randrange(1, 60) for _ in range(20)] for _ in range(3)] + [["x" * 1000, "x" * 5000]]
+        get = memo.getter(groups)
+        assert [[get(k) for k in g] for g in groups] == [[k.upper() for k in g] for g in groups]
+        assert max(map(len, [*memo.young, *memo.old])) <= Memo.LONG
+    assert len(memo.young) < 400 and len(seen) > 400
+
+
+def test_a_worker_holds_one_model():
+    first = library_tokens.byte_level_ids("byte_bpe_50k.json")
+    assert library_tokens.byte_level_ids("byte_bpe_50k.json") is first
+    library_tokens.counter("byte_bpe_50k.json")
+    assert library_tokens.byte_level_ids("byte_bpe_50k.json") is not first

@@ -10,16 +10,14 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import os
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, batches, bound_batches, documents, tokenizer_path, worker_state
-from .library_tokens import byte_level_pieces
-from .token_counts import grouped
+from .common import Memo, batches, bound_batches, documents, tokenizer_path, worker_model
+from .library_tokens import byte_level_pieces, grouped
 
 
 class PerfectHash:
@@ -84,7 +82,6 @@ class BytePairs:
         for (key, rank), slot in zip(ranks.items(), self.hash.slot_of.tolist()):
             self.keys[slot], self.ids[slot] = key, rank
         self.text_of = {str(i): key for key, i in ranks.items()}
-        self.words = Memo(self._encode_words)
         self.pieces = Memo(self._encode_pieces)
 
     @classmethod
@@ -124,11 +121,21 @@ class BytePairs:
         return [str(ids[s]) if keys[s] == w else " ".join(map(str, merge(w))) for w, s in zip(raw, slots)]
 
     def _encode_pieces(self, pieces: list[str]) -> list[str]:
-        return list(map(" ".join, self.words.lookup_each(list(map(self.split, pieces)))))
+        split = list(map(self.split, pieces))
+        words = list(set().union(*split))
+        get = dict(zip(words, self._encode_words(words))).__getitem__
+        return [get(x[0]) if len(x) == 1 else " ".join(map(get, x)) for x in split]
 
     def encode_texts(self, texts: list[str]) -> list[str]:
         """Ids of each text, as decimal numbers with one space between."""
-        return list(map(" ".join, self.pieces.lookup_each(list(map(byte_level_pieces, texts)))))
+        out: list[list[str]] = [[] for _ in texts]
+        for group in grouped(texts):
+            pieces = [byte_level_pieces(part) for _, part in group]
+            get = self.pieces.getter(pieces)
+            for (i, _), found in zip(group, pieces):
+                if found:
+                    out[i].append(" ".join(map(get, found)))
+        return list(map(" ".join, out))
 
     def decode(self, ids: str) -> bytes:
         return b"".join(map(self.text_of.__getitem__, ids.split(" "))) if ids else b""
@@ -136,12 +143,13 @@ class BytePairs:
 
 def model(path: str | None = None) -> BytePairs:
     """This worker's encoder."""
-    key, state = ("bpe", path), worker_state()
-    if key not in state:
+
+    def make() -> BytePairs:
         import public_tokenizers
 
-        state[key] = BytePairs.load(path or os.path.join(tokenizer_path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
-    return state[key]
+        return BytePairs.load(path or tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+    return worker_model(("bpe", path), make)
 
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -155,7 +163,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def encode(rows):
         bpe, digest = model(path), hashlib.sha256
         for doc_ids, texts in batches(rows, ["doc_id", "text"]):
-            ids = [x for part in grouped(texts) for x in bpe.encode_texts([texts[i] for i in part])]
+            ids = bpe.encode_texts(texts)
             arrays = [
                 pa.array(doc_ids, pa.int64()),
                 pa.array([x.count(" ") + 1 if x else 0 for x in ids], pa.int64()),

@@ -56,48 +56,43 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def worker_state() -> dict:
-    """A dictionary that lives as long as the Python worker: models are loaded once per worker."""
-    if not hasattr(sys, "_twinleaf_worker"):
-        sys._twinleaf_worker = {}
-    return sys._twinleaf_worker
+def worker_model(key: tuple, make):
+    """What make() gives, kept as long as the Python worker asks for the same key. A worker serves many
+    queries, so it holds one model with its memo at a time."""
+    if getattr(sys, "_twinleaf_model", (None,))[0] != key:
+        sys._twinleaf_model = (None,)  # the old one goes before the new one comes
+        sys._twinleaf_model = key, make()
+    return sys._twinleaf_model[1]
 
 
 class Memo:
-    """A bounded dictionary of computed values in two generations: when the young one is full it
-    becomes the old one, and entries that are met again move back. Losing an entry only costs
-    computing it again, so results never depend on the bound."""
-
-    def __init__(self, compute_many, limit: int = 150_000):
-        self.compute_many, self.limit, self.young, self.old = compute_many, limit, {}, {}
-
-    def lookup(self, keys: list) -> list:
-        """The value of each key; keys that are new are computed together, each once."""
-        if len(self.young) > self.limit:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        found = list(map(young.get, keys))
-        gaps = [i for i, v in enumerate(found) if v is None]
-        if gaps:
-            fresh = []
-            for k in {keys[i] for i in gaps}:
-                v = old.get(k)
-                if v is None:
-                    fresh.append(k)
-                else:
-                    young[k] = v
-            if fresh:
-                young.update(zip(fresh, self.compute_many(fresh)))
-            for i in gaps:
-                found[i] = young[keys[i]]
-        return found
-
-    def lookup_each(self, groups: list[list]) -> Iterator[list]:
-        """lookup for several lists of keys at once; a list of values for each."""
-        values, at = self.lookup([k for g in groups for k in g]), 0
-        for g in groups:
-            yield values[at : at + len(g)]
-            at += len(g)
+    """A dictionary of computed values, bounded in bytes, in two generations: when the young one is full
+    it becomes the old one, and entries that are met again move back. Keys over LONG characters are
+    never kept. Losing an entry only costs computing it again, so results never depend on the bound."""
+
+    #: Bytes of one generation, as Python counts its keys and values, and of an entry's place in it.
+    BYTES, ENTRY = 64 << 20, 110
+    LONG = 256
+
+    def __init__(self, compute_many, limit: int = BYTES):
+        self.compute_many, self.limit, self.size, self.young, self.old = compute_many, limit, 0, {}, {}
+
+    def getter(self, groups: list[list[str]]):
+        """A function that gives the value of each key in groups; new keys are computed together, each
+        once."""
+        if self.size > self.limit:
+            self.young, self.old, self.size = {}, self.young, 0
+        young, old, sizeof = self.young, self.old, sys.getsizeof
+        fresh = set().union(*groups).difference(young)
+        if not fresh:
+            return young.__getitem__
+        found = {k: old[k] for k in fresh if k in old}
+        fresh = [k for k in fresh if k not in found]
+        found.update(zip(fresh, self.compute_many(fresh)))
+        once = {k: found.pop(k) for k in fresh if len(k) > self.LONG}
+        young.update(found)
+        self.size += sum(map(sizeof, found)) + sum(map(sizeof, found.values())) + self.ENTRY * len(found)
+        return (lambda k: once[k] if k in once else young[k]) if once else young.__getitem__
 
 
 def batches(rows: Iterator, columns: list[str]) -> Iterator[tuple]:

@@ -7,89 +7,186 @@ long as a bounded memo keeps it; whatever the memo forgets is encoded again.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
+from collections.abc import Iterator
 
-from .common import Memo, tokenizer_path, worker_state
+import numpy as np
 
-#: White space outside ASCII, or that libraries disagree about: a text with any of it isn't cut there.
-_ODD_SPACE = re.compile(r"[\x00\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
+from .common import Memo, tokenizer_path, worker_model
+
+#: White space outside ASCII, or that libraries disagree about: a run of space may begin or end with it.
+_ODD = r"\x00\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff"
+_ODD_SPACE = re.compile(rf"[{_ODD}]")
 #: Letters of which no library's tables disagree; the dotted capital I changes its length in lower case.
 _LATIN = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f"
+#: Letters of scripts without spaces, and their marks that end a clause.
+_EAST, _EAST_MARK = r"\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3", r"\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f"
 _PIECE = re.compile(rf"[ \t-\r]*[{_LATIN}]++(?=[.,!?;:])|[ \t-\r]*[^ \t-\r]+|[ \t-\r]+\Z")
 _WORD = re.compile(rf"[{_LATIN}]++(?=[.,!?;:])|[^ \t-\r]+")
-_ONE_WORD = re.compile(rf" ?[{_LATIN}]+")
-#: Bytes of distinct pieces in one call of the library.
-CALL_BYTES = 1 << 18
+#: Space that has odd space before it belongs to the same run, so a piece goes on behind it; between
+#: an eastern letter and such a mark it ends.
+_MIXED_PIECE = re.compile(
+    rf"(?!\Z)(?:[ \t-\r]*[{_LATIN}]++(?=[.,!?;:])"
+    rf"|[ \t-\r]*+(?:(?:[^ \t-\r{_EAST}]|[{_EAST}](?![{_EAST_MARK}]))*+(?<=[{_ODD}])[ \t-\r]++)*+"
+    rf"(?:(?:[^ \t-\r{_EAST}]|[{_EAST}](?![{_EAST_MARK}]))*+[{_EAST}](?=[{_EAST_MARK}])|[^ \t-\r]++|\Z))"
+)
+_EASTERN = re.compile(rf"[{_EAST}](?=[{_EAST_MARK}])")
+_MIXED_WORD = re.compile(rf"[{_LATIN}]++(?=[.,!?;:])|(?:[^ \t-\r{_EAST}]|[{_EAST}](?![{_EAST_MARK}]))*+[{_EAST}](?=[{_EAST_MARK}])|[^ \t-\r]+")
+#: Where a long text may be parted: before ASCII space behind anything but space.
+_PART = re.compile(rf"(?<=[^ \t-\r{_ODD}])(?=[ \t-\r])|(?<=[{_EAST}])(?=[{_EAST_MARK}])")
+#: Bytes of text whose pieces are looked up together, and of distinct pieces in one call of the library.
+GROUP_BYTES, CALL_BYTES = 1 << 20, 1 << 18
+
+
+def utf8_size(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode())
+
+
+def grouped(texts: list[str]) -> Iterator[list[tuple[int, str]]]:
+    """The texts as (index, part), in groups of about GROUP_BYTES of UTF-8. A longer text comes in parts
+    that are cut at safe boundaries, so the memory for pieces doesn't grow with it; only where it has no
+    such boundary a part is longer."""
+    held, size = [], 0
+    for i, t in enumerate(texts):
+        start = 0
+        while True:
+            cut = _PART.search(t, start + GROUP_BYTES // 4) if len(t) - start > GROUP_BYTES // 4 else None
+            part = t[start : cut.start()] if cut else t[start:] if start else t
+            held.append((i, part))
+            size += utf8_size(part)
+            if size >= GROUP_BYTES:
+                yield held
+                held, size = [], 0
+            if not cut:
+                break
+            start = cut.start()
+    if held:
+        yield held
 
 
 def byte_level_pieces(text: str) -> list[str]:
     """Cut before runs of ASCII white space and between a letter and the punctuation after it.
 
     No match holds a non-space followed by a space, or a letter followed by punctuation, and each
-    piece keeps its whole run of space, so look-ahead sees what it saw in the text. A text with other
-    white space stays whole, as runs could mix both."""
-    return [text] if _ODD_SPACE.search(text) else _PIECE.findall(text)
+    piece keeps its whole run of space, odd space included, so look-ahead sees what it saw in the text."""
+    if text.isascii():
+        return _PIECE.findall(text) if not _ODD_SPACE.search(text) else _MIXED_PIECE.findall(text)
+    return _MIXED_PIECE.findall(text) if _ODD_SPACE.search(text) or _EASTERN.search(text) else _PIECE.findall(text)
 
 
 def space_dropped_words(text: str) -> list[str]:
     """Cut at ASCII white space and between a letter and the punctuation after it, for tokenizers
     that drop white space; normalization to NFC and lower case never joins characters across it."""
-    return _WORD.findall(text)
+    return _WORD.findall(text) if text.isascii() or not _EASTERN.search(text) else _MIXED_WORD.findall(text)
 
 
 def call_sizes(pieces: list[str]) -> list[slice]:
-    """Slices of pieces with about CALL_BYTES each, one piece at least."""
+    """Slices of pieces with about CALL_BYTES of UTF-8 each, one piece at least."""
     out, start, size = [], 0, 0
     for i, p in enumerate(pieces):
-        size += len(p) + 16
+        size += utf8_size(p) + 16
         if size >= CALL_BYTES:
             out.append(slice(start, i + 1))
             start, size = i + 1, 0
     return [*out, slice(start, len(pieces))] if start < len(pieces) else out
 
 
-def byte_alphabet() -> dict[int, str]:
-    """The characters that byte-level models have for bytes: printable ones themselves, the others
-    from U+0100 on, in order."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in shown]
-    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(others)}
-
+class Library:
+    """A tokenizer file in the tokenizers library, for pieces of texts.
 
-def encoder(file: str, kind: str, lower: bool = False, folder: str | None = None) -> Memo:
-    """This worker's memo for a tokenizer file: piece -> ids as little-endian unsigned 32-bit
-    integers (kind "ids") or their number (kind "count").
+    lead: what parts two pieces without any effect on their ids, the space that a byte-level piece
+    begins with (None) or one that the tokenizer drops. Pieces that are one Latin word go through
+    the batch encoder side by side, WORDS to a text; as tokens are strings of bytes, the bytes of a word
+    tell where its ids end. All other pieces are texts of their own in the same encoder."""
 
-    Pieces that are one Latin word go to the library's model as they are, mapped to its byte
-    alphabet (lower: in lower case); the others go through all of its steps."""
-    key, state = ("library", file, kind, folder), worker_state()
-    if key not in state:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from array import array
+    WORDS = 512
 
+    def __init__(self, file: str, folder: str | None = None, lead: str | None = None):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks fill the cores
         from tokenizers import Tokenizer
 
-        library = Tokenizer.from_file(os.path.join(folder, file) if folder else tokenizer_path(file))
-        one_word, tokenize, table = _ONE_WORD.fullmatch, library.model.tokenize, byte_alphabet()
-        pack = len if kind == "count" else lambda ids: array("I", ids).tobytes()
-
-        def compute(pieces: list[str]) -> list:
-            out: list = [None] * len(pieces)
-            rest = []
-            for i, p in enumerate(pieces):
-                if one_word(p):
-                    word = p.lower() if lower else p
-                    if not word.isascii() or word[0] == " ":
-                        word = word.encode().decode("latin-1").translate(table)
-                    out[i] = pack([t.id for t in tokenize(word)])
-                else:
-                    rest.append(i)
-            for part in call_sizes([pieces[i] for i in rest]):
-                at = rest[part]
-                for i, e in zip(at, library.encode_batch([pieces[i] for i in at], add_special_tokens=False)):
-                    out[i] = pack(e.ids)
-            return out
-
-        state[key] = Memo(compute)
-    return state[key]
+        self.library = Tokenizer.from_file(os.path.join(folder, file) if folder else tokenizer_path(file))
+        self.batch = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
+        self.lead, self.one_word = lead, re.compile(rf"[{_LATIN}]+" if lead else rf" [{_LATIN}]+").fullmatch
+        vocabulary, suffix = self.library.get_vocab(), getattr(self.library.model, "end_of_word_suffix", None) or ""
+        #: Bytes of ids: 2 where all ids fit, else 4.
+        self.width = 2 if max(vocabulary.values(), default=0) < 1 << 16 else 4
+        self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.bytes_of[i] = len(token.removesuffix(suffix) if suffix else token)
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for part in call_sizes(texts) for e in self.batch(texts[part], add_special_tokens=False)]
+
+    def encode(self, pieces: list[str], pack, pack_each) -> list:
+        """A value for each piece: pack_each(ids, edges) gives those of words whose ids lie side by side,
+        pack(ids) that of one piece."""
+        out: list = [None] * len(pieces)
+        lead, one_word = self.lead or "", self.one_word
+        words = [i for i, p in enumerate(pieces) if one_word(p)]
+        if words:
+            there = [pieces[i] for i in words]
+            texts = [lead.join(there[k : k + self.WORDS]) for k in range(0, len(there), self.WORDS)]
+            ids = np.fromiter(itertools.chain.from_iterable(self._encode(texts)), np.int64)
+            joined = "".join(there).lower() if lead else "".join(there)
+            sizes = list(map(len, there)) if joined.isascii() else [len((p.lower() if lead else p).encode()) for p in there]
+            ends, wanted = np.cumsum(self.bytes_of[ids]), np.cumsum(sizes)
+            at = np.searchsorted(ends, wanted)
+            if len(ends) and ends[-1] == wanted[-1] and (ends[at] == wanted).all():
+                for i, value in zip(words, pack_each(ids, [0, *(at + 1).tolist()])):
+                    out[i] = value
+        rest = [i for i, value in enumerate(out) if value is None]
+        for i, ids in zip(rest, self._encode([pieces[i] for i in rest])):
+            out[i] = pack(ids)
+        return out
+
+
+def counter(file: str, folder: str | None = None) -> Memo:
+    """This worker's memo for a byte-level tokenizer file: piece -> number of ids."""
+
+    def make() -> Memo:
+        library = Library(file, folder)
+        return Memo(lambda pieces: library.encode(pieces, len, lambda ids, edges: np.diff(edges).tolist()))
+
+    return worker_model(("count", file, folder), make)
+
+
+class Ids:
+    """A tokenizer file's ids of texts, as little-endian unsigned integers of `width` bytes. cut gives the
+    pieces of a text."""
+
+    def __init__(self, library: Library, cut):
+        self.width, self.cut, kind = library.width, cut, f"<u{library.width}"
+        width = library.width
+
+        def side_by_side(ids: np.ndarray, edges: list[int]) -> list[bytes]:
+            flat = ids.astype(kind).tobytes()
+            return [flat[a * width : b * width] for a, b in itertools.pairwise(edges)]
+
+        self.memo = Memo(lambda pieces: library.encode(pieces, lambda ids: np.array(ids, kind).tobytes(), side_by_side))
+
+    def encode_id(self, i: int) -> bytes:
+        return i.to_bytes(self.width, "little")
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        out: list = [b""] * len(texts)
+        for group in grouped(texts):
+            pieces = [self.cut(part) for _, part in group]
+            get = self.memo.getter(pieces)
+            for (i, _), found in zip(group, pieces):
+                ids = b"".join(map(get, found))
+                out[i] = out[i] + ids if out[i] else ids
+        return out
+
+
+def byte_level_ids(file: str, folder: str | None = None) -> Ids:
+    """This worker's ids by a byte-level tokenizer."""
+    return worker_model(("byte level", file, folder), lambda: Ids(Library(file, folder), byte_level_pieces))
+
+
+def word_ids(file: str, folder: str | None = None) -> Ids:
+    """This worker's ids by a tokenizer of lower-case words that drops white space."""
+    return worker_model(("words", file, folder), lambda: Ids(Library(file, folder, " "), space_dropped_words))

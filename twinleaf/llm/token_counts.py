@@ -2,43 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, bound_batches, documents
-from .library_tokens import byte_level_pieces, encoder
-
-#: Characters of text whose pieces are looked up together.
-GROUP_CHARS = 1 << 20
-
-
-def grouped(texts: list[str]) -> Iterator[range]:
-    """Ranges of texts with about GROUP_CHARS characters each."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= GROUP_CHARS or i == len(texts) - 1:
-            yield range(start, i + 1)
-            start, size = i + 1, 0
+from .library_tokens import byte_level_pieces, counter, grouped
 
 
 def count_tokens(docs: DataFrame, file: str = "byte_bpe_50k.json", limit: int = 512, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row; only lengths leave the worker.
 
-    Texts are cut at safe boundaries, whatever their length, and groups of them with balanced sizes
-    go through the library's batch encoder, each distinct piece once. Null and empty texts have no
-    bytes and no tokens; repeated rows are counted each; an empty table gives no rows."""
+    Texts are cut at safe boundaries, long ones into parts first; groups of parts with balanced bytes
+    are looked up together, and distinct pieces that are new go through the library's batch encoder in
+    calls of balanced bytes. Null and empty texts have no bytes and no tokens; repeated rows are counted
+    each; other columns are ignored; an empty table gives no rows."""
     bound_batches(docs.sparkSession)
 
     def count(rows):
-        memo = encoder(file, "count", folder=folder)
+        memo = counter(file, folder)
         for ids, sizes, texts in batches(rows, ["doc_id", "n_bytes", "text"]):
-            out = []
-            for part in grouped(texts):
-                out += map(sum, memo.lookup_each([byte_level_pieces(texts[i]) for i in part]))
+            out = [0] * len(texts)
+            for group in grouped(texts):
+                pieces = [byte_level_pieces(part) for _, part in group]
+                get = memo.getter(pieces)
+                for (i, _), found in zip(group, pieces):
+                    out[i] += sum(map(get, found))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(out, pa.int64()), pa.array([n > limit for n in out], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))

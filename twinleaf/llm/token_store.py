@@ -17,8 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, bound_batches, documents, shared_dir
-from .library_tokens import byte_level_pieces, encoder
-from .token_counts import grouped
+from .library_tokens import byte_level_ids
 
 #: Tokens after which a shard is closed; a longer document has a shard of its own.
 SHARD_TOKENS = 1 << 20
@@ -96,16 +95,15 @@ class EliasFano:
         return high | (bits.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(1, dtype=np.uint64)
 
 
-def write_shard(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
-    """A shard record. doc_ids ascend, nulls first; ids are little-endian unsigned 32-bit integers."""
-    flat = np.frombuffer(b"".join(ids), "<u4")
-    wide = len(flat) and int(flat.max()) > 0xFFFF
-    bounds = EliasFano.build(np.cumsum([0] + [len(x) // 4 for x in ids])).to_bytes()
+def write_shard(doc_ids: list[int | None], sizes: list[int], ids: bytes, width: int) -> bytes:
+    """A shard record. doc_ids ascend, nulls first; sizes are numbers of ids; ids are the documents' ids
+    side by side, as little-endian unsigned integers of width bytes."""
+    bounds = EliasFano.build(np.cumsum([0, *sizes])).to_bytes()
     known = np.array([d for d in doc_ids if d is not None], np.int64)
     base = int(known[0]) if len(known) else 0
     names = EliasFano.build((known - base).astype(np.uint64)).to_bytes()
-    body = flat.astype("<u4" if wide else "<u2").tobytes()
-    return struct.pack(_HEAD, b"TLEF", 4 if wide else 2, len(doc_ids), len(doc_ids) - len(known), len(flat), base & 0xFFFFFFFFFFFFFFFF, len(body), len(bounds)) + body + bounds + names
+    head = struct.pack(_HEAD, b"TLEF", width, len(doc_ids), len(doc_ids) - len(known), len(ids) // width, base & 0xFFFFFFFFFFFFFFFF, len(ids), len(bounds))
+    return b"".join((head, ids, bounds, names))
 
 
 class Shard:
@@ -137,25 +135,27 @@ def write_store(docs: DataFrame, path: str, file: str = "byte_bpe_50k.json", end
     bound_batches(docs.sparkSession)
 
     def write(rows):
-        memo, end, part = encoder(file, "ids", folder=folder), end_id.to_bytes(4, "little"), TaskContext.get().partitionId()
-        names, held, size, shard, start = [], [], 0, 0, 0
+        model, part = byte_level_ids(file, folder), TaskContext.get().partitionId()
+        end, width = model.encode_id(end_id), model.width
+        names, sizes, held, shard, start = [], [], bytearray(), 0, 0
 
         def flush():
-            nonlocal names, held, size, shard, start
-            out = pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in ((part, pa.int32()), (shard, pa.int32()), (start, pa.int64()), (size, pa.int64()), (write_shard(names, held), pa.binary()))], ["part", "shard", "part_start", "n_tokens", "record"])
-            names, held, size, shard, start = [], [], 0, shard + 1, start + size
+            nonlocal names, sizes, held, shard, start
+            size = len(held) // width
+            record = write_shard(names, sizes, held, width)
+            out = pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in ((part, pa.int32()), (shard, pa.int32()), (start, pa.int64()), (size, pa.int64()), (record, pa.binary()))], ["part", "shard", "part_start", "n_tokens", "record"])
+            names, sizes, held, shard, start = [], [], bytearray(), shard + 1, start + size
             return out
 
         for doc_ids, texts in batches(rows, ["doc_id", "text"]):
-            for group in grouped(texts):
-                for i, x in zip(group, memo.lookup_each([byte_level_pieces(texts[i]) for i in group])):
-                    ids = b"".join(x) + end
-                    if held and size + len(ids) // 4 > SHARD_TOKENS:
-                        yield flush()
-                    names.append(doc_ids[i])
-                    held.append(ids)
-                    size += len(ids) // 4
-        if held:
+            for doc_id, ids in zip(doc_ids, model.of(texts)):
+                if sizes and (len(held) + len(ids)) // width >= SHARD_TOKENS:
+                    yield flush()
+                held += ids
+                held += end
+                names.append(doc_id)
+                sizes.append(len(ids) // width + 1)
+        if sizes:
             yield flush()
 
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
