@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -13,6 +14,7 @@ from tokenizers import Tokenizer
 from twinleaf.llm import library_tokens
 from twinleaf.llm.bpe import PerfectHash, encode_documents, model
 from twinleaf.llm.common import Memo
+from twinleaf.llm.library_tokens import token_counts, token_ids
 from twinleaf.llm.packing import BestFit, pack_documents
 from twinleaf.llm.token_counts import count_tokens
 from twinleaf.llm.token_store import EliasFano, Shard, read_store, write_shard, write_store
@@ -53,8 +55,8 @@ def test_heap_merges_like_the_library(rank_library):
     bpe, r = model(), random.Random(1)
     for _ in range(300):
         text = "".join(r.choice("abc dé. \n'") for _ in range(r.randrange(60)))
-        ids = bpe.encode_texts([text])[0]
-        assert ids == " ".join(map(str, rank_library.encode_ordinary(text)))
+        ids = bpe.encode_texts(pa.array([text]))[0]
+        assert ids.tolist() == rank_library.encode_ordinary(text)
         assert bpe.decode(ids) == text.encode()
 
 
@@ -151,38 +153,42 @@ def odd_texts(n: int, seed: int, most: int = 40) -> list[str]:
     return ["".join(r.choices(r.sample(ODD_PARTS, 8), k=r.randrange(most))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("group_bytes", [32, 1 << 20])
-def test_pieces_give_the_ids_of_whole_texts(monkeypatch, byte_level, rank_library, group_bytes):
-    monkeypatch.setattr(library_tokens, "GROUP_BYTES", group_bytes)
-    texts, words = odd_texts(3000, group_bytes), Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    own, lower = library_tokens.byte_level_ids("byte_bpe_50k.json"), library_tokens.word_ids("word_bpe_49k.json")
-    assert lower.of(texts) == [np.array(e.ids, "<u2").tobytes() for e in words.encode_batch(texts, add_special_tokens=False)]
+@pytest.mark.parametrize("span_bytes", [24, 4 << 20])
+def test_pieces_give_the_ids_of_whole_texts(monkeypatch, byte_level, rank_library, span_bytes):
+    monkeypatch.setattr(library_tokens, "SPAN_BYTES", span_bytes)
+    texts, words = odd_texts(3000, span_bytes), Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    column = pa.array(["before", *texts])[1:]  # a slice of a longer column
+    lists = lambda found: [x.tolist() for x in found]
+    assert lists(token_ids("word_bpe_49k.json", drops_space=True).of(column)) == [e.ids for e in words.encode_batch(texts, add_special_tokens=False)]
     want = byte_level.encode_batch(texts, add_special_tokens=False)
-    assert own.of(texts) == [np.array(e.ids, "<u2").tobytes() for e in want]
-    count = library_tokens.counter("byte_bpe_50k.json").getter([library_tokens.byte_level_pieces(t) for t in texts])
-    assert [sum(map(count, library_tokens.byte_level_pieces(t))) for t in texts] == [len(e.ids) for e in want]
-    assert model().encode_texts(texts) == [" ".join(map(str, rank_library.encode_ordinary(t))) for t in texts]
+    assert lists(token_ids("byte_bpe_50k.json").of(column)) == [e.ids for e in want]
+    assert token_counts("byte_bpe_50k.json").of(column).tolist() == [len(e.ids) for e in want]
+    assert lists(model().encode_texts(column)) == [rank_library.encode_ordinary(t) for t in texts]
 
 
 @pytest.mark.parametrize("unit", ["mot\u00a0: un\u202fmot, ", "\u65e5\u672c\u8a9e\u3002\u65e5\u672c\uff0c", "plain words, here. "])
-def test_long_texts_come_in_bounded_parts(byte_level, unit):
+def test_long_texts_are_cut(monkeypatch, byte_level, unit):
+    monkeypatch.setattr(library_tokens, "SPAN_BYTES", 1 << 18)
     text = unit * (3_000_000 // len(unit.encode()))
-    parts = [p for group in library_tokens.grouped([text]) for _, p in group]
-    assert "".join(parts) == text and max(map(library_tokens.utf8_size, parts)) < library_tokens.GROUP_BYTES
-    assert max(map(len, library_tokens.byte_level_pieces(text))) < 40
-    own = library_tokens.byte_level_ids("byte_bpe_50k.json")
-    assert own.of([text])[0] == np.array(byte_level.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+    found = list(library_tokens.spans(pa.array(["a b", text, "", "c"])))
+    assert len(found) > 8 and max(len(x) for _, distinct, *_ in found for x in distinct) < 40
+    assert b"".join(distinct[p] for pieces, distinct, *_ in found for p in pieces).decode() == "a b" + text + "c"
+    got = [x.tolist() for x in token_ids("byte_bpe_50k.json").of(pa.array(["a b", text, "", "c"]))]
+    assert got == [e.ids for e in byte_level.encode_batch(["a b", text, "", "c"], add_special_tokens=False)]
 
 
-def test_groups_are_balanced_by_bytes(monkeypatch):
-    monkeypatch.setattr(library_tokens, "GROUP_BYTES", 1000)
-    texts = ["a b " * k for k in range(60)] + ["\u00e9 " * 90] * 5
-    groups = list(library_tokens.grouped(texts))
-    back = {}
-    for i, part in (x for g in groups for x in g):
-        back[i] = back.get(i, "") + part
-    assert [back[i] for i in range(len(texts))] == texts
-    assert all(sum(library_tokens.utf8_size(p) for _, p in g) < 1500 for g in groups)
+def test_a_text_without_boundaries_is_one_piece(monkeypatch, byte_level):
+    monkeypatch.setattr(library_tokens, "SPAN_BYTES", 100)
+    texts = ["x" * 5000, None, "", "y z"]
+    got = [x.tolist() for x in token_ids("byte_bpe_50k.json").of(pa.array([t or "" for t in texts]))]
+    assert got == [byte_level.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_gather():
+    runs = [[1, 2], [], [3], [4, 5, 6]]
+    flat, sizes = np.array(sum(runs, [])), np.array(list(map(len, runs)))
+    for which in ([], [1], [3, 0, 0, 1, 2], [2, 1, 3]):
+        assert library_tokens.gather(flat, sizes, np.array(which, int)).tolist() == sum((runs[i] for i in which), [])
 
 
 def test_memo_is_bounded_and_keeps_no_long_keys():
@@ -194,15 +200,14 @@ def test_memo_is_bounded_and_keeps_no_long_keys():
 
     memo, r = Memo(compute, limit=20_000), random.Random(2)
     for _ in range(200):
-        groups = [[r.choice("abcdef") * r.randrange(1, 60) for _ in range(20)] for _ in range(3)] + [["x" * 1000, "x" * 5000]]
-        get = memo.getter(groups)
-        assert [[get(k) for k in g] for g in groups] == [[k.upper() for k in g] for g in groups]
+        keys = list({bytes([r.choice(b"abcdef")]) * r.randrange(1, 60) for _ in range(60)} | {b"x" * 1000, b"x" * 5000})
+        assert memo.values(keys) == [k.upper() for k in keys]
         assert max(map(len, [*memo.young, *memo.old])) <= Memo.LONG
     assert len(memo.young) < 400 and len(seen) > 400
 
 
 def test_a_worker_holds_one_model():
-    first = library_tokens.byte_level_ids("byte_bpe_50k.json")
-    assert library_tokens.byte_level_ids("byte_bpe_50k.json") is first
-    library_tokens.counter("byte_bpe_50k.json")
-    assert library_tokens.byte_level_ids("byte_bpe_50k.json") is not first
+    first = token_ids("byte_bpe_50k.json")
+    assert token_ids("byte_bpe_50k.json") is first
+    token_counts("byte_bpe_50k.json")
+    assert token_ids("byte_bpe_50k.json") is not first

@@ -10,14 +10,16 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import itertools
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, batches, bound_batches, documents, tokenizer_path, worker_model
-from .library_tokens import byte_level_pieces, grouped
+from .common import Memo, bound_batches, documents, text_batches, tokenizer_path, worker_model
+from .library_tokens import gather, spans
 
 
 class PerfectHash:
@@ -81,7 +83,10 @@ class BytePairs:
         self.ids = [0] * len(ranks)
         for (key, rank), slot in zip(ranks.items(), self.hash.slot_of.tolist()):
             self.keys[slot], self.ids[slot] = key, rank
-        self.text_of = {str(i): key for key, i in ranks.items()}
+        listed = sorted(ranks, key=ranks.__getitem__)
+        self.bytes_at, self.size_at = np.frombuffer(b"".join(listed), np.uint8), np.fromiter(map(len, listed), np.int64, len(listed))
+        self.place_of = {i: k for k, i in enumerate(sorted(ranks.values()))}
+        self.dense = all(i == k for i, k in self.place_of.items())
         self.pieces = Memo(self._encode_pieces)
 
     @classmethod
@@ -114,31 +119,30 @@ class BytePairs:
             i = end[i]
         return out
 
-    def _encode_words(self, words: list[str]) -> list[str]:
-        raw = [w.encode() for w in words]
-        slots = self.hash.slots(raw).tolist()
-        keys, ids, merge = self.keys, self.ids, self.merge
-        return [str(ids[s]) if keys[s] == w else " ".join(map(str, merge(w))) for w, s in zip(raw, slots)]
-
-    def _encode_pieces(self, pieces: list[str]) -> list[str]:
-        split = list(map(self.split, pieces))
+    def _encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        split = [self.split(p.decode()) for p in pieces]
         words = list(set().union(*split))
-        get = dict(zip(words, self._encode_words(words))).__getitem__
-        return [get(x[0]) if len(x) == 1 else " ".join(map(get, x)) for x in split]
-
-    def encode_texts(self, texts: list[str]) -> list[str]:
-        """Ids of each text, as decimal numbers with one space between."""
-        out: list[list[str]] = [[] for _ in texts]
-        for group in grouped(texts):
-            pieces = [byte_level_pieces(part) for _, part in group]
-            get = self.pieces.getter(pieces)
-            for (i, _), found in zip(group, pieces):
-                if found:
-                    out[i].append(" ".join(map(get, found)))
-        return list(map(" ".join, out))
-
-    def decode(self, ids: str) -> bytes:
-        return b"".join(map(self.text_of.__getitem__, ids.split(" "))) if ids else b""
+        raw = [w.encode() for w in words]
+        keys, ids, merge, slots = self.keys, self.ids, self.merge, self.hash.slots(raw).tolist()
+        get = {w: array("I", [ids[s]] if keys[s] == r else merge(r)).tobytes() for w, r, s in zip(words, raw, slots)}.__getitem__
+        return [get(x[0]) if len(x) == 1 else b"".join(map(get, x)) for x in split]
+
+    def encode_texts(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text."""
+        parts: list[list[np.ndarray]] = [[] for _ in range(len(texts))]
+        for pieces, distinct, edges, first, _ in spans(texts):
+            found = self.pieces.values(distinct)
+            sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            ids = gather(np.frombuffer(b"".join(found), np.uint32), sizes, pieces)
+            at = np.append(0, np.cumsum(sizes[pieces]))[edges].tolist()
+            for k, (a, b) in enumerate(itertools.pairwise(at)):
+                if b > a:
+                    parts[first + k].append(ids[a:b])
+        return [x[0] if len(x) == 1 else np.concatenate(x) if x else np.zeros(0, np.uint32) for x in parts]
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        at = ids if self.dense else np.array([self.place_of[i] for i in ids.tolist()], np.int64)
+        return gather(self.bytes_at, self.size_at, at).tobytes()
 
 
 def model(path: str | None = None) -> BytePairs:
@@ -162,15 +166,15 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def encode(rows):
         bpe, digest = model(path), hashlib.sha256
-        for doc_ids, texts in batches(rows, ["doc_id", "text"]):
+        for doc_ids, texts in text_batches(rows, ["doc_id"]):
             ids = bpe.encode_texts(texts)
             arrays = [
                 pa.array(doc_ids, pa.int64()),
-                pa.array([x.count(" ") + 1 if x else 0 for x in ids], pa.int64()),
-                pa.array([digest(x.encode()).hexdigest() for x in ids]),
+                pa.array([len(x) for x in ids], pa.int64()),
+                pa.array([digest(" ".join(map(str, x.tolist())).encode()).hexdigest() for x in ids]),
                 pa.array([digest(bpe.decode(x)).hexdigest() for x in ids]),
             ]
-            more = [pa.array([list(map(int, x.split())) for x in ids], pa.list_(pa.int32()))] if with_ids else []
+            more = [pa.array([x.tolist() for x in ids], pa.list_(pa.int32()))] if with_ids else []
             yield pa.RecordBatch.from_arrays(arrays + more, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
 
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Tokenizer files; every operator that needs one takes the folder or the path as a parameter.
@@ -67,8 +68,8 @@ def worker_model(key: tuple, make):
 
 class Memo:
     """A dictionary of computed values, bounded in bytes, in two generations: when the young one is full
-    it becomes the old one, and entries that are met again move back. Keys over LONG characters are
-    never kept. Losing an entry only costs computing it again, so results never depend on the bound."""
+    it becomes the old one, and entries that are met again move back. Keys over LONG bytes are never
+    kept. Losing an entry only costs computing it again, so results never depend on the bound."""
 
     #: Bytes of one generation, as Python counts its keys and values, and of an entry's place in it.
     BYTES, ENTRY = 64 << 20, 110
@@ -77,22 +78,32 @@ class Memo:
     def __init__(self, compute_many, limit: int = BYTES):
         self.compute_many, self.limit, self.size, self.young, self.old = compute_many, limit, 0, {}, {}
 
-    def getter(self, groups: list[list[str]]):
-        """A function that gives the value of each key in groups; new keys are computed together, each
-        once."""
+    def values(self, keys: list[bytes]) -> list:
+        """The value of each of keys, which are distinct; new ones are computed together."""
         if self.size > self.limit:
             self.young, self.old, self.size = {}, self.young, 0
-        young, old, sizeof = self.young, self.old, sys.getsizeof
-        fresh = set().union(*groups).difference(young)
-        if not fresh:
-            return young.__getitem__
-        found = {k: old[k] for k in fresh if k in old}
-        fresh = [k for k in fresh if k not in found]
-        found.update(zip(fresh, self.compute_many(fresh)))
-        once = {k: found.pop(k) for k in fresh if len(k) > self.LONG}
-        young.update(found)
-        self.size += sum(map(sizeof, found)) + sum(map(sizeof, found.values())) + self.ENTRY * len(found)
-        return (lambda k: once[k] if k in once else young[k]) if once else young.__getitem__
+        old, sizeof, found = self.old, sys.getsizeof, list(map(self.young.get, keys))
+        missing = [i for i, v in enumerate(found) if v is None]
+        fresh = []
+        for i in missing:
+            v = found[i] = old.get(keys[i])
+            if v is None:
+                fresh.append(i)
+        for i, v in zip(fresh, self.compute_many([keys[i] for i in fresh]) if fresh else ()):
+            found[i] = v
+        kept = {keys[i]: found[i] for i in missing if len(keys[i]) <= self.LONG}
+        self.young.update(kept)
+        self.size += sum(map(sizeof, kept)) + sum(map(sizeof, kept.values())) + self.ENTRY * len(kept)
+        return found
+
+
+def text_batches(rows: Iterator, columns: list[str], text: str = "text") -> Iterator[tuple]:
+    """The named columns of each Arrow batch as Python lists, and its texts (without nulls) as they are."""
+    for batch in rows:
+        if batch.num_rows:
+            at = batch.schema.get_field_index
+            texts = batch.column(at(text))
+            yield (*(batch.column(at(c)).to_pylist() for c in columns), texts if pa.types.is_string(texts.type) else texts.cast(pa.string()))
 
 
 def batches(rows: Iterator, columns: list[str]) -> Iterator[tuple]:

@@ -9,14 +9,13 @@ from __future__ import annotations
 
 import zlib
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, bound_batches, documents
-from .library_tokens import word_ids
+from .common import bound_batches, documents, text_batches
+from .library_tokens import token_ids
 
 
 class BestFit:
@@ -75,16 +74,16 @@ def pack_documents(
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
     def pack(rows):
-        model, bins = word_ids(file, folder), BestFit(capacity, max_open)
-        base, end, step = TaskContext.get().partitionId() << 32, model.encode_id(end_id), model.width
-        for doc_ids, texts in batches(rows, ["doc_id", "text"]):
+        model, bins = token_ids(file, folder, drops_space=True), BestFit(capacity, max_open)
+        base, end = TaskContext.get().partitionId() << 32, end_id.to_bytes(4, "little")
+        for doc_ids, texts in text_batches(rows, ["doc_id"]):
             out, kept = [], []
-            for doc_id, x in zip(doc_ids, model.of(texts)):
-                ids = np.frombuffer(x + end, f"<u{step}").astype("<u4").tobytes()
+            for doc_id, found in zip(doc_ids, model.of(texts)):
+                ids = found.astype("<u4").tobytes() + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     piece = ids[at : at + 4 * capacity]
-                    found, offset = bins.place(len(piece) // 4)
-                    out.append((doc_id, k, at // 4, len(piece) // 4, zlib.crc32(piece), base + found, offset))
+                    place, offset = bins.place(len(piece) // 4)
+                    out.append((doc_id, k, at // 4, len(piece) // 4, zlib.crc32(piece), base + place, offset))
                     kept.append(piece)
             arrays = [pa.array(c, pa.int32() if n == "piece" else pa.int64()) for n, c in zip(names, zip(*out))]
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(kept, pa.binary())] * with_ids, names + ["ids"] * with_ids)

@@ -6,29 +6,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, bound_batches, documents
-from .library_tokens import byte_level_pieces, counter, grouped
+from .common import bound_batches, documents, text_batches
+from .library_tokens import token_counts
 
 
 def count_tokens(docs: DataFrame, file: str = "byte_bpe_50k.json", limit: int = 512, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row; only lengths leave the worker.
 
-    Texts are cut at safe boundaries, long ones into parts first; groups of parts with balanced bytes
-    are looked up together, and distinct pieces that are new go through the library's batch encoder in
-    calls of balanced bytes. Null and empty texts have no bytes and no tokens; repeated rows are counted
-    each; other columns are ignored; an empty table gives no rows."""
+    Texts are cut at safe boundaries; spans of pieces with balanced bytes are looked up together, long
+    texts over several spans, and distinct pieces that are new go through the library's batch encoder
+    in calls of balanced bytes. Null and empty texts have no bytes and no tokens; repeated rows are
+    counted each; other columns are ignored; an empty table gives no rows."""
     bound_batches(docs.sparkSession)
 
     def count(rows):
-        memo = counter(file, folder)
-        for ids, sizes, texts in batches(rows, ["doc_id", "n_bytes", "text"]):
-            out = [0] * len(texts)
-            for group in grouped(texts):
-                pieces = [byte_level_pieces(part) for _, part in group]
-                get = memo.getter(pieces)
-                for (i, _), found in zip(group, pieces):
-                    out[i] += sum(map(get, found))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(out, pa.int64()), pa.array([n > limit for n in out], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        model = token_counts(file, folder)
+        for ids, sizes, texts in text_batches(rows, ["doc_id", "n_bytes"]):
+            out = model.of(texts)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(out), pa.array(out > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))

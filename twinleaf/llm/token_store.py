@@ -16,8 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, bound_batches, documents, shared_dir
-from .library_tokens import byte_level_ids
+from .common import batches, bound_batches, documents, shared_dir, text_batches
+from .library_tokens import token_ids
 
 #: Tokens after which a shard is closed; a longer document has a shard of its own.
 SHARD_TOKENS = 1 << 20
@@ -135,8 +135,9 @@ def write_store(docs: DataFrame, path: str, file: str = "byte_bpe_50k.json", end
     bound_batches(docs.sparkSession)
 
     def write(rows):
-        model, part = byte_level_ids(file, folder), TaskContext.get().partitionId()
-        end, width = model.encode_id(end_id), model.width
+        model, part = token_ids(file, folder), TaskContext.get().partitionId()
+        width = model.width
+        end = end_id.to_bytes(width, "little")
         names, sizes, held, shard, start = [], [], bytearray(), 0, 0
 
         def flush():
@@ -147,14 +148,14 @@ def write_store(docs: DataFrame, path: str, file: str = "byte_bpe_50k.json", end
             names, sizes, held, shard, start = [], [], bytearray(), shard + 1, start + size
             return out
 
-        for doc_ids, texts in batches(rows, ["doc_id", "text"]):
+        for doc_ids, texts in text_batches(rows, ["doc_id"]):
             for doc_id, ids in zip(doc_ids, model.of(texts)):
-                if sizes and (len(held) + len(ids)) // width >= SHARD_TOKENS:
+                if sizes and len(held) // width + len(ids) >= SHARD_TOKENS:
                     yield flush()
-                held += ids
+                held += ids.tobytes()
                 held += end
                 names.append(doc_id)
-                sizes.append(len(ids) // width + 1)
+                sizes.append(len(ids) + 1)
         if sizes:
             yield flush()
 
