@@ -132,13 +132,13 @@ class Library:
     Pieces that may stand side by side without any effect on their ids go through the batch encoder
     WORDS to a text, and the bytes of their tokens tell where the ids of each end. For byte-level
     tokenizers (drops_space false) these are all that begin with space and end with none; for others
-    words of letters whose lower case is known, a space between them. All other pieces are texts of
+    those of characters whose lower case is known. All other pieces are texts of
     their own in the same encoder."""
 
     WORDS = 512
     _SIDE = re.compile(rb"[ \t-\r][\x00-\xff]*[!-~]")
-    #: ASCII and Latin letters (U+00C0 to U+024F without the dotted capital I and two signs).
-    _PLAIN = re.compile(rb" (?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|[\xc5-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+")
+    #: Space, then ASCII and Latin letters (U+00C0 to U+024F without the dotted capital I and two signs).
+    _PLAIN = re.compile(rb"[ \t-\r]+(?:[!-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|[\xc5-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+")
 
     def __init__(self, file: str, folder: str | None = None, drops_space: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks fill the cores
@@ -169,10 +169,8 @@ class Library:
             ids = np.fromiter(itertools.chain.from_iterable(self._ids(texts)), np.int64)
             sizes = np.fromiter(map(len, there), np.int64, len(there))
             if self.drops_space:  # without the space before each; few letters have more bytes in lower case
-                sizes -= 1
-                for k, p in enumerate(there):
-                    if not p.isascii():
-                        sizes[k] = len(p.decode().lower().encode()) - 1
+                bare = map(bytes.strip, there)
+                sizes = np.fromiter((len(p) if p.isascii() else len(p.decode().lower().encode()) for p in bare), np.int64, len(there))
             ends, wanted = np.cumsum(self.bytes_of[ids]), np.cumsum(sizes)
             at = np.searchsorted(ends, wanted)
             if len(ends) and ends[-1] == wanted[-1] and (ends[at] == wanted).all():
