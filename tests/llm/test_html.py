@@ -223,3 +223,5 @@ def test_pages(spark):
     got = sorted((r["page_id"], r["text"], r["n_chars"]) for r in extract_pages(pages).collect())
     assert got == [(1, "a", 1), (1, "a", 1), (2, "", 0), (3, "", 0)]
     assert extract_pages(pages.where("false")).collect() == []
+    named = sorted((r["page_id"], r["row"]["text"], r["text"]) for r in extract_pages(pages, keep=["text", "url"]).collect())
+    assert named == [(1, "x", "a"), (1, "x", "a"), (2, "y", ""), (3, "z", "")]

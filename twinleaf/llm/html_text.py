@@ -11,6 +11,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bound_batches
 
@@ -363,12 +364,12 @@ def render(root: Node, visible: bool = True) -> list[str]:
             if lists and lists[-1][0]:
                 marker = f"{lists[-1][1]}. "
                 lists[-1][1] += 1
-            old = page.indent
+            old, outer = page.indent, page.marker
             page.indent += len(marker)
             page.marker = marker
 
-            def leave(old=old):
-                page.indent, page.marker = old, ""
+            def leave(old=old, outer=outer):  # an item without a line leaves the outer marker to the next
+                page.indent, page.marker = old, outer if page.marker else ""
 
             todo.append((leave, vis))
         elif tag == "dd":
@@ -403,23 +404,24 @@ def extract(page: str | None) -> str:
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
-    """The id (and the columns named in keep), text and n_chars of every row.
+    """The id, text and n_chars of every row, and with keep also row, a struct of the columns named there.
 
     Null, empty and text-free pages give an empty text; repeated rows are rendered each; other columns
     are ignored; an empty table gives no rows. Elements and tables may be nested to any depth: nothing
     recurses, and no depth is laid out in another way."""
     bound_batches(pages.sparkSession)
-    columns = list(dict.fromkeys([id_col, *(keep or [])]))
-    schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in columns)
+    more = [] if keep is None else [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")]
+    plain = pages.select(F.col(html_col).alias("html"), F.col(id_col).alias(id_col), *more)
 
     def run(rows):
         for batch in rows:
             if batch.num_rows:
-                texts = [extract(p) for p in batch.column(batch.schema.get_field_index(html_col)).to_pylist()]
-                kept = [batch.column(batch.schema.get_field_index(c)) for c in columns]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*columns, "text", "n_chars"])
+                texts = [extract(p) for p in batch.column(0).to_pylist()]
+                columns = [*batch.columns[1:], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[1:], "text", "n_chars"])
 
-    return pages.select(*dict.fromkeys([*columns, html_col])).mapInArrow(run, f"{schema}, text string, n_chars long")
+    schema = T.StructType([*plain.schema.fields[1:], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    return plain.mapInArrow(run, schema)
 
 
 def op6_html(spark, sf_dir: str) -> DataFrame:
