@@ -2,10 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpus_pipeline import near_dedup
-from twinleaf.llm.likeness import near_texts
+from twinleaf.llm import simhash as simhash_module
+from twinleaf.llm.likeness import Bands, components_of, likeness, near_texts, shingle_set, text_hash
 from twinleaf.llm.simhash import simhash
 
 from .data import SCHEMA, awkward, documents, empty
@@ -16,29 +19,30 @@ def plain_shingles(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
 
 
-def groups(rows):
-    """Sets of indices of rows that links of likeness 0.8 reach."""
-    sets, seen, out = [plain_shingles(t) for _, t in rows], set(), []
-    for i in range(len(rows)):
+def groups(texts):
+    """Sets of texts that links of likeness 0.8 reach; texts without repeats."""
+    sets, seen, out = [plain_shingles(t) for t in texts], set(), []
+    for i in range(len(texts)):
         todo, group = [i], set()
         while todo:
             x = todo.pop()
             if x not in seen:
                 seen.add(x)
                 group.add(x)
-                todo += [y for y in range(len(rows)) if 10 * len(sets[x] & sets[y]) >= 8 * len(sets[x] | sets[y])]
-        out += [group] * bool(group)
+                todo += [y for y in range(len(texts)) if 10 * len(sets[x] & sets[y]) >= 8 * len(sets[x] | sets[y])]
+        if group:
+            out.append({texts[x] for x in group})
     return out
 
 
-def near_copies(n_groups=12, size=4, words=120):
-    """Texts and copies with one word in 60 changed, as (doc_id, text)."""
-    r, rows = random.Random(4), []
+def near_copies(n_groups=12, size=4, words=120, changes=2, seed=4):
+    """Texts and copies with some words changed, as (doc_id, text)."""
+    r, rows = random.Random(seed), []
     for _ in range(n_groups):
         base = ["".join(r.choices("abcdefghij", k=6)) for _ in range(words)]
         for k in range(size):
             copy = list(base)
-            for at in r.sample(range(words), k and 2):
+            for at in r.sample(range(words), k and (changes if isinstance(changes, int) else r.choice(changes))):
                 copy[at] = "".join(r.choices("klmnop", k=6))
             rows.append((len(rows), " ".join(copy)))
     return rows
@@ -49,35 +53,102 @@ def frame(spark, rows):
 
 
 def survivors(rows):
-    return sorted(min(rows[i][0] for i in g) for g in groups(rows))
+    """(doc_id, text) of the rows that stay: of each group of texts the one with the smallest id, None last."""
+    least = {}
+    for i, t in rows:
+        key = (i is None, i or 0)
+        least[t or ""] = min(least.get(t or "", key), key)
+    out = []
+    for g in groups(list(least)):
+        first = min(least[t] for t in g)
+        out.append((None if first[0] else first[1], {t for t in g if least[t] == first}))
+    return out
+
+
+def check(spark, docs):
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    kept = near_dedup(spark, docs, "")
+    assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
+    got, want = kept.select("doc_id", "text").collect(), survivors(rows)
+    assert len(got) == len(want)
+    for r in got:
+        assert any(r["doc_id"] == i and (r["text"] or "") in ts for i, ts in want), r
+    return got
 
 
 def test_near_copies_beyond_three_bits(spark):
     rows = near_copies()
     fps = [simhash(t) for _, t in rows]
     assert any((fps[0] ^ fps[i]).bit_count() > 3 for i in range(1, 4))
-    want = survivors(rows)
-    assert len(want) < len(rows)
-    assert sorted(r["doc_id"] for r in near_dedup(spark, frame(spark, rows), "").collect()) == want
+    assert len(check(spark, frame(spark, rows))) < len(rows)
 
 
 def test_a_large_group_is_one(spark):
     rows = near_copies(2, 150)
-    assert sorted(r["doc_id"] for r in near_dedup(spark, frame(spark, rows), "").collect()) == survivors(rows) == [0, 150]
+    assert sorted(r["doc_id"] for r in check(spark, frame(spark, rows))) == [0, 150]
 
 
 @pytest.mark.parametrize("make", [documents, awkward, empty])
-def test_components_of_texts(spark, make):
-    docs = make(spark)
-    rows = docs.select("doc_id", "text").collect()
-    parts = lambda pairs: sorted(sorted(map(str, v)) for v in pairs)
-    want = []
-    for g in groups(rows):
-        texts = {}
-        for i in g:
-            texts.setdefault(rows[i][1] or "", []).append(rows[i][0])
-        want.append([min((x for x in v if x is not None), default=None) for v in texts.values()])
-    got = {}
-    for r in near_texts(docs).collect():
-        got.setdefault(r["component_h"], []).append(r["doc_id"])
-    assert parts(got.values()) == parts(want)
+def test_documents(spark, make):
+    check(spark, make(spark))
+
+
+def test_different_texts_under_one_id_stay(spark):
+    a, b, c = (t for _, t in near_copies(3, 1))
+    for rows in ([(1, a), (5, a), (5, b)], [(5, b), (5, a), (1, a)], [(5, a), (5, b), (1, a), (None, b), (None, c), (None, c)]):
+        got = sorted(((r["doc_id"], r["text"]) for r in check(spark, frame(spark, rows))), key=str)
+        assert got == sorted({(1, a), (5, b)} | ({(None, c)} if len(rows) > 3 else set()), key=str)
+
+
+def test_equal_ids_and_texts_are_told_apart_by_their_other_columns(spark):
+    rows = [(1, "some text", "en", "b", 9), (1, "some text", "en", "a", 9), (1, "some text", "en", "a", 9)]
+    kept = [near_dedup(spark, spark.createDataFrame(x, SCHEMA), "").collect() for x in (rows, rows[::-1])]
+    assert kept[0] == kept[1] and len(kept[0]) == 1
+
+
+@pytest.mark.parametrize("small", [1, 3, 64])
+def test_all_levels_find_the_same_components(spark, small):
+    """Copies with up to 15 changed words: many pairs are just below 0.8, so stars leave much open."""
+    texts = [t for _, t in near_copies(3, 60, changes=(1, 3, 6, 9, 12, 15))]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select(text_hash(F.col("text")).alias("h"), "text")
+    names = {r["h"]: r["text"] for r in df.collect()}
+    roots = {r["node"]: r["root"] for r in components_of(df, small=small).collect()}
+    found = {}
+    for h, t in names.items():
+        found.setdefault(roots.get(h, h), set()).add(t)
+    want = groups(texts)
+    assert 3 < len(want) < len(texts)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, want))
+
+
+def test_likeness_of_sets():
+    r = random.Random(3)
+    for _ in range(200):
+        a, b = ({r.randrange(30) for _ in range(r.randrange(1, 20))} for _ in range(2))
+        assert likeness(*(np.array(sorted(x), np.uint64) for x in (a, b))) == len(a & b) / len(a | b)
+
+
+def test_keys_meet_as_often_as_they_should():
+    """Texts of likeness 0.8 nearly always share a key on each level, texts of 0.2 hardly ever."""
+    r = random.Random(1)
+    for rows, bands in ((4, 20), (8, 64)):
+        level, near, far = Bands(rows, bands), 0, 0
+        for _ in range(60):
+            base = [r.getrandbits(64) for _ in range(180)]
+            keys = [set(zip(range(bands), level.keys(np.array(x, np.uint64)))) for x in (base, base[:160] + [r.getrandbits(64) for _ in range(20)], base[:60] + [r.getrandbits(64) for _ in range(120)])]
+            near, far = near + bool(keys[0] & keys[1]), far + bool(keys[0] & keys[2])
+        assert near >= 59 and far <= 12
+
+
+def test_shingles_of_long_texts_come_in_parts(monkeypatch):
+    text = " ".join(f"w{i % 700}" for i in range(3000)) + "\n" + "x" * 5000 + " end here"
+    whole = [shingle_set(text).tolist(), simhash(text), simhash(text, 1)]
+    monkeypatch.setattr(simhash_module, "PART", 50)
+    assert [shingle_set(text).tolist(), simhash(text), simhash(text, 1)] == whole
+    assert len(list(simhash_module.shingle_hashes(text, 5))) > 100
+
+
+def test_groups_have_the_ids_of_their_rows(spark):
+    docs = documents(spark)
+    rows, found = near_texts(docs)
+    assert found.count() == rows.count() == len({t or "" for (t,) in docs.select("text").collect()})

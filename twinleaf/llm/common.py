@@ -28,13 +28,37 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _table_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/twinleaf-tables/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: the rows are computed once, the lineage is
-    cut, and the loss of an executor loses nothing. The caller owns the folder's lifetime."""
+    cut, and the loss of an executor loses nothing. discard takes the table away once it is of no use;
+    those that a result still reads belong to the caller."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/twinleaf-tables/{name}-{uuid.uuid4().hex}"
+    path = _table_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
+
+
+def materialize_by(df: DataFrame, key: str, name: str) -> DataFrame:
+    """materialize in buckets by a column, as many as there are shuffle partitions: joins and aggregates
+    on it leave the rows where they are."""
+    spark = df.sparkSession
+    path, table = _table_path(spark, name), f"twinleaf_{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).sortBy(key).format("parquet").option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table behind a DataFrame of materialize, which nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._table_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bound_batches(spark: SparkSession) -> None:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -36,9 +36,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = materialize(edges.toDF("a", "b").where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
     for _ in range(max_rounds):
-        edges = materialize(_star(_star(edges, True), False), "edges")
+        before, edges = edges, materialize(_star(_star(edges, True), False), "edges")
+        discard(before)
         now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
         if now == seen:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
+            found = materialize(edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct()), "components")
+            discard(edges)
+            return found
         seen = now
     raise RuntimeError("components did not settle")

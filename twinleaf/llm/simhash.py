@@ -10,35 +10,57 @@ every colliding pair is verified on all 64 bits.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, bound_batches, documents, materialize
+from .common import batches, bound_batches, discard, documents, materialize
 from .components import connected_components
 
 RADIUS = 3
 #: Bits of the three blocks, from the lowest.
 BLOCKS = ((0, 22), (22, 43), (43, 64))
+#: Bytes of a text whose words are held at once.
+PART = 1 << 18
+_SPACE = re.compile(rb"[ \t-\r]")
 
 
-def simhash(text: str | None, width: int = 3, seed: int = 42) -> int:
-    """Fingerprint of a text: words between ASCII white space, A-Z in lower case, shingles of width
-    words with repeats (fewer words: all of them), XXH64 of each; a bit is 1 if it is set in over
-    half of the hashes. No word at all: 0."""
+def shingle_hashes(text: str | None, width: int, seed: int = 42) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles of a text, repeats included, in arrays of bounded size: words are between ASCII white
+    space, A-Z in lower case, a shingle is width words with a space between them. Fewer words: all of
+    them; no word at all: nothing."""
     import xxhash
 
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 0
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else [b" ".join(words)]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(s, seed) for s in shingles], dtype=">u8")
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 65536):
-        ones += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+    digest, data, at, held, any_yet = xxhash.xxh64_intdigest, (text or "").encode().lower(), 0, [], False
+    while at < len(data):
+        end = at + PART
+        cut = _SPACE.search(data, end) if end < len(data) else None
+        end = cut.start() if cut else len(data)
+        words = held + data[at:end].split()
+        if len(words) >= width:
+            yield np.array([digest(s, seed) for s in map(b" ".join, zip(*(words[i:] for i in range(width))))], np.uint64)
+            any_yet = True
+        held, at = words[max(0, len(words) - width + 1) :], end
+    if held and not any_yet:
+        yield np.array([digest(b" ".join(held), seed)], np.uint64)
+
+
+def fingerprint(hashes: Iterable[np.ndarray]) -> int:
+    """A bit is 1 if it is set in over half of the hashes; no hash at all: 0."""
+    ones, n = np.zeros(64, np.int64), 0
+    for part in hashes:
+        ones += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        n += len(part)
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+
+
+def simhash(text: str | None, width: int = 3) -> int:
+    """The fingerprint of a text's shingles."""
+    return fingerprint(shingle_hashes(text, width))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -69,6 +91,7 @@ def links(distinct_fps: DataFrame) -> DataFrame:
         return F.transform(listed, lambda flip: masked.bitwiseXOR(flip))
 
     emitted = [variants(low, high) for low, high in BLOCKS]
+    distinct_fps = distinct_fps.repartition("fp")  # the rows grow a hundredfold: spread them before that
     balls = distinct_fps.select("fp", F.explode(F.concat(*emitted)).alias("key"))
     # both sides have the same form, so that they share one shuffle
     left, right = (balls.select(F.col("key").alias(f"key_{x}"), F.col("fp").alias(x)) for x in "ab")
@@ -89,6 +112,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = connected_components(links(least.select("fp")))
     joined = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     joined = materialize(joined, "roots")
+    discard(least)
+    discard(roots)
     component = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = joined.join(component, "root").select(F.col("fp").alias("_fp"), "component_id")
     return marked.join(labels, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
