@@ -18,6 +18,7 @@ from twinleaf.llm.sharding import permuted, shard_documents
 from twinleaf.llm.simhash import near_duplicates, simhash
 
 from .data import awkward, documents, empty, texts
+from .test_likeness import survivors
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -151,7 +152,7 @@ def test_language(spark):
     docs = spark.createDataFrame([*rows, (900, None, "en", "s", 0), (901, "", "de", "s", 0), (902, "123 !!", "fr", "s", 0), (903, "²½", None, "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
     net = train(docs)
     assert net.classes == sorted(SAMPLES)
-    got = {r["doc_id"]: r for r in identify(docs, net).collect()}
+    got = {r["row"]["doc_id"]: r for r in identify(docs, net).collect()}
     assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (900, 901, 902, 903))
     held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 == 2]
     assert sum(got[r[0]]["lang_pred"] == r[2] for r in held) >= 0.97 * len(held)
@@ -166,8 +167,8 @@ def test_language_reads_nothing_but_text(spark):
     docs = spark.createDataFrame(speech(300, 2), "doc_id long, text string, lang string, source string, n_chars long")
     net = train(docs)
     shuffled = docs.selectExpr("doc_id + 1000 AS doc_id", "text", "'xx' AS lang", "'other' AS source")
-    a = sorted((r["doc_id"] - 1000, r["lang_pred"], r["score"]) for r in identify(shuffled, net).collect())
-    b = sorted((r["doc_id"], r["lang_pred"], r["score"]) for r in identify(docs, net).collect())
+    a = sorted((r["row"]["doc_id"] - 1000, r["lang_pred"], r["score"]) for r in identify(shuffled, net, keep=["doc_id"]).collect())
+    b = sorted((r["row"]["doc_id"], r["lang_pred"], r["score"]) for r in identify(docs, net).collect())
     assert [x[:2] for x in a] == [x[:2] for x in b] and np.allclose([x[2] for x in a], [x[2] for x in b])
 
 
@@ -234,16 +235,20 @@ def test_quality_counts(spark, make):
     want = sorted((str(i), *plain_quality(t)) for i, t in docs.select("doc_id", "text").collect())
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     got = judge(docs, keep=["doc_id"]).collect()
-    assert sorted((str(r["doc_id"]), *(r[n] for n in names)) for r in got) == want
+    assert sorted((str(r["row"]["doc_id"]), *(r[n] for n in names)) for r in got) == want
+    assert sorted(map(str, judge(docs, keep=["doc_id"], only_kept=True).collect())) == sorted(str(r) for r in got if r["kept"])
     assert not any(r["kept"] and r["base_failed"] for r in got)
 
 
 def test_quality_verdict(spark):
     good = "This is a plain sentence with enough words to be kept by every single rule. And it goes on for a while longer."
     cases = {1: good, 2: good + "\nHome | About | Contact | Help", 3: "\n".join(f"menu entry {i} without an end" for i in range(9)), 4: good + "\nAccept cookies to use this site.", 5: "a### b$$$ c%%% " * 10 + "."}
-    got = {r["doc_id"]: r for r in judge(spark.createDataFrame(list(cases.items()), "doc_id long, text string"), keep=["doc_id"]).collect()}
-    assert {i: r["kept"] for i, r in got.items()} == {1: True, 2: True, 3: False, 4: True, 5: False}
-    assert got[2]["cleaned_text"] == good == got[4]["cleaned_text"]
+    cases[6] = "«Ein Zitat», sagte sie, «und noch eines», und die Rede ging weiter. " + good + " The word copyright stands in a long line."
+    cases[7] = good + "\nAlle Rechte vorbehalten."
+    got = {r["row"]["doc_id"]: r for r in judge(spark.createDataFrame(list(cases.items()), "doc_id long, text string"), keep=["doc_id"]).collect()}
+    assert {i: r["kept"] for i, r in got.items()} == {1: True, 2: True, 3: False, 4: True, 5: False, 6: True, 7: True}
+    assert got[2]["cleaned_text"] == good == got[4]["cleaned_text"] == got[7]["cleaned_text"]
+    assert got[6]["cleaned_text"] == cases[6]
 
 
 def test_pipeline_by_stages(spark, tmp_path):
@@ -260,10 +265,27 @@ def test_pipeline_by_stages(spark, tmp_path):
     assert 2000 not in text and 2001 not in text and len(text) >= 160
     kept = {r["doc_id"]: r["text"] for r in seen[2].collect()}
     assert set(kept) == {i for i, t in text.items() if not plain_quality(t)[5]}
-    fps = {i: plain_simhash(t) for i, t in kept.items()}
-    ids = sorted(fps)
-    roots = components(len(ids), [(a, b) for a in range(len(ids)) for b in range(a) if (fps[ids[a]] ^ fps[ids[b]]).bit_count() <= 3])
-    want = sorted({ids[r] for r in roots})
+    want = sorted(i for i, _ in survivors(list(kept.items())))
     assert sorted(r["doc_id"] for r in seen[3].collect()) == want
     packed = run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in packed} == set(want)
+
+
+CLASHING = ("score", "lang_pred", "row", "kept", "n_words", "_w", "cleaned_text", "h", "root", "component_h", "text_hash", "a.b")
+
+
+@pytest.mark.parametrize("make", [awkward, empty])
+def test_stages_take_awkward_tables(spark, make):
+    docs = make(spark)
+    for name in CLASHING:
+        docs = docs.withColumn(name, docs["source"]) if name not in docs.columns else docs
+    extra = spark.createDataFrame([(i, " ".join(f"word{k}x{i}" for k in range(40)) + ".", "en", "s", 9) for i in (6, 6, 7)], "doc_id long, text string, lang string, source string, n_chars long")
+    for name in [c for c in docs.columns if c not in extra.columns]:
+        extra = extra.withColumn(name, extra["source"])
+    docs = docs.union(extra.select(*[f"`{c}`" for c in docs.columns])) if make is awkward else docs
+    for name, stage in STAGES[:-1]:
+        kept = stage(spark, docs, "")
+        assert kept.columns == docs.columns and kept.dtypes == docs.dtypes, name
+        rows = kept.collect()
+        assert all(r["score"] == r["source"] for r in rows) and bool(rows) == (make is awkward), name
+    assert bool(STAGES[-1][1](spark, docs, "").collect()) == (make is awkward)

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import batches, bound_batches, documents
 
@@ -141,12 +142,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     if not counts:
         return None
     share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, 1.5 * docs_per_lang / n))) for lang, n in counts.items()])
-    order = F.xxhash64("id", F.lit("train"))
+    order = F.xxhash64("id", F.lit("train"), "raw")
     place = F.pmod(F.xxhash64("id", F.lit("place")), F.greatest(F.octet_length("raw") - WINDOW + 1, F.lit(1)))
     picked = rows.where(F.pmod(order, F.lit(1_000_000)) < share * 1_000_000)
     sample = picked.select("lang", order.alias("order"), F.substring(F.col("raw"), (place + 1).cast("int"), F.lit(WINDOW)).alias("window")).collect()
     by: dict[str, list] = {}
-    for r in sorted(sample, key=lambda r: (r["lang"], r["order"])):
+    for r in sorted(sample, key=lambda r: (r["lang"], r["order"], r["window"])):
         found = by.setdefault(r["lang"], [])
         if len(found) < windows_per_lang and has_letter(bytes(r["window"]).decode(errors="ignore")):
             found.append(windows_of(bytes(r["window"]))[0])
@@ -157,19 +158,21 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return ByteConvNet(classes).fit(x, np.repeat(np.arange(len(classes)), [len(by[c]) for c in classes]))
 
 
-def identify(docs: DataFrame, net: ByteConvNet | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """lang_pred and score of every row, with its id, or with the columns named in keep.
+def identify(docs: DataFrame, net: ByteConvNet | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """row, lang_pred and score of every row; row holds its columns (those named in keep, or all), so that
+    their names never clash with others.
 
     Only the text is an input. Null texts, texts without a letter, and all texts where there is no
-    network are `und` with score 0. The windows of many texts go through the network together."""
+    network are `und` with score 0. The windows of many texts go through the network together. Equal
+    rows are judged each; an empty table gives no rows."""
     bound_batches(docs.sparkSession)
-    columns = keep or [id_col]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)])
+    plain = docs.select(row.alias("row"), F.col(text_col).alias("text"))
 
     def predict(rows):
         tables = net.tables() if net else None
         for batch in rows:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            texts = batch.column(1).to_pylist()
             if not texts:
                 continue
             langs, scores = ["und"] * len(texts), [0.0] * len(texts)
@@ -191,16 +194,15 @@ def identify(docs: DataFrame, net: ByteConvNet | None, id_col: str = "doc_id", t
                         best = int(mean.argmax())
                         langs[j], scores[j] = net.classes[best], float(min(1.0, mean[best]))
                     held, size = [], 0
-            kept = [batch.column(batch.schema.get_field_index(c)) for c in columns]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(langs), pa.array(scores, pa.float64())], [*columns, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs), pa.array(scores, pa.float64())], ["row", "lang_pred", "score"])
 
-    plain = docs.select(*dict.fromkeys([*columns, text_col]))
-    return plain.mapInArrow(predict, f"{schema}, lang_pred string, score double")
+    return plain.mapInArrow(predict, T.StructType([plain.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def op5_langid(spark, sf_dir: str) -> DataFrame:
     """Predicted language of all documents; those whose crc32(doc_id) mod 4 is 2 are held out."""
     docs = documents(spark, sf_dir)
-    found = identify(docs, train(docs))
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
-    return found.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    found = identify(docs, train(docs), keep=["doc_id"])
+    doc_id = F.col("row.doc_id")
+    held = F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+    return found.select(doc_id.cast("long").alias("doc_id"), F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")

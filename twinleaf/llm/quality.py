@@ -12,13 +12,21 @@ from .common import documents
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-SEPARATORS = "|<>»›·•"
+#: Between the links of a navigation row. Guillemets quote in French and German and are none.
+SEPARATORS = "|<>›·•"
+#: A row of links has SEPARATORS for every so many of its words at least, and two or more.
+LINK_WORDS = 5
+#: A boilerplate phrase fails lines of fewer words; a longer line says something else too.
+SHORT_LINE = 25
 WINDOW = 8
 #: A line ends in one of these, or it is no sentence.
 SENTENCE_END = r"""[.!?:;…"'”»)\]][\x20\x09-\x0D]*\z"""
 BOILERPLATE = (
     r"cookie|javascript|privacy policy|terms of (use|service)|all rights reserved|licensed under|copyright"
     r"|subscribe to|click here|sign (up|in)\b|log ?in\b|lorem ipsum|share this|read more|skip to content"
+    r"|alle rechte vorbehalten|datenschutzerklärung|impressum|nutzungsbedingungen|weiterlesen|hier klicken"
+    r"|tous droits réservés|politique de confidentialité|mentions légales|conditions d'utilisation|lire la suite|cliquez ici"
+    r"|todos los derechos reservados|política de privacidad|aviso legal|términos de uso|leer más|haga clic aquí"
 )
 
 
@@ -60,30 +68,35 @@ def repeated_words(words: Column) -> Column:
         return let(places, lambda p: total(F.transform(p, lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get(p, k + 1) - x, F.lit(WINDOW))).cast("long"))))
 
     windows = F.transform(starts, lambda i: F.struct(F.array_join(F.slice(words, i, WINDOW), " ").alias("k"), i.alias("i")))
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
+    # each word is hashed once; hashes of 2, 4 and 8 words are made of two of the size below
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    for size in (1, 2, 4):
+        hashes = let(hashes, lambda h, size=size: F.zip_with(F.slice(h, 1, F.greatest(F.size(h) - size, F.lit(0))), F.slice(h, size + 1, F.greatest(F.size(h) - size, F.lit(0))), lambda x, y: F.xxhash64(x, y)))
     some = let(hashes, lambda h: F.size(F.array_distinct(h)) < F.size(h))
     return F.when(last < 2, F.lit(0).cast("long")).when(some, let(F.sort_array(windows), exact)).otherwise(F.lit(0).cast("long"))
 
 
 def line_passes(line: Column) -> Column:
-    """A line stays if it ends like a sentence, is no row of links (two separators or more) or of
-    symbols (over a tenth of its characters), and holds no boilerplate phrase."""
+    """A line stays if it ends like a sentence, is no row of links (two separators or more, and one for
+    every LINK_WORDS words) or of symbols (over a tenth of its characters), and is no short line with a
+    boilerplate phrase."""
+    separators, n_words = count_of(line, SEPARATORS), F.size(words_of(line))
     return (
         line.rlike(SENTENCE_END)
-        & (count_of(line, SEPARATORS) < 2)
+        & ((separators < 2) | (separators * LINK_WORDS < n_words))
         & (count_of(line, SYMBOLS) * 10 <= F.length(without_space(line)))
-        & ~F.lower(line).rlike(BOILERPLATE)
+        & ~(F.lower(line).rlike(BOILERPLATE) & (n_words < SHORT_LINE))
     )
 
 
-def judge(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, min_share: float = 0.5) -> DataFrame:
-    """Counts and verdict of every row, beside the columns named in keep.
+def judge(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, min_share: float = 0.5, only_kept: bool = False) -> DataFrame:
+    """Counts and verdict of every row, beside row: its columns (those named in keep, or all).
 
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; base_failed: under 20 words, or
     over 30 % of them in repeated windows; cleaned_text: the lines that pass, joined; kept: not
-    base_failed and at least min_share of word_chars in lines that pass. Null and empty texts have no
-    words and fail. Rows are judged alone, so copies and ties don't matter; an empty table gives no
-    rows. Columns of docs other than those kept are ignored."""
+    base_failed and at least min_share of word_chars in lines that pass. only_kept leaves out the other
+    rows. Null and empty texts have no words and fail. Rows are judged alone, so copies and ties don't
+    matter; an empty table gives no rows."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words")))
 
@@ -95,26 +108,32 @@ def judge(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None
         )
 
     lines = let(F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != ""), by_line)
-    columns = [F.col(c) for c in keep or []]
-    found = docs.select(*columns, words.alias("_w"), lines.alias("_l"), F.length(without_space(text)).cast("long").alias("word_chars"), count_of(text, SYMBOLS).cast("long").alias("n_symbols"))
-    failed = (F.col("_w.n_words") < 20) | (100 * F.col("_w.n_repeat_words") > 30 * F.col("_w.n_words"))
-    return found.select(
-        *columns,
-        "_w.n_words",
-        "word_chars",
-        "n_symbols",
-        "_l.n_dup_lines",
-        "_w.n_repeat_words",
-        failed.alias("base_failed"),
-        F.col("_l.passed.text").alias("cleaned_text"),
-        (~failed & (F.col("_l.passed.chars") >= min_share * F.col("word_chars"))).alias("kept"),
-    )
+    counts = F.struct(words.alias("w"), lines.alias("l"), F.length(without_space(text)).cast("long").alias("word_chars"), count_of(text, SYMBOLS).cast("long").alias("n_symbols"))
+
+    def verdict(c: Column) -> Column:
+        failed = (c["w"]["n_words"] < 20) | (100 * c["w"]["n_repeat_words"] > 30 * c["w"]["n_words"])
+        return F.struct(
+            c["w"]["n_words"].alias("n_words"),
+            c["word_chars"].alias("word_chars"),
+            c["n_symbols"].alias("n_symbols"),
+            c["l"]["n_dup_lines"].alias("n_dup_lines"),
+            c["w"]["n_repeat_words"].alias("n_repeat_words"),
+            failed.alias("base_failed"),
+            c["l"]["passed"]["text"].alias("cleaned_text"),
+            (~failed & (c["l"]["passed"]["chars"] >= min_share * c["word_chars"])).alias("kept"),
+        )
+
+    # a generator, so that no filter or projection above is pushed below it and computes all that again
+    judged = F.transform(F.array(counts), verdict)
+    row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)])
+    return docs.select(row.alias("row"), F.inline(F.filter(judged, lambda v: v["kept"]) if only_kept else judged))
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:
     """Counts and verdict of all documents."""
     docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return judge(docs, keep=["doc_id"]).drop("cleaned_text")
+    found = judge(docs, keep=["doc_id"])
+    return found.select("row.doc_id", *[c for c in found.columns if c not in ("row", "cleaned_text")])
 
 
 _QUOTED = {k: v.replace("'", "''") for k, v in {"end": SENTENCE_END, "boilerplate": BOILERPLATE}.items()}
@@ -131,9 +150,10 @@ c AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\\
   (length(t) - length(translate(t, '{SYMBOLS}', '')))::BIGINT AS n_symbols,
   (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
   coalesce(list_sum(list_transform(list_filter(ls, lambda x: regexp_matches(x, '{_QUOTED["end"]}')
-      AND length(x) - length(translate(x, '{SEPARATORS}', '')) < 2
+      AND (length(x) - length(translate(x, '{SEPARATORS}', '')) < 2
+        OR (length(x) - length(translate(x, '{SEPARATORS}', ''))) * {LINK_WORDS} < len(list_filter(regexp_split_to_array(x, '[\\x20\\x09-\\x0D]+'), lambda y: y <> '')))
       AND (length(x) - length(translate(x, '{SYMBOLS}', ''))) * 10 <= length(regexp_replace(x, '[\\x20\\x09-\\x0D]+', '', 'g'))
-      AND NOT regexp_matches(lower(x), '{_QUOTED["boilerplate"]}')),
+      AND NOT (regexp_matches(lower(x), '{_QUOTED["boilerplate"]}') AND len(list_filter(regexp_split_to_array(x, '[\\x20\\x09-\\x0D]+'), lambda y: y <> '')) < {SHORT_LINE})),
     lambda x: length(regexp_replace(x, '[\\x20\\x09-\\x0D]+', '', 'g')))), 0) AS passed
   FROM w LEFT JOIN n ON w.doc_id = n.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
