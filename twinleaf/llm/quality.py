@@ -21,12 +21,13 @@ SHORT_LINE = 25
 WINDOW = 8
 #: A line ends in one of these, or it is no sentence.
 SENTENCE_END = r"""[.!?:;…"'”»)\]][\x20\x09-\x0D]*\z"""
+#: Phrases that begin at no letter's right side, in lower case.
 BOILERPLATE = (
-    r"cookie|javascript|privacy policy|terms of (use|service)|all rights reserved|licensed under|copyright"
-    r"|subscribe to|click here|sign (up|in)\b|log ?in\b|lorem ipsum|share this|read more|skip to content"
+    r"(?:^|[^a-z])(?:cookie|javascript|privacy policy|terms of (?:use|service)|all rights reserved|licensed under|copyright"
+    r"|subscribe to|click here|sign (?:up|in)\b|log ?in\b|lorem ipsum|share this|read more|skip to content"
     r"|alle rechte vorbehalten|datenschutzerklärung|impressum|nutzungsbedingungen|weiterlesen|hier klicken"
     r"|tous droits réservés|politique de confidentialité|mentions légales|conditions d'utilisation|lire la suite|cliquez ici"
-    r"|todos los derechos reservados|política de privacidad|aviso legal|términos de uso|leer más|haga clic aquí"
+    r"|todos los derechos reservados|política de privacidad|aviso legal|términos de uso|leer más|haga clic aquí)"
 )
 
 
@@ -44,7 +45,8 @@ def without_space(text: Column) -> Column:
 
 
 def count_of(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+    """How many of some characters a text has; most texts have none, and a search tells that soonest."""
+    return F.when(text.rlike(f"[{chars}]"), F.length(text) - F.length(F.translate(text, chars, ""))).otherwise(0)
 
 
 def words_of(text: Column) -> Column:
@@ -69,9 +71,17 @@ def repeated_words(words: Column) -> Column:
 
     windows = F.transform(starts, lambda i: F.struct(F.array_join(F.slice(words, i, WINDOW), " ").alias("k"), i.alias("i")))
     # each word is hashed once; hashes of 2, 4 and 8 words are made of two of the size below
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    for size in (1, 2, 4):
-        hashes = let(hashes, lambda h, size=size: F.zip_with(F.slice(h, 1, F.greatest(F.size(h) - size, F.lit(0))), F.slice(h, size + 1, F.greatest(F.size(h) - size, F.lit(0))), lambda x, y: F.xxhash64(x, y)))
+
+    def joined(hashes: Column, size: int) -> Column:
+        """The hash of each run of twice as many words."""
+
+        def of(h: Column) -> Column:
+            n = F.greatest(F.size(h) - size, F.lit(0))
+            return F.zip_with(F.slice(h, 1, n), F.slice(h, size + 1, n), lambda x, y: F.xxhash64(x, y))
+
+        return let(hashes, of)
+
+    hashes = joined(joined(joined(F.transform(words, lambda w: F.xxhash64(w)), 1), 2), 4)
     some = let(hashes, lambda h: F.size(F.array_distinct(h)) < F.size(h))
     return F.when(last < 2, F.lit(0).cast("long")).when(some, let(F.sort_array(windows), exact)).otherwise(F.lit(0).cast("long"))
 
@@ -80,13 +90,10 @@ def line_passes(line: Column) -> Column:
     """A line stays if it ends like a sentence, is no row of links (two separators or more, and one for
     every LINK_WORDS words) or of symbols (over a tenth of its characters), and is no short line with a
     boilerplate phrase."""
-    separators, n_words = count_of(line, SEPARATORS), F.size(words_of(line))
-    return (
-        line.rlike(SENTENCE_END)
-        & ((separators < 2) | (separators * LINK_WORDS < n_words))
-        & (count_of(line, SYMBOLS) * 10 <= F.length(without_space(line)))
-        & ~(F.lower(line).rlike(BOILERPLATE) & (n_words < SHORT_LINE))
-    )
+    n_words = F.size(words_of(line))
+    few = let(count_of(line, SEPARATORS), lambda n: (n < 2) | (n * LINK_WORDS < n_words))
+    plain = ~line.rlike(f"[{SYMBOLS}]") | (count_of(line, SYMBOLS) * 10 <= F.length(without_space(line)))
+    return line.rlike(SENTENCE_END) & few & plain & ~(F.lower(line).rlike(BOILERPLATE) & (n_words < SHORT_LINE))
 
 
 def judge(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, min_share: float = 0.5, only_kept: bool = False) -> DataFrame:
@@ -104,13 +111,16 @@ def judge(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None
         passed = F.filter(lines, line_passes)
         return F.struct(
             (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-            let(passed, lambda x: F.struct(F.array_join(x, "\n").alias("text"), total(F.transform(x, lambda y: F.length(without_space(y)).cast("long"))).alias("chars"))).alias("passed"),
+            F.size(lines).alias("n"),
+            passed.alias("passed"),
         )
 
     lines = let(F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != ""), by_line)
     counts = F.struct(words.alias("w"), lines.alias("l"), F.length(without_space(text)).cast("long").alias("word_chars"), count_of(text, SYMBOLS).cast("long").alias("n_symbols"))
 
     def verdict(c: Column) -> Column:
+        passed = c["l"]["passed"]
+        chars = F.when(F.size(passed) == c["l"]["n"], c["word_chars"]).otherwise(total(F.transform(passed, lambda x: F.length(without_space(x)).cast("long"))))
         failed = (c["w"]["n_words"] < 20) | (100 * c["w"]["n_repeat_words"] > 30 * c["w"]["n_words"])
         return F.struct(
             c["w"]["n_words"].alias("n_words"),
@@ -119,8 +129,8 @@ def judge(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None
             c["l"]["n_dup_lines"].alias("n_dup_lines"),
             c["w"]["n_repeat_words"].alias("n_repeat_words"),
             failed.alias("base_failed"),
-            c["l"]["passed"]["text"].alias("cleaned_text"),
-            (~failed & (c["l"]["passed"]["chars"] >= min_share * c["word_chars"])).alias("kept"),
+            F.array_join(passed, "\n").alias("cleaned_text"),
+            (~failed & (chars >= min_share * c["word_chars"])).alias("kept"),
         )
 
     # a generator, so that no filter or projection above is pushed below it and computes all that again
