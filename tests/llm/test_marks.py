@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from corpus_pipeline import STAGES, run
 from twinleaf.llm.components import connected_components
-from twinleaf.llm.langid import identify, train
-from twinleaf.llm.phrases import compare_with_next, fingerprint_documents, likeness, sketches
+from twinleaf.llm.langid import FILTERS, WIDTHS, WINDOW, ByteConvNet, identify, train, windows_of
+from twinleaf.llm.phrases import LEVEL, compare_with_next, fingerprint_documents, likeness, parse, sketches
 from twinleaf.llm.quality import judge
 from twinleaf.llm.sharding import permuted, shard_documents
 from twinleaf.llm.simhash import near_duplicates, simhash
@@ -289,3 +289,147 @@ def test_stages_take_awkward_tables(spark, make):
         rows = kept.collect()
         assert all(r["score"] == r["source"] for r in rows) and bool(rows) == (make is awkward), name
     assert bool(STAGES[-1][1](spark, docs, "").collect()) == (make is awkward)
+
+
+# ---- the network and the parser against plain versions -------------------------------------------
+
+
+def small_net(seed=3):
+    net, r = ByteConvNet(["a", "b", "c"], seed), np.random.default_rng(seed)
+    for k in ("b2", "b3", "b4", "out_b"):
+        net.p[k] = r.normal(0, 0.1, net.p[k].shape)
+    return net
+
+
+def plain_forward(net, window):
+    """Class probabilities of one window, filter by filter and place by place."""
+    pooled = []
+    for w in WIDTHS:
+        for f in range(FILTERS):
+            best = -np.inf
+            for at in range(len(window) - w + 1):
+                z = net.p[f"b{w}"][f] + sum(float(net.p["emb"][window[at + k]] @ net.p[f"w{w}"][k][:, f]) for k in range(w))
+                best = max(best, z)
+            pooled.append(max(best, 0.0))
+    s = np.array(pooled) @ net.p["out"] + net.p["out_b"]
+    s = np.exp(s - s.max())
+    return s / s.sum()
+
+
+def test_network_by_plain_convolution():
+    net, r = small_net(), np.random.default_rng(1)
+    windows = np.concatenate([r.integers(0, 256, (3, WINDOW)).astype(np.uint8), windows_of(b"ab" * 9), windows_of("déjà vu ".encode() * 90)])
+    got = net.predict(net.tables(), windows)
+    assert np.allclose(got, [plain_forward(net, w) for w in windows], atol=1e-5)
+
+
+def test_gradient_by_differences():
+    net, r = small_net(), np.random.default_rng(2)
+    x, y = r.integers(0, 256, (4, 24)).astype(np.uint8), np.array([0, 2, 1, 2])
+    loss = lambda: -np.mean([np.log(plain_forward(net, w)[label]) for w, label in zip(x, y)])
+    g = net._gradient(x, y)
+    for name, values in net.p.items():
+        places = [tuple(r.integers(0, n) for n in values.shape) for _ in range(4)]
+        if name == "emb":
+            places = [(int(x[0, 3]), 1), (int(x[2, 9]), 5), (int(x[3, 20]), 0)]
+        for at in places:
+            old, step = values[at], 1e-5
+            values[at] = old + step
+            up = loss()
+            values[at] = old - step
+            down = loss()
+            values[at] = old
+            assert abs((up - down) / (2 * step) - g[name][at]) < 1e-6, (name, at)
+
+
+@pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 1300])
+def test_windows_hold_all_bytes(n):
+    data = bytes(i % 251 for i in range(n))
+    w = windows_of(data)
+    assert w.shape == (max(1, -(-n // WINDOW)), WINDOW) and w.tobytes()[:n] == data
+
+
+def test_score_of_a_document_is_the_weighted_mean_of_its_windows(spark):
+    net = small_net()
+    texts_ = ["abc", "déjà " * 300, "x" * 512, "yz" * 700]
+    docs = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    for r in identify(docs, net).collect():
+        raw = texts_[r["row"]["doc_id"]].encode()
+        ws = windows_of(raw)
+        weights = np.array([min(WINDOW, len(raw) - WINDOW * k) for k in range(len(ws))], float)
+        mean = weights @ np.array([plain_forward(net, w) for w in ws]) / weights.sum()
+        assert r["lang_pred"] == net.classes[int(mean.argmax())] and abs(r["score"] - mean.max()) < 1e-5
+
+
+M64 = (1 << 64) - 1
+
+
+def plain_mix(x):
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & M64
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & M64
+    return x ^ (x >> 31)
+
+
+def plain_parse(symbols):
+    """One level, symbol by symbol: (name, place of the first symbol) of each phrase."""
+    runs = []
+    for i, x in enumerate(symbols):
+        if runs and runs[-1][0] == x:
+            runs[-1][1] += 1
+        else:
+            runs.append([x, 1, i])
+    merged = [x if n == 1 else plain_mix(x ^ (n * 0x9E3779B97F4A7C15 & M64)) for x, n, _ in runs]
+    labels = merged
+    for _ in range(4):
+        tossed = []
+        for i, x in enumerate(labels):
+            diff = x ^ labels[i - 1] if i else 1
+            low = (diff & -diff).bit_length() - 1
+            tossed.append(2 * low + (x >> low & 1))
+        labels = tossed
+    starts = [i for i in range(len(merged)) if i == 0 or (0 < i < len(merged) - 1 and labels[i - 1] < labels[i] > labels[i + 1])]
+    out = []
+    for a, b in zip(starts, [*starts[1:], len(merged)]):
+        total = sum(plain_mix((merged[k] + (k - a) * 0xD6E8FEB86659FD93) & M64) for k in range(a, b))
+        out.append((plain_mix((total + b - a) & M64), runs[a][2]))
+    return out
+
+
+def plain_sketch(text):
+    best, symbols, level = {}, [ord(c) for c in text], 0
+    while symbols:
+        names = [n for n, _ in plain_parse(symbols)]
+        level += 1
+        if level >= LEVEL or len(names) == 1:
+            for n in names:
+                key = plain_mix(n ^ 0x2545F4914F6CDD1D)
+                best[key >> 58] = min(best.get(key >> 58, M64), key & 0xFFFFFFFFFFFF)
+        if len(names) == 1:
+            break
+        symbols = names
+    return [(best[k] & 0xFFFF) | 1 if k in best else 0 for k in range(64)]
+
+
+def test_fingerprints_by_a_plain_parser():
+    many = [t or "" for t in texts(70)] + ["aaaa", "abababab" * 20, "\\U0001f600é" * 9, "x"]
+    assert sketches(many).tolist() == [plain_sketch(t) for t in many]
+
+
+@pytest.mark.parametrize("level, margin", [(1, 16), (2, 90)])
+def test_equal_substrings_have_equal_phrases_inside(level, margin):
+    r = random.Random(7)
+    shared = "".join(r.choice("abcdefgh ") for _ in range(500))
+    inside = []
+    for offset in range(0, 60):
+        text = "".join(r.choice("ijklmn ") for _ in range(offset)) + shared + "".join(r.choice("abij ") for _ in range(r.randrange(80)))
+        symbols, places = [ord(c) for c in text], list(range(len(text)))
+        for _ in range(level):
+            found = plain_parse(symbols)
+            symbols, places = [n for n, _ in found], [places[i] for _, i in found]
+        inside.append({(n, p - offset) for n, p in zip(symbols, places) if margin <= p - offset < 500 - margin})
+        one = np.array([ord(c) for c in text], np.uint64)
+        first = np.zeros(1, np.int64)
+        for _ in range(level):
+            one, first = parse(one, first)
+        assert one.tolist() == symbols
+    assert len(inside[0]) > 20 and all(x == inside[0] for x in inside)
