@@ -129,12 +129,12 @@ def families(kind):
 
 
 @pytest.mark.parametrize("kind", ["edited", "cut", "nested"])
-@pytest.mark.parametrize("small", [1, 4, 64])
-def test_large_keys_lose_no_link(spark, small, kind):
+@pytest.mark.parametrize("few, small, rounds", [(0, 1, 3), (2, 40, 2), (8, 1024, 2)])
+def test_large_keys_lose_no_link(spark, few, small, rounds, kind):
     texts = families(kind)
     df = spark.createDataFrame([(t,) for t in texts], "text string").select(text_hash(F.col("text")).alias("h"), "text")
     names = {r["h"]: r["text"] for r in df.collect()}
-    roots = {r["node"]: r["root"] for r in components_of(df, small=small).collect()}
+    roots = {r["node"]: r["root"] for r in components_of(df, few, small, rounds).collect()}
     found = {}
     for h, t in names.items():
         found.setdefault(roots.get(h, h), set()).add(t)
