@@ -73,8 +73,8 @@ def cuts(data: np.ndarray) -> np.ndarray:
     return at
 
 
-def spans(texts: pa.Array) -> Iterator[tuple[np.ndarray, list[bytes], np.ndarray, int, int]]:
-    """The texts of a string array without nulls, in spans of about SPAN_BYTES: (pieces, distinct, edges,
+def spans(texts: pa.Array, span: int | None = None) -> Iterator[tuple[np.ndarray, list[bytes], np.ndarray, int, int]]:
+    """The texts of a string array without nulls, in spans of about SPAN_BYTES (or span): (pieces, distinct, edges,
     first, last). pieces are the pieces of the texts first..last-1 in order, as numbers in distinct;
     edges are the numbers of pieces before each of these texts and at the end.
 
@@ -82,7 +82,7 @@ def spans(texts: pa.Array) -> Iterator[tuple[np.ndarray, list[bytes], np.ndarray
     offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     whole = texts.buffers()[2]
     data = np.frombuffer(whole, np.uint8) if whole is not None else np.zeros(0, np.uint8)
-    at, end, size = int(offsets[0]), int(offsets[-1]), SPAN_BYTES
+    at, end, size = int(offsets[0]), int(offsets[-1]), span or SPAN_BYTES
     while at < end:
         stop = min(at + size, end)
         if stop < end:  # the last text that ends there, or else the last safe boundary
@@ -104,7 +104,7 @@ def spans(texts: pa.Array) -> Iterator[tuple[np.ndarray, list[bytes], np.ndarray
         listed = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(bounds), whole]).dictionary_encode()
         edges = np.searchsorted(begins, np.clip(offsets[first : last + 1], at, stop))
         yield listed.indices.to_numpy(), listed.dictionary.to_pylist(), edges, first, last
-        at, size = stop, SPAN_BYTES
+        at, size = stop, span or SPAN_BYTES
 
 
 def gather(values: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -199,20 +199,20 @@ class Counts:
 class Ids:
     """Ids of texts, as arrays of unsigned integers of `width` bytes."""
 
-    def __init__(self, library: Library):
-        self.width, kind = library.width, f"<u{library.width}"
+    def __init__(self, library: Library, memo_bytes: int = Memo.BYTES, span_bytes: int | None = None):
+        self.width, self.span_bytes, kind = library.width, span_bytes, f"<u{library.width}"
         self.kind, width = kind, library.width
 
         def side_by_side(ids: np.ndarray, edges: list[int]) -> list[bytes]:
             flat = ids.astype(kind).tobytes()
             return [flat[a * width : b * width] for a, b in itertools.pairwise(edges)]
 
-        self.memo = Memo(lambda pieces: library.encode(pieces, lambda ids: np.array(ids, kind).tobytes(), side_by_side))
+        self.memo = Memo(lambda pieces: library.encode(pieces, lambda ids: np.array(ids, kind).tobytes(), side_by_side), memo_bytes)
 
     def parts(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
         """(ids, sizes, first) for spans of texts: the ids of the texts from first on side by side, and how
         many each has. A long text goes on in the next span, whose first it is then again."""
-        for pieces, distinct, edges, first, _ in spans(texts):
+        for pieces, distinct, edges, first, _ in spans(texts, self.span_bytes):
             found = self.memo.values(distinct)
             sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.width
             ids = gather(np.frombuffer(b"".join(found), self.kind), sizes, pieces)
@@ -240,6 +240,6 @@ def token_counts(file: str, folder: str | None = None) -> Counts:
     return worker_model(("count", file, folder), lambda: Counts(Library(file, folder)))
 
 
-def token_ids(file: str, folder: str | None = None, drops_space: bool = False) -> Ids:
+def token_ids(file: str, folder: str | None = None, drops_space: bool = False, memo_bytes: int = Memo.BYTES, span_bytes: int | None = None) -> Ids:
     """This worker's ids by a tokenizer file."""
-    return worker_model(("ids", file, folder, drops_space), lambda: Ids(Library(file, folder, drops_space)))
+    return worker_model(("ids", file, folder, drops_space), lambda: Ids(Library(file, folder, drops_space), memo_bytes, span_bytes))

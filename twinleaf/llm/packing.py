@@ -18,6 +18,10 @@ from .common import bound_batches, documents, text_batches
 from .library_tokens import token_ids
 
 
+#: Packing comes last in a pipeline, when the executors are full: a smaller memo, and smaller spans of text.
+MEMO_BYTES, SPAN_BYTES = 24 << 20, 1 << 20
+
+
 class BestFit:
     """Online best fit with at most max_open open bins."""
 
@@ -74,7 +78,7 @@ def pack_documents(
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
     def pack(rows):
-        model, bins = token_ids(file, folder, drops_space=True), BestFit(capacity, max_open)
+        model, bins = token_ids(file, folder, True, MEMO_BYTES, SPAN_BYTES), BestFit(capacity, max_open)
         base, end = TaskContext.get().partitionId() << 32, end_id.to_bytes(4, "little")
         for doc_ids, texts in text_batches(rows, ["doc_id"]):
             out, kept = [], []
