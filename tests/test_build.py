@@ -68,6 +68,91 @@ def test_build_resume_review(spark, tmp_path):
         files.publish(made, spark.createDataFrame([("a", False)], "chapter string, ok boolean"), tmp_path / "vault", "x", "Title")
 
 
+class Client:
+    """Translates without a provider; refuses chunks of a chapter."""
+
+    def __init__(self, refuse=""):
+        self.refuse = refuse
+
+    def translate_chunk(self, payload):
+        if payload["chunk_id"].startswith(self.refuse or "-"):
+            raise OSError("refused")
+        return {"translations": {p["id"]: good(p["en"]) for p in payload["paragraphs"]}, "usage": {"cost": 0.5}}
+
+
+def test_a_client_translates_instead_of_the_provider(spark, tmp_path):
+    source = tmp_path / "b.md"
+    source.write_text(BOOK, encoding="utf-8")
+    args = (spark, str(source), tmp_path / "out", PROVIDER, "s")
+    first = build.build_book(*args, client=Client("chapter-2"), transport=fail)
+    assert first.done == 1 and not first.ok
+    assert "refused" in json.loads((first.folder / "state.json").read_text(encoding="utf-8"))["chunks"]["chapter-2/c01"]["error"]
+    done = build.build_book(*args, client=Client("chapter-1"), transport=fail)
+    assert done.ok and abs(done.cost - 1.0) < 1e-9
+
+
+def test_finished_chunks_survive_a_crash(spark, tmp_path, monkeypatch):
+    source = tmp_path / "b.md"
+    source.write_text(BOOK, encoding="utf-8")
+    args = (spark, str(source), tmp_path / "out", PROVIDER, "s")
+    append, calls = files.append_records, []
+
+    def crash_at_the_second(path, rows):
+        calls.append(len(rows))
+        if len(calls) == 2:
+            raise KeyboardInterrupt
+        append(path, rows)
+
+    monkeypatch.setattr(files, "append_records", crash_at_the_second)
+    with pytest.raises(KeyboardInterrupt):
+        build.build_book(*args, client=Client())
+    monkeypatch.setattr(files, "append_records", append)
+    assert calls == [1, 1]
+    assert build.build_book(*args, client=Client("chapter-1")).ok  # chapter 1 is in the journal and isn't asked for again
+
+
+@pytest.mark.parametrize("line", ["{no json", "[1]", '{"chunk_id": "c"}', '{"chunk_id": "", "block_ids": ["a"]}'])
+def test_manifests_are_checked(tmp_path, line):
+    path = tmp_path / "chunks.jsonl"
+    path.write_text('{"chunk_id": "a", "block_ids": ["x"]}\n\n' + line + "\n", encoding="utf-8")
+    with pytest.raises(build.ReviewRejected, match="chunks.jsonl:3"):
+        build.read_manifest(path)
+
+
+def test_connections_stay_open():
+    import http.server
+    import threading
+
+    seen = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        protocol_version = "HTTP/1.1"
+
+        def do_POST(self):
+            seen.append(self.client_address)
+            body = self.rfile.read(int(self.headers["content-length"]))
+            reply = body if len(seen) != 2 else b"no json"
+            self.send_response(200 if len(seen) != 3 else 429)
+            self.send_header("content-length", str(len(reply)))
+            self.end_headers()
+            self.wfile.write(reply)
+            if len(seen) == 3:
+                self.close_connection = True  # without saying so
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        url = f"http://127.0.0.1:{server.server_port}/v1/messages?x=1"
+        got = [model.http_transport(url, {"content-type": "application/json"}, {"n": i}, 5) for i in range(4)]
+        assert got == [(200, {"n": 0}), (200, {"_raw": "no json"}), (429, {"n": 2}), (200, {"n": 3})]
+        assert len(set(seen[:3])) == 1 and seen[3] != seen[0]
+    finally:
+        server.shutdown()
+
+
 def test_failed_calls_are_kept_apart(spark, tmp_path):
     source = tmp_path / "b.md"
     source.write_text(BOOK, encoding="utf-8")
@@ -135,16 +220,19 @@ def test_journal(spark, tmp_path):
             journal.read_journal(spark, str(path)).collect()
 
 
-def test_stream_equals_batch(spark, tmp_path):
+@pytest.mark.parametrize("compact", [1, 2, 20])
+def test_stream_equals_batch(spark, tmp_path, compact):
     schema = "chunk_id string, line_no long, status string"
     rows = [(f"c{i % 5}", i, f"s{i}") for i in range(40)]
     for k in range(4):
         spark.createDataFrame(rows[k * 10 : k * 10 + 10], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    q = journal_stream.run_view(stream, f"{tmp_path}/view", f"{tmp_path}/cp")
+    assert journal_stream.read_view(spark, f"{tmp_path}/view", schema).collect() == []
+    q = journal_stream.run_view(stream, f"{tmp_path}/view", f"{tmp_path}/cp", compact=compact)
     q.awaitTermination(120)
-    last = max((tmp_path / "view").glob("v=*"), key=lambda p: int(p.name[2:]))
-    got = sorted(map(tuple, spark.read.parquet(str(last)).select("chunk_id", "line_no", "status").collect()))
+    got = sorted(map(tuple, journal_stream.read_view(spark, f"{tmp_path}/view", schema).select("chunk_id", "line_no", "status").collect()))
+    bases, batches = (sorted(int(p.name[2:]) for p in (tmp_path / "view" / x).glob("n=*")) for x in ("base", "batch"))
+    assert len(bases) <= 2 and (not bases or min(batches, default=99) > bases[0])
     assert got == sorted(map(tuple, journal.last_records(spark.createDataFrame(rows, schema)).collect()))
 
 

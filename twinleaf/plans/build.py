@@ -108,6 +108,21 @@ def corpus_findings(parsed: DataFrame, translations: DataFrame, senses: DataFram
     return found.unionByName(mining.split_findings(mining.translation_splits(aligned, known, configured)))
 
 
+def run_waves(asked: DataFrame, provider: model.Provider, transport: Callable, client, log_path: Path) -> list[tuple[str, str]]:
+    """Ask for all chunks, in order, as many at a time as the provider takes side by side; what a wave has
+    given is in the journal before the next one begins, so a crash loses no more than the calls under way.
+    Returns (chunk_id, error) of those that failed."""
+    names = [r[0] for r in asked.orderBy("first_seq").select("chunk_id").toLocalIterator()]
+    failures, size = [], max(1, provider.concurrency)
+    for at in range(0, len(names), size):
+        wave = asked.where(F.col("chunk_id").isin(names[at : at + size])).drop("first_seq")
+        rows = model.translate(wave, provider, transport, client).collect()  # a wave has `size` rows
+        done = [r for r in rows if not r["error"]]
+        files.append_records(log_path, [{"chunk_id": r["chunk_id"], "translations": r["translations"], "usage": r["usage"], "attempts": r["attempts"], "recorded_at": now()} for r in done])
+        failures += [(r["chunk_id"], r["error"]) for r in rows if r["error"]]
+    return failures
+
+
 def build_book(
     spark,
     source: str,
@@ -123,8 +138,10 @@ def build_book(
     chapter_levels: tuple[int, ...] = (1,),
     annotations: DataFrame | None = None,
     transport: Callable = model.http_transport,
+    client=None,
 ) -> BuildReport:
-    """Build a book; a run that was cut short goes on where it stopped."""
+    """Build a book; a run that was cut short goes on where it stopped. client: an object that translates
+    instead of the provider (model.ask_client)."""
     with exclusive(Path(root)):
         spark.catalog.refreshByPath(source)
         read = files.read_markdown(spark, source, book or files.book_slug(source)).cache()
@@ -162,13 +179,11 @@ def build_book(
         if senses is not None:
             texts = todo.select("chunk_id", F.array_join(F.transform("blocks", lambda b: b["text"]), "\n").alias("text"))
             hits = glossary.hits(texts, senses, ["chunk_id"])
-        results = model.translate(model.requests(todo, hits, senses, style, cards, provider), provider, transport).cache()
-        done = results.where("error = ''")
-        append = [{"chunk_id": r["chunk_id"], "translations": r["translations"], "usage": r["usage"], "attempts": r["attempts"], "recorded_at": now()} for r in done.toLocalIterator()]
-        files.append_records(log_path, append)
+        asked = model.requests(todo, hits, senses, style, cards, provider).join(plan.select("chunk_id", "first_seq"), "chunk_id").cache()
+        failures = run_waves(asked, provider, transport, client, log_path)
 
         records = load_journal(spark, log_path).cache()
-        failed = results.where("error != ''").select("chunk_id", F.col("error").alias("_error"))
+        failed = spark.createDataFrame(failures, "chunk_id string, _error string")
         state = journal.reconcile(state, records, now()).join(failed, "chunk_id", "left")
         state = state.withColumn("status", F.when(F.col("_error").isNotNull(), "failed").otherwise(F.col("status"))).withColumn("error", F.coalesce("_error", "error")).drop("_error").cache()
         save_state(state_path, identity, state)
@@ -236,6 +251,22 @@ def overlay(patch: DataFrame, records: DataFrame, plan: DataFrame) -> DataFrame:
     return joined.select("chunk_id", F.when(problem.isNull(), ordered).alias("translations"), F.map_keys("new").alias("revised"), F.coalesce("usage", none).alias("usage"), F.coalesce("attempts", F.lit(0)).alias("attempts"), problem.alias("problem"))
 
 
+def read_manifest(path: Path) -> list[tuple[str, list[str]]]:
+    """(chunk_id, block_ids) of a build's manifest; a line that lacks either is an error."""
+    rows = []
+    for n, line in enumerate(path.read_text(encoding="utf-8").splitlines(), 1):
+        if not line.strip():
+            continue
+        try:
+            record = json.loads(line)
+            rows.append((str(record.get("chunk_id") or ""), [str(x) for x in record.get("block_ids") or []]))
+        except (ValueError, AttributeError) as error:
+            raise ReviewRejected(f"{path}:{n} is no record: {error}") from error
+        if not all(rows[-1]):
+            raise ReviewRejected(f"{path}:{n} lacks chunk_id or block_ids")
+    return rows
+
+
 def apply_review(spark, folder, patch_path) -> int:
     """Import a review: everything is checked first, then all records are appended in one step. Returns
     the number of blocks revised; ReviewRejected leaves journal and state as they were."""
@@ -256,8 +287,7 @@ def apply_review(spark, folder, patch_path) -> int:
     if changed or context.get("schema_version") != journal.SCHEMA_VERSION:
         raise ReviewRejected("the review context belongs to another build: " + ", ".join(changed))
 
-    plan_rows = [json.loads(x) for x in (folder / "chunks.jsonl").read_text(encoding="utf-8").splitlines() if x.strip()]
-    plan = spark.createDataFrame([(r["chunk_id"], r["block_ids"]) for r in plan_rows], "chunk_id string, block_ids array<string>")
+    plan = spark.createDataFrame(read_manifest(folder / "chunks.jsonl"), "chunk_id string, block_ids array<string>")
     patch = spark.createDataFrame([(n, {str(k): str(v) for k, v in x["translations"].items()}) for n, x in zip(names, items)], "chunk_id string, translations map<string,string>")
     records = load_journal(spark, folder / "translations.jsonl").cache()
     merged = overlay(patch, records, plan).cache()

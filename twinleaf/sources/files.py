@@ -13,10 +13,10 @@ import shutil
 import uuid
 from pathlib import Path, PurePosixPath
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import safe_component
+from ..functions.text import WS, safe_component
 from ..operators.glossary import ARRAYS, SENSE, complete
 
 ANNOTATION = "path string, figure string, summary_zh string, labels array<struct<en:string,zh:string>>, confidence string, note_zh string"
@@ -34,11 +34,19 @@ def book_slug(path: str) -> str:
     return "".join(found).lower() or "book"
 
 
+def slug_column(path: Column) -> Column:
+    """book_slug of a column."""
+    name = F.element_at(F.split(F.regexp_replace(path, "/+\\z", ""), "/"), -1)
+    stem = F.regexp_replace(name, r"(?s)(?<=.)\.[^.]+\z", "")
+    first = F.filter(F.slice(F.split(stem, rf"(?:[-_]|{WS})+"), 1, 3), lambda w: w != "")
+    slug = F.lower(F.array_join(F.transform(first, lambda w: F.substring(w, 1, 1)), ""))
+    return F.when(slug == "", F.lit("book")).otherwise(slug)
+
+
 def read_markdown(spark, path: str, book: str | None = None) -> DataFrame:
     """book, src, source_sha256 of Markdown files, each read whole and once."""
-    name = F.udf(book_slug) if book is None else None
     raw = spark.read.format("binaryFile").load(path)
-    slug = F.lit(book) if book is not None else name(F.url_decode("path"))
+    slug = F.lit(book) if book is not None else slug_column(F.url_decode("path"))
     return raw.select(slug.alias("book"), F.decode("content", "UTF-8").alias("src"), F.sha2("content", 256).alias("source_sha256"))
 
 

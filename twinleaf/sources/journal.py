@@ -102,7 +102,7 @@ def pending(state: DataFrame) -> DataFrame:
     return state.where("status != 'done'")
 
 
-def total_cost(records: DataFrame) -> DataFrame:
-    """cost: the sum over the last records; what is no number counts for nothing."""
+def total_cost(records: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """cost: the sum over the last records, of each group of by; what is no number counts for nothing."""
     cost = F.coalesce(F.expr("try_cast(usage['cost'] AS double)"), F.lit(0.0))
-    return records.agg(F.coalesce(F.sum(F.when(~F.isnan(cost), cost).otherwise(0.0)), F.lit(0.0)).alias("cost"))
+    return records.groupBy(*(by or [])).agg(F.coalesce(F.sum(F.when(~F.isnan(cost), cost).otherwise(0.0)), F.lit(0.0)).alias("cost"))

@@ -69,17 +69,44 @@ class Provider:
         return "***" if len(self.api_key or "") <= 12 else f"{self.api_key[:6]}…{self.api_key[-4:]}"
 
 
+#: This process's open connections, by scheme and host: a partition's calls share one.
+_CONNECTIONS: dict = {}
+
+
+def _post(url: str, data: bytes, headers: dict, timeout: int) -> tuple[int, bytes]:
+    """POST over a connection that stays open; one that the server has closed meanwhile is opened anew."""
+    import http.client
+    import urllib.parse
+
+    parts = urllib.parse.urlsplit(url)
+    key, path = (parts.scheme, parts.netloc), (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
+    for fresh in (False, True):
+        link = _CONNECTIONS.pop(key, None)
+        if link is None or fresh:
+            fresh = True
+            kind = http.client.HTTPSConnection if parts.scheme == "https" else http.client.HTTPConnection
+            link = kind(parts.netloc, timeout=timeout)
+        try:
+            link.request("POST", path, data, headers)
+            reply = link.getresponse()
+            status, raw = reply.status, reply.read()
+        except (http.client.RemoteDisconnected, http.client.CannotSendRequest, BrokenPipeError, ConnectionResetError):
+            link.close()
+            if fresh:
+                raise
+            continue
+        except Exception:
+            link.close()
+            raise
+        if not reply.will_close:
+            _CONNECTIONS[key] = link
+        return status, raw
+    raise OSError("no connection")
+
+
 def http_transport(url: str, headers: dict, body: dict, timeout: int) -> tuple[int, dict]:
     """POST as JSON; a body that is no JSON comes back under _raw."""
-    import urllib.error
-    import urllib.request
-
-    request = urllib.request.Request(url, json.dumps(body, ensure_ascii=False).encode(), headers, method="POST")
-    try:
-        with urllib.request.urlopen(request, timeout=timeout) as reply:
-            status, raw = reply.status, reply.read()
-    except urllib.error.HTTPError as error:
-        status, raw = error.code, error.read()
+    status, raw = _post(url, json.dumps(body, ensure_ascii=False).encode(), headers, timeout)
     text = raw.decode(errors="replace")
     try:
         return status, json.loads(text)
@@ -195,9 +222,20 @@ def request_body(provider: Provider, payload: str, max_tokens: int) -> dict:
 RESULT = "chunk_id string, translations map<string,string>, usage map<string,string>, attempts int, missing array<string>, extra array<string>, error string"
 
 
-def translate(asked: DataFrame, provider: Provider, transport: Callable = http_transport) -> DataFrame:
+def ask_client(client, payload: str, wanted: list[str]) -> dict:
+    """One chunk's result from a client: an object whose translate_chunk takes the payload as a dictionary
+    and gives translations by id, or a dictionary with translations, usage and attempts."""
+    found = client.translate_chunk(json.loads(payload))
+    found = found if isinstance(found.get("translations"), dict) else {"translations": found}
+    got = {str(k): str(v) for k, v in found["translations"].items()}
+    usage = {str(k): str(v) for k, v in (found.get("usage") or {}).items()}
+    return {"translations": {k: got[k] for k in wanted if k in got}, "usage": usage, "attempts": int(found.get("attempts") or 1), "missing": sorted(set(wanted) - set(got)), "extra": sorted(set(got) - set(wanted))}
+
+
+def translate(asked: DataFrame, provider: Provider, transport: Callable = http_transport, client=None) -> DataFrame:
     """RESULT for each request: a failure is a row with an error, so one chunk never loses another's
-    result. provider.concurrency partitions call side by side; the caller writes the result once."""
+    result. provider.concurrency partitions call side by side, through a transport or a client
+    (ask_client); either goes to the workers."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -205,10 +243,13 @@ def translate(asked: DataFrame, provider: Provider, transport: Callable = http_t
             for r in frame.itertuples(index=False):
                 row = {"chunk_id": r.chunk_id, "translations": {}, "usage": {}, "attempts": 0, "missing": [], "extra": [], "error": ""}
                 try:
-                    row |= call(provider, request_body(provider, r.payload, int(r.max_tokens)), r.chunk_id, list(r.block_ids), transport)
+                    if client is not None:
+                        row |= ask_client(client, r.payload, list(r.block_ids))
+                    else:
+                        row |= call(provider, request_body(provider, r.payload, int(r.max_tokens)), r.chunk_id, list(r.block_ids), transport)
                     if row["missing"] or row["extra"]:
                         row["error"] = f"ids differ: missing {row['missing']}, extra {row['extra']}"
-                except (PermanentError, TransientError) as error:
+                except Exception as error:  # any failure is this chunk's alone
                     row["error"] = f"{type(error).__name__}: {error}"[:2000]
                 out.append(row)
             yield pd.DataFrame(out, columns=["chunk_id", "translations", "usage", "attempts", "missing", "extra", "error"])
