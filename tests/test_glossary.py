@@ -55,6 +55,13 @@ def test_hits(spark, limit):
     assert {k: sorted(v) for k, v in got.items()} == {2: ["job"], 4: ["fire"], 5: ["lemon"], 6: ["job", "jtbd"], 8: ["jtbd"]}
 
 
+@pytest.mark.parametrize("limit", [200, 0])
+def test_forms_without_words_hit_alike(spark, limit):
+    senses = frame(spark, sense("at", "@@", "符"), sense("dash", "— x", "线"), sense("plus", "C++ tool", "具"))
+    texts = spark.createDataFrame([(1, "a@@b"), (2, "@@"), (3, "a — x"), (4, "a— xes"), (5, "a c++ tools"), (6, "none")], "n int, text string")
+    assert sorted((r["n"], r["id"]) for r in glossary.hits(texts, senses, ["n"], broadcast_limit=limit).collect()) == [(1, "at"), (4, "dash"), (5, "plus")]
+
+
 def test_forms_and_json(spark):
     s = frame(spark, sense("a", " job ", "任务", surface_aliases=["", "job", "gig"], first_use=""))
     assert s.select(glossary.source_forms(s["surface"], s["surface_aliases"])).first()[0] == ["job", "gig"]

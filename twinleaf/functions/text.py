@@ -66,13 +66,25 @@ def numbers(text: Column) -> Column:
 
 
 def bag_minus(a: Column, b: Column) -> Column:
-    """Distinct elements of a with how many more a has than b (both bound), where more."""
+    """Distinct elements of a with how many more a has than b, where more, in their order: both are
+    sorted together once, and the runs of equal elements are compared."""
+    tagged = lambda xs, mine: F.transform(xs, lambda x: F.struct(x.alias("x"), F.lit(mine).alias("mine")))
+    items = F.array_sort(F.concat(tagged(a, True), tagged(b, False)))  # false before true
 
-    def extra(x: Column) -> Column:
-        count = lambda s: F.size(F.filter(s, lambda y: y == x))
-        return F.struct(x.alias("token"), (count(a) - count(b)).alias("n"))
+    def runs(s: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return let(places, lambda p: F.transform(p, lambda i, k: F.struct(F.get(s, i).alias("of"), (F.coalesce(F.get(p, k + 1), F.size(s)) - i).alias("n"))))
 
-    return F.filter(F.transform(F.array_distinct(a), extra), lambda s: s["n"] > 0)
+    def extra(r: Column) -> Column:
+        def of(x: Column, k: Column) -> Column:
+            before = F.get(r, k - 1)
+            theirs = F.when(F.coalesce(before["of"]["x"] == x["of"]["x"], F.lit(False)), before["n"]).otherwise(0)
+            return F.struct(x["of"]["x"].alias("token"), F.when(x["of"]["mine"], x["n"] - theirs).otherwise(0).alias("n"))
+
+        return F.filter(F.transform(r, of), lambda s: s["n"] > 0)
+
+    nothing = F.array().cast("array<struct<token:string,n:int>>")
+    return F.when(F.size(a) > 0, let(let(items, runs), extra)).otherwise(nothing)
 
 
 def prefix_lines(text: Column) -> Column:

@@ -23,10 +23,10 @@ def estimate(words: Column, blocks: Column) -> Column:
 
 
 def fold(blocks: Column, target: int, most: int, tokens: int, least: int) -> Column:
-    """The number of the chunk of each block, in order: blocks is an array of structs with words,
+    """The seq of each block that starts a chunk, in order: blocks is an array of structs with seq, words,
     heading and section. A block over the limits stands alone; a section heading starts a chunk once
     there is text and enough of it; otherwise a chunk ends before the block that would overflow it."""
-    start = F.struct(F.lit(0).alias("no"), F.lit(0).cast("long").alias("words"), F.lit(0).alias("len"), F.lit(False).alias("text"), F.array().cast("array<int>").alias("out"))
+    start = F.struct(F.lit(0).cast("long").alias("words"), F.lit(0).alias("len"), F.lit(False).alias("text"), F.array().cast("array<bigint>").alias("out"))
 
     def step(s: Column, b: Column) -> Column:
         w = b["words"].cast("long")
@@ -35,13 +35,11 @@ def fold(blocks: Column, target: int, most: int, tokens: int, least: int) -> Col
         joined = F.when(section, F.lit(0)).otherwise(s["len"])
         full = (joined > 0) & ((s["words"] + w > target) | (estimate(s["words"] + w, s["len"] + 1) > tokens))
         new = alone | section | full | (s["len"] == 0)
-        no = s["no"] + F.when(new, 1).otherwise(0)
         return F.struct(
-            no.alias("no"),
             F.when(alone, F.lit(0).cast("long")).when(new, w).otherwise(s["words"] + w).alias("words"),
             F.when(alone, F.lit(0)).when(new, F.lit(1)).otherwise(s["len"] + 1).alias("len"),
             F.when(alone, F.lit(False)).when(new, ~b["heading"]).otherwise(s["text"] | ~b["heading"]).alias("text"),
-            F.concat(s["out"], F.array(no)).alias("out"),
+            F.when(new, F.concat(s["out"], F.array(b["seq"].cast("long")))).otherwise(s["out"]).alias("out"),
         )
 
     return F.aggregate(blocks, start, step, lambda s: s["out"])
@@ -49,7 +47,8 @@ def fold(blocks: Column, target: int, most: int, tokens: int, least: int) -> Col
 
 def pack(blocks: DataFrame, target_words: int = TARGET_WORDS, max_words: int | None = None, max_output_tokens: int = MAX_OUTPUT_TOKENS, min_split_words: int | None = None) -> DataFrame:
     """Translatable blocks with island (the run of one chapter that they are in), chunk_no, chunk_id
-    and oversized. One ordered fold for each run; chapters are packed side by side."""
+    and oversized. One ordered fold for each run gives the first block of each chunk; runs are packed
+    side by side, and a run is as much as one task has to hold."""
     most = int(target_words * OVERSIZE) if max_words is None else max_words
     least = int(target_words * MIN_SPLIT) if min_split_words is None else min_split_words
     rows = translatable(blocks).withColumn("words", word_count(F.col("text")))
@@ -59,10 +58,10 @@ def pack(blocks: DataFrame, target_words: int = TARGET_WORDS, max_words: int | N
     heading = F.col("kind") == "heading"
     item = F.struct("seq", "words", heading.alias("heading"), (heading & (F.col("level") == 2)).alias("section"))
     runs = rows.groupBy("book", "island").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    numbered = runs.withColumn("no", fold(F.col("items"), target_words, most, max_output_tokens, least))
-    places = numbered.select("book", F.explode(F.arrays_zip(F.col("items.seq").alias("seq"), F.col("no").alias("no"))).alias("x")).select("book", "x.seq", F.col("x.no").alias("chunk_no"))
+    firsts = runs.select("book", "island", F.explode(fold(F.col("items"), target_words, most, max_output_tokens, least)).alias("seq"), F.lit(1).alias("_first"))
+    run = Window.partitionBy("book", "island").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     oversized = (F.col("words") > most) | (estimate(F.col("words"), F.lit(1)) > max_output_tokens)
-    packed = rows.join(places, ["book", "seq"])
+    packed = rows.join(firsts, ["book", "island", "seq"], "left").withColumn("chunk_no", F.count("_first").over(run).cast("int")).drop("_first")
     return packed.withColumn("chunk_id", F.concat(F.col("chapter"), F.lit("/c"), F.format_string("%02d", "chunk_no"))).withColumn("oversized", oversized)
 
 

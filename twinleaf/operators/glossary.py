@@ -16,8 +16,8 @@ STRINGS = ("id", "surface", "zh", "parent", "author", "first_use", "definition_z
 ARRAYS = ("surface_aliases", "aliases_zh", "forbidden_zh", "evidence", "overrides")
 SENSE = "id string, surface string, zh string, surface_aliases array<string>, parent string, author string, first_use string, aliases_zh array<string>, forbidden_zh array<string>, definition_zh string, evidence array<string>, decision string, status string, layer string, overrides array<string>"
 APPROVED, CANDIDATE, SUPERSEDED = "approved", "candidate", "superseded"
-#: Glossaries up to this many senses are sent to every executor and matched there.
-BROADCAST_SENSES = 200
+#: Glossaries of up to this many forms are sent to every executor.
+BROADCAST_FORMS = 200
 
 
 class OverrideWithoutReason(ValueError):
@@ -164,27 +164,50 @@ def _searchable(text: Column, surface: Column) -> Column:
     return out
 
 
-def hits(texts: DataFrame, senses: DataFrame, key: list[str], text: str = "text", broadcast_limit: int = BROADCAST_SENSES) -> DataFrame:
-    """key, id, sense_order: each approved sense that occurs in a text, once for each text.
+_WORDS = r"(?U)[\p{L}\p{N}_]+"
 
-    A small glossary is broadcast and every form is matched. A larger one is joined first by a word
-    that a form must begin with, so a text meets only the forms it may hold; then the same match
-    decides. Candidates, not texts, go through the join; texts follow by key."""
+
+def form_key(form: Column) -> Column:
+    """What a text must hold for a form to occur in it: the form's first word, or its first character where
+    it has no word."""
+    low = F.lower(strip(form))
+    word = F.regexp_extract(low, _WORDS, 0)
+    return F.when(word != "", word).otherwise(F.concat(F.lit("\x00"), F.substring(low, 1, 1)))
+
+
+def text_keys(text: Column) -> Column:
+    """The keys that a text holds: its words, and what they are without the endings that a term's pattern
+    allows; other characters."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_WORDS), F.lit(0)))
+    stems = F.flatten(F.transform(words, lambda w: F.array(w, *[F.regexp_replace(w, f"{e}$", "") for e in ("s", "es", "d", "ing")])))
+    marks = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[^\p{L}\p{N}_\s]"), F.lit(0)))
+    return F.array_union(F.array_distinct(stems), F.transform(marks, lambda c: F.concat(F.lit("\x00"), c)))
+
+
+def meet(rows: DataFrame, forms: DataFrame, by: list[str], text: str, weight: Column | None = None, limit: int = BROADCAST_FORMS) -> DataFrame:
+    """Each row beside the forms (column form) whose key its text holds; whether a form occurs is for the
+    caller to decide. Forms of up to limit in all (weight tells how much one counts) are one broadcast
+    row; more are joined by their key, and only row keys and forms go through that join. Both ways give
+    the same rows."""
+    keyed = forms.withColumn("_key", form_key(F.col("form")))
+    total = forms.agg(F.sum(F.lit(1) if weight is None else weight)).first()[0] or 0
+    if total <= limit:
+        listed = keyed.agg(F.collect_list(F.struct(*keyed.columns)).alias("_forms"))
+        near = rows.crossJoin(F.broadcast(listed)).withColumn("_keys", text_keys(F.col(text)))
+        held = F.filter("_forms", lambda f: F.array_contains(F.col("_keys"), f["_key"]))
+        return near.select(*rows.columns, F.explode(held).alias("_f")).select(*rows.columns, *[f"_f.{c}" for c in forms.columns])
+    near = rows.select(*by, F.explode(text_keys(F.col(text))).alias("_key")).join(keyed, "_key").drop("_key")
+    return near.join(rows, by).select(*rows.columns, *forms.columns)
+
+
+def hits(texts: DataFrame, senses: DataFrame, key: list[str], text: str = "text", broadcast_limit: int = BROADCAST_FORMS) -> DataFrame:
+    """key, id, sense_order: each approved sense that occurs in a text, once for each text. A text meets
+    only forms that it may hold (meet), then the form's pattern decides."""
     use = approved(complete(senses)).withColumn("_o", F.row_number().over(Window.orderBy("id")) if "sense_order" not in senses.columns else F.col("sense_order"))
     forms = use.select("id", "surface", F.col("_o").alias("sense_order"), F.explode(source_forms(F.col("surface"), F.col("surface_aliases"))).alias("form"))
     forms = forms.select("id", "surface", "sense_order", "form", term_pattern(F.col("form")).alias("pattern"))
-    match = F.expr("regexp(searchable, pattern)")
-    base = texts.select(*key, F.col(text).alias("_t"))
-    if len(senses.select("id").limit(broadcast_limit + 1).collect()) <= broadcast_limit:
-        pairs = base.crossJoin(F.broadcast(forms))
-    else:
-        first = F.regexp_extract(F.lower("form"), r"(?U)[\p{L}\p{N}_]+", 0)
-        tokens = F.array_distinct(F.regexp_extract_all(F.lower("_t"), F.lit(r"(?U)[\p{L}\p{N}_]+"), F.lit(0)))
-        stems = F.array_distinct(F.flatten(F.transform(tokens, lambda w: F.array(w, F.regexp_replace(w, "s$", ""), F.regexp_replace(w, "es$", ""), F.regexp_replace(w, "d$", ""), F.regexp_replace(w, "ing$", "")))))
-        seen = base.select(*key, F.explode(stems).alias("_w"))
-        near = seen.join(forms.withColumn("_w", first), "_w").drop("_w").distinct()
-        pairs = near.join(base, key)
-    found = pairs.withColumn("searchable", _searchable(F.col("_t"), F.col("surface"))).where(match)
+    met = meet(texts.select(*key, F.col(text).alias("_t")), forms, key, "_t", limit=broadcast_limit)
+    found = met.withColumn("searchable", _searchable(F.col("_t"), F.col("surface"))).where(F.expr("regexp(searchable, pattern)"))
     return found.select(*key, "id", "sense_order").distinct()
 
 
