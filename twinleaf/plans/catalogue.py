@@ -16,6 +16,7 @@ from ..functions.text import fold_space, is_blank, numbers, safe_component, word
 from ..operators import artifact, assemble, blocks, chunks, glossary, mining, rules
 from ..sources import journal
 from ..streaming import journal_stream
+from . import fixtures
 from .build import overlay
 
 
@@ -44,21 +45,47 @@ def block_kinds(spark, sf_dir):
 
 
 def markdown_blocks(spark, sf_dir):
-    """Documents as Markdown books: each document a chapter heading, its lines paragraphs."""
-    return _book(spark, sf_dir).select("book", "seq", "kind", "level", "chapter", "id")
+    """Each document as a Markdown book: frontmatter, a chapter heading, every third line behind another
+    heading with the same title, every fifth in a fence, the others paragraphs. pos numbers the blocks."""
+    return _books(spark, sf_dir).select("book", F.col("seq").alias("pos"), "kind", "level", "chapter", "id")
 
 
-def _book(spark, sf_dir):
+def _markdown(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
-    body = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~is_blank(x)), "\n\n")
-    part = F.concat(F.lit("# Part "), F.col("doc_id").cast("string"), F.lit("\n\n"), body)
-    books = docs.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", part.alias("p")))).alias("p"))
-    return blocks.parse_markdown(books.select(F.col("source").alias("book"), F.array_join(F.transform("p", lambda x: x["p"]), "\n\n").alias("src")))
+    lines = F.filter(F.split("text", "\n"), lambda x: ~is_blank(x))
+    shown = F.transform(lines, lambda x, i: F.when(i % 3 == 2, F.concat(F.lit("# Part\n\n"), x)).when(i % 5 == 4, F.concat(F.lit("```\n"), x, F.lit("\n\ncode\n```"))).otherwise(x))
+    head = F.concat(F.lit("---\ntitle: T"), F.col("doc_id").cast("string"), F.lit("\nlang:\n  - "), F.coalesce("lang", F.lit("none")), F.lit("\n---\n\n# Part "), F.col("doc_id").cast("string"), F.lit("\n\n"))
+    return docs.select(F.concat_ws("-", "source", F.col("doc_id").cast("string")).alias("book"), F.concat(head, F.array_join(shown, "\n\n")).alias("src"))
+
+
+def _books(spark, sf_dir):
+    parsed = blocks.parse_markdown(_markdown(spark, sf_dir))
+    return parsed.withColumn("seq", F.row_number().over(Window.partitionBy("book").orderBy("seq")).cast("long"))
+
+
+def frontmatter(spark, sf_dir):
+    """Title and language out of the frontmatter of documents as books."""
+    meta = blocks.frontmatter(blocks.split_frontmatter(_markdown(spark, sf_dir)))
+    return meta.select("book", F.get(F.col("meta")["title"], F.lit(0)).alias("title"), F.array_join(F.col("meta")["lang"], ",").alias("lang"))
+
+
+def chapter_slugs(spark, sf_dir):
+    """Chapters of documents as books, repeated headings told apart, in order."""
+    found = blocks.chapter_slugs(_books(spark, sf_dir))
+    return found.select("book", "chapter", "first_seq")
+
+
+#: Documents that make one book of the chunk queries.
+BOOK_DOCUMENTS = 1000
 
 
 def _documents_as_blocks(spark, sf_dir):
+    """Documents as blocks of books: a thousand documents of a source at most, each with a second-level
+    heading before every fourth one."""
     docs = _table(spark, sf_dir, "documents")
-    return docs.select(F.col("source").alias("book"), F.col("source").alias("chapter"), F.col("doc_id").alias("seq"), F.lit("para").alias("kind"), F.lit(0).alias("level"), F.col("text"), F.col("doc_id").cast("string").alias("id"))
+    book = F.concat_ws("-", "source", F.floor(F.col("doc_id") / BOOK_DOCUMENTS).cast("string"))
+    heading = F.col("doc_id") % 80 == 0
+    return docs.select(book.alias("book"), book.alias("chapter"), F.col("doc_id").alias("seq"), F.when(heading, "heading").otherwise("para").alias("kind"), F.when(heading, 2).otherwise(0).alias("level"), F.col("text"), F.col("doc_id").cast("string").alias("id"))
 
 
 def chunk_plan(spark, sf_dir):
@@ -77,10 +104,17 @@ def chunk_summary(spark, sf_dir):
 
 
 def chunk_context(spark, sf_dir):
+    """Conversations as chapters: chunks of about 60 words, with the blocks before and after each."""
     turns = _table(spark, sf_dir, "conversations")
-    run = Window.partitionBy("conv_id").orderBy("turn")
-    before = F.array_join(F.collect_list(F.col("turn").cast("string")).over(run.rowsBetween(-2, -1)), ",")
-    return turns.select("conv_id", "turn", before.alias("prev_turns"), F.lead("turn").over(run).alias("next_turn"))
+    ids = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    b = turns.select(F.col("conv_id").cast("string").alias("book"), F.lit("c").alias("chapter"), F.col("turn").cast("long").alias("seq"), F.lit("para").alias("kind"), F.lit(0).alias("level"), "text", ids.alias("id"))
+    made = chunks.chunk_document(b, target_words=60, max_words=1_000_000, max_output_tokens=1_000_000)
+    names = lambda c: F.array_join(F.transform(c, lambda x: x["id"]), ",")
+    return made.select("book", F.col("first_seq"), names("blocks").alias("blocks"), names("prev_context").alias("prev_ids"), names("next_context").alias("next_ids"))
+
+
+def chunk_plan_hash(spark, sf_dir):
+    return chunks.chunk_plan_hash(chunks.chunk_document(_documents_as_blocks(spark, sf_dir)))
 
 
 def _journal(spark, sf_dir):
@@ -93,9 +127,11 @@ def last_record_wins(spark, sf_dir):
 
 
 def cost_rollup(spark, sf_dir):
+    """Cost over each user's last record of each kind of event; what is no number counts for nothing."""
     e = _table(spark, sf_dir, "events")
-    cost = F.coalesce(F.expr("try_cast(get_json_object(props, '$.k') AS bigint)"), F.lit(0))
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(cost).alias("cost"))
+    usage = F.create_map(F.lit("cost"), F.get_json_object("props", "$.k"))
+    records = e.select("event_type", F.concat_ws("/", "event_type", F.col("user_id").cast("string")).alias("chunk_id"), F.col("event_id").alias("line_no"), usage.alias("usage"))
+    return journal.total_cost(journal.last_records(records), ["event_type"]).select("event_type", F.round("cost", 6).alias("cost"))
 
 
 def reconcile_state(spark, sf_dir):
@@ -112,7 +148,8 @@ def reconcile_state(spark, sf_dir):
 
 
 def journal_unknown(spark, sf_dir):
-    plan = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("chunk_id"))
+    """Events of users that aren't among the first customers of their nation: chunks that a plan lacks."""
+    plan = _table(spark, sf_dir, "customer").where("c_nationkey % 5 != 0").select(F.col("c_custkey").cast("string").alias("chunk_id"))
     return journal.unknown_records(_journal(spark, sf_dir), plan).groupBy("chunk_id").agg(F.count("*").alias("n"))
 
 
@@ -165,15 +202,8 @@ def duplicate_source(spark, sf_dir):
 
 
 def candidate_phrases(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    ascii_lines = docs.where(~F.col("line").rlike(r"[^\x00-\x7f]"))
-    return mining.candidate_phrases(ascii_lines, text="line", position=["doc_id", "n"]).select(F.col("key").alias("phrase"), "n")
-
-
-def candidate_phrases_whole(spark, sf_dir):
-    """candidate_phrases over all lines, whatever characters they hold."""
     lines = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    return mining.candidate_phrases(lines, text="line", position=["doc_id", "n"]).select(F.col("key").alias("phrase"), "n")
+    return mining.candidate_phrases(lines, text="line", position=["doc_id", "n"]).select(F.col("key").alias("phrase"), "display", "n")
 
 
 #: Configured renderings for the queries.
@@ -187,23 +217,13 @@ def _senses(spark, sf_dir):
     return glossary.complete(spark.createDataFrame(rows, "id string, surface string, zh string, surface_aliases array<string>, status string"))
 
 
-def term_hits(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.col("text"))
-    plain = docs.where(~F.col("text").rlike(r"[^\x00-\x7f]"))
-    return _term_hits(spark, plain)
-
-
-def term_hits_whole(spark, sf_dir):
-    """term_hits over all English documents, whatever characters they hold."""
-    return _term_hits(spark, _english(spark, sf_dir))
-
-
 def _english(spark, sf_dir):
     return _table(spark, sf_dir, "documents").where("lang = 'en'")
 
 
-def _term_hits(spark, docs):
-    return glossary.hits(docs, _senses(spark, sf_dir=None), ["doc_id"]).groupBy("id").agg(F.count("*").alias("n_docs"), F.sum("doc_id").alias("doc_id_sum"))
+def term_hits(spark, sf_dir):
+    """Hits of eight senses in English documents."""
+    return glossary.hits(_english(spark, sf_dir), _senses(spark, sf_dir=None), ["doc_id"]).groupBy("id").agg(F.count("*").alias("n_docs"), F.sum("doc_id").alias("doc_id_sum"))
 
 
 def pseudo(text: Column, doc_id: Column) -> Column:
@@ -212,48 +232,23 @@ def pseudo(text: Column, doc_id: Column) -> Column:
     return F.when(k == 0, "  ").when(k == 1, text).when(k == 2, F.concat(F.lit("<thinking>"), text)).when(k == 3, F.concat(text, F.lit(" Ж"))).otherwise("译文")
 
 
-def quality_rules(spark, sf_dir):
-    """Findings by rule over lines with translations by rule."""
-    lines = _lines(spark, sf_dir)
-    pairs = lines.select("id", F.lit("para").alias("kind"), "text", pseudo(F.col("text"), F.col("chapter").cast("long")).alias("zh"))
-    wanted = ("empty", "foreign_script", "tag_leak", "residual_en", "suspicious_short")
-    return rules.pair_findings(pairs).where(F.col("rule").isin(*wanted)).groupBy("rule", "severity").agg(F.count("*").alias("n"), F.count_distinct("id").alias("blocks"))
-
-
-def verification_report(spark, sf_dir):
-    lines = _lines(spark, sf_dir)
-    pairs = lines.select("id", "chapter", F.lit("para").alias("kind"), "text", pseudo(F.col("text"), F.col("chapter").cast("long")).alias("zh"))
-    found = rules.pair_findings(pairs).where("rule IN ('empty', 'tag_leak', 'foreign_script')").withColumnRenamed("id", "block_id")
-    return rules.report(found, ["chapter"]).select("chapter", "errors", "warnings", "ok", F.size("retry").cast("long").alias("n_retry"))
-
-
 def _pseudo_findings(spark, sf_dir):
     pairs = _lines(spark, sf_dir).select("id", "chapter", F.lit("para").alias("kind"), "text", pseudo(F.col("text"), F.col("chapter").cast("long")).alias("zh"))
     return rules.pair_findings(pairs)
 
 
-def quality_rules_whole(spark, sf_dir):
-    """quality_rules over all rules."""
+def quality_rules(spark, sf_dir):
+    """Findings by rule over lines with translations by rule."""
     return _pseudo_findings(spark, sf_dir).groupBy("rule", "severity").agg(F.count("*").alias("n"), F.count_distinct("id").alias("blocks"))
 
 
-def verification_report_whole(spark, sf_dir):
-    """verification_report over all rules."""
+def verification_report(spark, sf_dir):
     found = _pseudo_findings(spark, sf_dir).withColumnRenamed("id", "block_id")
     return rules.report(found, ["chapter"]).select("chapter", "errors", "warnings", "ok", F.size("retry").cast("long").alias("n_retry"))
 
 
 def forbidden_terms(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").where("lang = 'en'").where(~F.col("text").rlike(r"[^\x00-\x7f]"))
-    return _forbidden_terms(spark, docs)
-
-
-def forbidden_terms_whole(spark, sf_dir):
-    """forbidden_terms over all English documents."""
-    return _forbidden_terms(spark, _english(spark, sf_dir))
-
-
-def _forbidden_terms(spark, docs):
+    docs = _english(spark, sf_dir)
     pairs = docs.select(F.col("doc_id").cast("string").alias("id"), F.lit("para").alias("kind"), "text", F.when(F.col("doc_id") % 2 == 0, "用词乙").otherwise("用词甲").alias("zh"))
     senses = spark.createDataFrame([("a", "tion", "甲", ["乙"], "approved"), ("b", "erth", "乙", [], "approved")], "id string, surface string, zh string, forbidden_zh array<string>, status string")
     return rules.glossary_findings(pairs, senses).groupBy("rule").agg(F.count("*").alias("n"), F.sum(F.col("block_id").cast("long")).alias("id_sum"))
@@ -272,23 +267,15 @@ def association_lift(spark, sf_dir):
 
 
 def top_k_variants(spark, sf_dir):
-    lines = _lines(spark, sf_dir).groupBy("book", fold_space(F.col("text")).alias("line")).agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("book").orderBy(F.desc("n"), "line"))
-    return lines.withColumn("r", rank).where("r <= 5").select("book", "line", "n", F.col("r").cast("long").alias("r"))
+    """The five tokens that stand out most beside each term."""
+    t, left, right = _posts(spark, sf_dir)
+    found = mining.top_associations(mining.associations(left, right, t.agg(F.count("*").alias("n"))), top=5)
+    return found.select("term", "token", "n", F.col("rank").cast("long").alias("rank"))
 
 
 def source_terms(spark, sf_dir):
     """Content words of English documents with the number of documents that hold them."""
-    docs = _table(spark, sf_dir, "documents").where("lang = 'en'").where(~F.col("text").rlike(r"[^\x00-\x7f]"))
-    return _source_terms(docs)
-
-
-def source_terms_whole(spark, sf_dir):
-    """source_terms over all English documents."""
-    return _source_terms(_english(spark, sf_dir))
-
-
-def _source_terms(docs):
+    docs = _english(spark, sf_dir)
     return docs.select(F.explode(mining.source_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_docs"))
 
 
@@ -373,19 +360,12 @@ def html_heading_links(spark, sf_dir):
 def queries() -> dict:
     """Query name -> function of (spark, sf_dir)."""
     found = (
-        block_ids, word_token_counts, block_kinds, markdown_blocks, chunk_plan, chunk_manifest, chunk_summary, chunk_context, last_record_wins,
+        block_ids, word_token_counts, block_kinds, markdown_blocks, frontmatter, chapter_slugs, chunk_plan, chunk_manifest, chunk_summary, chunk_context, chunk_plan_hash, last_record_wins,
         cost_rollup, reconcile_state, journal_unknown, aligned_pairs, missing_translations, stale_translations, number_multiset_diff, bag_overlap,
         duplicate_source, candidate_phrases, term_hits, quality_rules, verification_report, forbidden_terms, association_lift, top_k_variants,
         source_terms, configured_splits, session_activity, file_names, chapter_numerals, review_overlay, glossary_merge, glossary_freeze, assembled_md, artifact_checks, html_heading_links,
     )
-    return {f.__name__: f for f in found}
-
-
-def whole_queries() -> dict:
-    """Queries that go beyond what the SQL of their namesakes covers: no SQL, tests hold them against
-    plain versions."""
-    found = (quality_rules_whole, verification_report_whole, candidate_phrases_whole, term_hits_whole, forbidden_terms_whole, source_terms_whole)
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | fixtures.queries()
 
 
 _LINES = """lines AS (SELECT doc_id, lang, source AS book, doc_id::VARCHAR AS chapter, i - 1 AS seq, ln AS text,
@@ -398,37 +378,66 @@ b AS (SELECT *, book || '/' || chapter || '/§' || substr(sha256(book || chr(0)
 _PSEUDO = "CASE chapter::BIGINT % 5 WHEN 0 THEN '  ' WHEN 1 THEN text WHEN 2 THEN '<thinking>' || text WHEN 3 THEN text || ' Ж' ELSE '译文' END"
 _TURNS = """t AS (SELECT u.conv_id, u.turn, u.text AS user_text, a.text AS assistant_text FROM conversations u
   JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')"""
-_PACK = """d AS (SELECT source AS book, doc_id, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS w,
-  row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents),
-p(book, doc_id, w, rn, no, cw, n) AS (
-  SELECT book, doc_id, w, rn, 1, CASE WHEN w > 1800 OR floor(w * 1.8) + 40 > 8192 THEN 0 ELSE w END, CASE WHEN w > 1800 OR floor(w * 1.8) + 40 > 8192 THEN 0 ELSE 1 END FROM d WHERE rn = 1
+_PACK = """d AS (SELECT source || '-' || doc_id // 1000 AS book, doc_id, doc_id % 80 = 0 AS h, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS w,
+  row_number() OVER (PARTITION BY source, doc_id // 1000 ORDER BY doc_id) AS rn FROM documents),
+p(book, doc_id, w, rn, no, cw, n, t) AS (
+  SELECT book, doc_id, w, rn, 1, CASE WHEN big THEN 0 ELSE w END, CASE WHEN big THEN 0 ELSE 1 END, NOT big AND NOT h FROM (SELECT *, w > 1800 OR floor(w * 1.8) + 40 > 8192 AS big FROM d) WHERE rn = 1
   UNION ALL
-  SELECT d.book, d.doc_id, d.w, d.rn,
-    CASE WHEN d.w > 1800 OR p.n = 0 OR p.cw + d.w > 1500 OR floor((p.cw + d.w) * 1.8) + 40 * (p.n + 1) > 8192 THEN p.no + 1 ELSE p.no END,
-    CASE WHEN d.w > 1800 THEN 0 WHEN p.n = 0 OR p.cw + d.w > 1500 OR floor((p.cw + d.w) * 1.8) + 40 * (p.n + 1) > 8192 THEN d.w ELSE p.cw + d.w END,
-    CASE WHEN d.w > 1800 THEN 0 WHEN p.n = 0 OR p.cw + d.w > 1500 OR floor((p.cw + d.w) * 1.8) + 40 * (p.n + 1) > 8192 THEN 1 ELSE p.n + 1 END
-  FROM p JOIN d ON d.book = p.book AND d.rn = p.rn + 1)"""
+  SELECT book, doc_id, w, rn, CASE WHEN big OR new THEN no + 1 ELSE no END, CASE WHEN big THEN 0 WHEN new THEN w ELSE cw + w END, CASE WHEN big THEN 0 WHEN new THEN 1 ELSE n + 1 END,
+    CASE WHEN big THEN false WHEN new THEN NOT h ELSE t OR NOT h END
+  FROM (SELECT d.book, d.doc_id, d.w, d.rn, d.h, p.no, p.cw, p.n, p.t, d.w > 1800 OR floor(d.w * 1.8) + 40 > 8192 AS big,
+      p.n = 0 OR (d.h AND p.t AND p.cw >= 600) OR p.cw + d.w > 1500 OR floor((p.cw + d.w) * 1.8) + 40 * (p.n + 1) > 8192 AS new
+    FROM p JOIN d ON d.book = p.book AND d.rn = p.rn + 1))"""
 _MANIFEST = """m AS (SELECT book AS chapter, book || '/c' || CASE WHEN no < 10 THEN '0' ELSE '' END || no AS chunk_id, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS block_ids,
   sum(w)::BIGINT AS word_count, floor(sum(w) * 1.8)::BIGINT + 40 * count(*) AS est_tokens, bool_or(w > 1800) AS oversized, min(doc_id) AS first_doc FROM p GROUP BY book, no)"""
 _NUM = """n AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '(\\s)', '\\1\\1', 'g'), '(?:^|[^A-Za-z0-9_-])(\\d+(?:[.,]\\d+)*)(?:$|[^A-Za-z0-9_-])', 1)) AS tok FROM documents),
 c AS (SELECT doc_id, regexp_replace(regexp_replace(tok, ',', '', 'g'), '\\s', '', 'g') AS token, count(*) AS k FROM n GROUP BY 1, 2)"""
+_BOOKS = """lb AS (SELECT book || '-' || doc_id AS book, doc_id, norm, row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS k FROM lines),
+parts AS (SELECT source || '-' || doc_id AS book, -1 AS k, 0 AS j, 'heading' AS kind, 1 AS level, '# Part ' || doc_id AS norm, 'part-' || doc_id AS opens FROM documents
+  UNION ALL SELECT book, k, 0, 'heading', 1, '# Part', 'part' FROM lb WHERE k % 3 = 2
+  UNION ALL SELECT book, k, 1, CASE WHEN k % 3 <> 2 AND k % 5 = 4 THEN 'code' ELSE 'para' END, 0, norm, NULL FROM lb),
+named AS (SELECT *, row_number() OVER (PARTITION BY book, opens ORDER BY k, j) AS nth FROM parts),
+placed AS (SELECT *, last_value(CASE WHEN opens IS NULL THEN NULL WHEN nth = 1 THEN opens ELSE opens || '-' || nth END IGNORE NULLS) OVER (PARTITION BY book ORDER BY k, j ROWS UNBOUNDED PRECEDING) AS chapter FROM named),
+counted AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY k, j) AS pos, row_number() OVER (PARTITION BY book, chapter, kind = 'code', norm ORDER BY k, j) - 1 AS occ FROM placed),
+o AS (SELECT book, pos, kind, level, chapter, CASE WHEN kind = 'code' THEN '' ELSE book || '/' || chapter || '/§' || substr(sha256(book || chr(0) || chapter || chr(0) || norm || CASE WHEN occ > 0 THEN chr(0) || '#' || occ ELSE '' END), 1, 8) END AS id FROM counted)"""
+#: Word characters and white space as Unicode has them, for regexes without look-around: a boundary is a
+#: character that is none of these, or an end of the text.
+_W = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200c}\x{200d}"
+_S = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def oracle_sql() -> dict[str, str]:
     """Query name -> DuckDB SQL."""
     word = "regexp_extract_all(lower({}), '[a-z]+(?:[''’-][a-z]+)?')"
-    hit = lambda form: f"regexp_matches(text, '(?i)(?:^|[^A-Za-z0-9_]){form}(?:s|es)?(?:$|[^A-Za-z0-9_])')"
-    terms = ["the", "tion", "and\\s+the", None, None, "erth", "of\\s+the", "thanedble"]
+    hit = lambda form: f"regexp_matches(text, '(?i)(?:^|[^{_W}]){form}(?:s|es)?(?:$|[^{_W}])')"
+    terms = ["the", "tion", f"and{_S}+the", None, None, "erth", f"of{_S}+the", "thanedble"]
     hits = " UNION ALL ".join(f"SELECT 's{i:02d}' AS id, doc_id FROM a WHERE {hit(f)}" for i, f in enumerate(terms) if f)
-    hits += " UNION ALL SELECT 's03', doc_id FROM a WHERE " + hit("In") + " OR regexp_matches(text, '(?:^|[^A-Za-z0-9_])THE(?:s|es)?(?:$|[^A-Za-z0-9_])')"
+    hits += " UNION ALL SELECT 's03', doc_id FROM a WHERE " + hit("In") + f" OR regexp_matches(text, '(?:^|[^{_W}])THE(?:s|es)?(?:$|[^{_W}])')"
     posts = """l AS (SELECT DISTINCT conv_id * 1000 + turn AS idx, unnest(list_filter(string_split_regex(lower(user_text), '[^a-z]+'), lambda w: length(w) >= 4)) AS term FROM t),
 r AS (SELECT DISTINCT conv_id * 1000 + turn AS idx, unnest(list_filter(string_split_regex(lower(assistant_text), '[^a-z]+'), lambda w: length(w) >= 4)) AS token FROM t)"""
-    quoted = lambda pattern: pattern.replace("'", "''")
+    lift = """tot AS (SELECT count(*) AS n FROM t), lt AS (SELECT term, count(*) AS n_term FROM l GROUP BY 1 HAVING count(*) >= 12), rt AS (SELECT token, count(*) AS n_token FROM r GROUP BY 1),
+m AS (SELECT term, token, count(*) AS n FROM l JOIN r ON l.idx = r.idx GROUP BY 1, 2),
+x AS (SELECT m.term, m.token, m.n, n_term, n_token, tot.n AS total, m.n / n_term AS inside, (m.n / n_term) / greatest((n_token - m.n) / greatest(1, tot.n - n_term), 1 / tot.n) AS lift FROM m JOIN lt ON lt.term = m.term JOIN rt ON rt.token = m.token, tot),
+y AS (SELECT * FROM x WHERE n >= 4 AND inside >= 0.08 AND lift >= 1.5)"""
+    quoted = lambda pattern: pattern.replace("\\s", _S).replace("\\d", r"\p{Nd}").replace("'", "''")
     bare = f"regexp_replace(text, '{quoted(rules.BULLET)}', '')"
     reference = "(" + " OR ".join(f"regexp_matches({bare}, '{quoted(p)}')" for p in (rules.ENDNOTE, rules.BIBLIOGRAPHY, rules.AUTHOR_TITLE, rules.ORGANIZATION_TITLE)) + ")"
+    latin = "regexp_extract_all(text, '[A-Za-z]+(?:[''’-][A-Za-z]+)?')"
+    number = r"(?i)(?:^|[^A-Za-z0-9_-])\p{Nd}+(?:[.,]\p{Nd}+)*(?:$|-(?:a|per)-|[.,](?:$|[^\p{Nd}])|[^A-Za-z0-9_.,-])"
+    # translations 1 to 3 hold the whole text, so only 4 lacks numbers and marks; none of them holds a list
+    findings = f"""z AS (SELECT id, chapter, text, {_PSEUDO} AS zh, chapter::BIGINT % 5 AS k, len({latin}) AS w, {reference} AS ref,
+  len({latin}) >= 20 AND length(text) - length(replace(text, ',', '')) >= 8 AND len(list_filter({latin}, lambda x: regexp_matches(x, '^[A-Z]'))) >= 0.65 * len({latin}) AS names FROM b),
+q AS (SELECT *, len(regexp_extract_all(zh, '[\\x{{3400}}-\\x{{9fff}}]')) AS han FROM z),
+f AS (SELECT id, chapter, 'empty' AS rule FROM q WHERE NOT regexp_matches(zh, '[^\\s]')
+  UNION ALL SELECT id, chapter, 'foreign_script' FROM q WHERE regexp_matches(zh, '[\\x{{370}}-\\x{{3ff}}\\x{{1f00}}-\\x{{1fff}}\\x{{400}}-\\x{{52f}}\\x{{3040}}-\\x{{30ff}}\\x{{fffd}}]')
+  UNION ALL SELECT id, chapter, 'tag_leak' FROM q WHERE k <> 0 AND (regexp_matches(zh, '(?i)</?(?:thinking|analysis|reasoning|tool|assistant)\\b') OR regexp_matches(zh, '(?i)[{{,]{_S}*["''](?:id|zh|translations)["'']{_S}*:'))
+  UNION ALL SELECT id, chapter, 'residual_en' FROM q WHERE k IN (1, 2, 3) AND w >= 8 AND NOT ref AND han < 4
+  UNION ALL SELECT id, chapter, 'suspicious_short' FROM q WHERE k <> 0 AND w >= 40 AND NOT ref AND NOT names AND han < 0.35 * w
+  UNION ALL SELECT id, chapter, 'numbers' FROM q WHERE k = 4 AND regexp_matches(text, '{number}')
+  UNION ALL SELECT id, chapter, 'markup' FROM q WHERE k = 4 AND (regexp_matches(text, '\\[\\p{{Nd}}+\\]') OR regexp_matches(text, '\\]\\([^)]+\\)')))"""
     frozen = [{"id": i, "surface": w, "zh": zh, "parent": "", "author": "", "first_use": "", "surface_aliases": al, "aliases_zh": [], "forbidden_zh": [], "status": st} for i, w, zh, al, st in SENSES if st == "approved"]
     version = "substr(sha256('" + json.dumps(frozen, ensure_ascii=False, sort_keys=True) + "'), 1, 16)"
-    return {
+    return fixtures.oracle_sql() | {
         "block_ids": f"WITH {_LINES} SELECT book, chapter, seq::BIGINT AS seq, id FROM b",
         "word_token_counts": f"WITH {_LINES} SELECT lang, book, count(*) AS blocks, sum(words)::BIGINT AS words, count(DISTINCT id) AS ids, floor(sum(words) * 1.8)::BIGINT + 40 * count(*) AS est_tokens FROM b GROUP BY lang, book",
         "block_kinds": """WITH l AS (SELECT page_id, unnest(string_split(regexp_replace(regexp_replace(html, '<li>', chr(10) || '- ', 'g'), '<h[1-6]>', chr(10) || '# ', 'g'), chr(10))) AS line FROM pages)
@@ -436,24 +445,30 @@ SELECT page_id, CASE WHEN regexp_matches(line, '^\\s*```') THEN 'code' WHEN rege
   WHEN regexp_matches(line, '^\\s*((\\*\\s*){3,}|(-\\s*){3,}|(_\\s*){3,})$') THEN 'rule' WHEN regexp_matches(line, '^\\s*([-*+]\\s+)?\\[[^\\]]*\\]\\(#[^)]*\\)\\s*$') THEN 'toc'
   WHEN regexp_matches(line, '^\\s*>') THEN 'quote' WHEN regexp_matches(line, '^\\s*([-*+]|\\d+[.)])\\s+') THEN 'list' WHEN regexp_matches(line, '^\\s*\\|') THEN 'table' ELSE 'para' END AS kind,
   count(*) AS n FROM l WHERE regexp_matches(line, '\\S') GROUP BY 1, 2""",
-        "markdown_blocks": f"""WITH {_LINES}, a AS (SELECT book, doc_id, 'part-' || chapter AS chapter, seq + 1 AS s, 'para' AS kind, 0 AS level, norm FROM lines
-  UNION ALL SELECT source, doc_id, 'part-' || doc_id, 0, 'heading', 1, '# Part ' || doc_id FROM documents),
-o AS (SELECT *, row_number() OVER (PARTITION BY book, chapter, norm ORDER BY s) - 1 AS occ, row_number() OVER (PARTITION BY book ORDER BY doc_id, s) AS seq FROM a)
-SELECT book, seq, kind, level, chapter, book || '/' || chapter || '/§' || substr(sha256(book || chr(0) || chapter || chr(0) || norm || CASE WHEN occ > 0 THEN chr(0) || '#' || occ ELSE '' END), 1, 8) AS id FROM o""",
+        "markdown_blocks": f"WITH {_LINES}, {_BOOKS} SELECT book, pos, kind, level, chapter, id FROM o",
+        "frontmatter": "SELECT source || '-' || doc_id AS book, 'T' || doc_id AS title, coalesce(lang, 'none') AS lang FROM documents",
+        "chapter_slugs": f"WITH {_LINES}, {_BOOKS} SELECT book, chapter, min(pos) AS first_seq FROM o GROUP BY book, chapter",
         "glossary_freeze": "SELECT id, surface, zh, " + version + " AS version FROM (VALUES " + ", ".join(f"('{x['id']}', '{x['surface']}', '{x['zh']}')" for x in frozen) + ") AS v(id, surface, zh)",
         "artifact_checks": f"WITH {_TURNS}, m AS (SELECT DISTINCT conv_id FROM t WHERE turn % 4 <> 0) SELECT 'artifact.missing' AS rule, count(*) AS n, count(*) AS chapters FROM m",
         "chunk_plan": f"WITH RECURSIVE {_PACK} SELECT book, doc_id, w::BIGINT AS words, no::BIGINT AS chunk_no, w > 1800 AS oversized FROM p",
         "chunk_manifest": f"WITH RECURSIVE {_PACK}, {_MANIFEST} SELECT chapter, chunk_id, block_ids, word_count, est_tokens, oversized FROM m",
         "chunk_summary": f"WITH RECURSIVE {_PACK}, {_MANIFEST} SELECT chapter AS book, count(*) AS chunks, sum(word_count)::BIGINT AS words, sum(est_tokens)::BIGINT AS tokens, arg_max(chunk_id, word_count * 1000000000 - first_doc) AS largest_chunk, max(word_count) AS largest_words, count(*) FILTER (oversized) AS oversized FROM m GROUP BY chapter",
-        "chunk_context": """SELECT conv_id, turn, array_to_string(coalesce(list(turn::VARCHAR) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), []), ',') AS prev_turns,
-  lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next_turn FROM conversations""",
+        "chunk_context": """WITH RECURSIVE x AS (SELECT conv_id, turn, conv_id || '/' || turn AS id, len(list_filter(string_split_regex(text, '\\s+'), lambda y: y <> '')) AS w, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations),
+r(conv_id, rn, no, cw) AS (SELECT conv_id, rn, 1, w FROM x WHERE rn = 1 UNION ALL
+  SELECT x.conv_id, x.rn, CASE WHEN r.cw + x.w > 60 THEN r.no + 1 ELSE r.no END, CASE WHEN r.cw + x.w > 60 THEN x.w ELSE r.cw + x.w END FROM r JOIN x ON x.conv_id = r.conv_id AND x.rn = r.rn + 1),
+m AS (SELECT x.conv_id, no, min(x.rn) AS a, max(x.rn) AS z, min(turn) AS first_seq, string_agg(id, ',' ORDER BY x.rn) AS blocks FROM r JOIN x ON x.conv_id = r.conv_id AND x.rn = r.rn GROUP BY x.conv_id, no)
+SELECT m.conv_id::VARCHAR AS book, first_seq::BIGINT AS first_seq, blocks, coalesce(string_agg(x.id, ',' ORDER BY x.rn) FILTER (x.rn < a), '') AS prev_ids, coalesce(string_agg(x.id, ',') FILTER (x.rn > z), '') AS next_ids
+FROM m LEFT JOIN x ON x.conv_id = m.conv_id AND (x.rn BETWEEN a - 2 AND a - 1 OR x.rn = z + 1) GROUP BY m.conv_id, no, first_seq, blocks""",
+        "chunk_plan_hash": f"""WITH RECURSIVE {_PACK}, c AS (SELECT book, no, min(doc_id) AS f, '{{"block_ids": [' || string_agg('"' || doc_id || '"', ', ' ORDER BY doc_id) || '], "id": "' || book || '/c' || CASE WHEN no < 10 THEN '0' ELSE '' END || no || '"}}' AS j FROM p GROUP BY book, no)
+SELECT book, substr(sha256('[' || string_agg(j, ', ' ORDER BY f) || ']'), 1, 16) AS chunk_plan FROM c GROUP BY book""",
         "last_record_wins": "SELECT user_id::VARCHAR AS chunk_id, max(event_id) AS line_no, arg_max(event_type, event_id) AS status, arg_max(props, event_id) AS props FROM events GROUP BY user_id",
-        "cost_rollup": "SELECT event_type, count(*) AS n, sum(coalesce(try_cast(json_extract_string(props, '$.k') AS BIGINT), 0))::BIGINT AS cost FROM events GROUP BY event_type",
+        "cost_rollup": """WITH l AS (SELECT event_type, user_id, arg_max(props, event_id) AS props FROM events GROUP BY 1, 2)
+SELECT event_type, round(sum(coalesce(try_cast(json_extract_string(props, '$.k') AS DOUBLE), 0)), 6) AS cost FROM l GROUP BY event_type""",
         "reconcile_state": """WITH r AS (SELECT user_id, max(event_id) % 3 + 1 AS got FROM events GROUP BY user_id),
 j AS (SELECT o_orderkey, o_orderkey % 2 + 1 AS want, got, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'pending' ELSE 'failed' END AS s FROM orders LEFT JOIN r ON user_id = o_orderkey)
 SELECT o_orderkey::VARCHAR AS chunk_id, CASE WHEN want = got THEN 'done' WHEN s = 'done' THEN 'failed' ELSE s END AS status,
   (CASE WHEN want = got AND s <> 'done' THEN 1 WHEN coalesce(want <> got, true) AND s = 'done' THEN 0 ELSE 3 END)::BIGINT AS attempts, coalesce(want <> got, true) AND s = 'done' AS inconsistent FROM j""",
-        "journal_unknown": "SELECT user_id::VARCHAR AS chunk_id, count(*) AS n FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer) GROUP BY user_id",
+        "journal_unknown": "SELECT user_id::VARCHAR AS chunk_id, count(*) AS n FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey % 5 <> 0) GROUP BY user_id",
         "aligned_pairs": "SELECT d.doc_id::VARCHAR AS id, 'ok' AS zh FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality = 1",
         "missing_translations": "SELECT doc_id::VARCHAR AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)",
         "stale_translations": "SELECT (vec_id * 3)::VARCHAR AS block_id FROM embeddings WHERE vec_id * 3 NOT IN (SELECT doc_id FROM documents)",
@@ -465,28 +480,21 @@ SELECT t.conv_id, t.turn, round(coalesce(x, 0)::DOUBLE, 6) AS overlap FROM t LEF
         "duplicate_source": f"""WITH {_LINES}, c AS (SELECT norm, book, count(*) AS n FROM lines GROUP BY 1, 2),
 f AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY n DESC, book) AS r FROM c)
 SELECT norm AS source, sum(n)::BIGINT AS n_blocks, count(*) AS n_variants, max(book) FILTER (r = 1) AS first_variant FROM f GROUP BY norm HAVING count(*) > 1""",
-        "candidate_phrases": """WITH l AS (SELECT unnest(string_split(text, chr(10))) AS ln FROM documents),
-m AS (SELECT unnest(regexp_extract_all(ln, '\\b(?:The|A|An|[A-Z][a-z]+)(?:\\s+(?:of|the|and|to|for|in|on|with|[A-Z][a-z]+)){1,6}\\b')) AS p FROM l WHERE NOT regexp_matches(ln, '[^\\x00-\\x7f]')),
-k AS (SELECT lower(regexp_replace(regexp_replace(p, '\\s+', ' ', 'g'), '^(?:The|A|An) ', '')) AS phrase FROM m)
-SELECT phrase, count(*) AS n FROM k WHERE contains(phrase, ' ') GROUP BY phrase HAVING count(*) >= 3""",
-        "term_hits": f"WITH a AS (SELECT doc_id, text FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7f]')), h AS ({hits}) SELECT id, count(*) AS n_docs, sum(doc_id)::BIGINT AS doc_id_sum FROM h GROUP BY id",
-        "quality_rules": f"""WITH {_LINES}, z AS (SELECT id, text, {_PSEUDO} AS zh, chapter::BIGINT % 5 AS k, len(regexp_extract_all(text, '[A-Za-z]+(?:[''’-][A-Za-z]+)?')) AS w, {reference} AS ref,
-  len(regexp_extract_all(text, '[A-Za-z]+(?:[''’-][A-Za-z]+)?')) >= 20 AND length(text) - length(replace(text, ',', '')) >= 8
-    AND len(list_filter(regexp_extract_all(text, '[A-Za-z]+(?:[''’-][A-Za-z]+)?'), lambda x: regexp_matches(x, '^[A-Z]'))) >= 0.65 * len(regexp_extract_all(text, '[A-Za-z]+(?:[''’-][A-Za-z]+)?')) AS names FROM b),
-f AS (SELECT id, 'empty' AS rule FROM z WHERE k = 0 UNION ALL SELECT id, 'foreign_script' FROM z WHERE k = 3 UNION ALL SELECT id, 'tag_leak' FROM z WHERE k = 2
-  UNION ALL SELECT id, 'residual_en' FROM z WHERE k IN (1, 2, 3) AND w >= 8 AND NOT ref UNION ALL SELECT id, 'suspicious_short' FROM z WHERE k <> 0 AND w >= 40 AND NOT ref AND NOT names)
-SELECT rule, 'error' AS severity, count(*) AS n, count(DISTINCT id) AS blocks FROM f GROUP BY rule""",
-        "verification_report": f"""WITH {_LINES} SELECT chapter, count(*) AS errors, 0::BIGINT AS warnings, false AS ok, count(DISTINCT id) AS n_retry FROM b WHERE chapter::BIGINT % 5 IN (0, 2, 3) GROUP BY chapter""",
-        "forbidden_terms": f"""WITH a AS (SELECT doc_id, text FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7f]')),
+        "candidate_phrases": f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS ln, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+e AS (SELECT doc_id, i, regexp_extract_all(regexp_replace(ln, '([^{_W}])', '\\1\\1', 'g'), '(?:^|[^{_W}])((?:The|A|An|[A-Z][a-z]+)(?:{_S}+(?:of|the|and|to|for|in|on|with|[A-Z][a-z]+)){{1,6}})(?:$|[^{_W}])', 1) AS ms FROM l),
+m AS (SELECT doc_id, i, unnest(ms) AS p, generate_subscripts(ms, 1) AS j FROM e),
+k AS (SELECT doc_id, i, j, regexp_replace(regexp_replace(p, '{_S}+', ' ', 'g'), '^(?:The|A|An) ', '') AS display FROM m)
+SELECT lower(display) AS phrase, first(display ORDER BY doc_id, i, j) AS display, count(*) AS n FROM k WHERE contains(display, ' ') GROUP BY 1 HAVING count(*) >= 3""",
+        "term_hits": f"WITH a AS (SELECT doc_id, text FROM documents WHERE lang = 'en'), h AS ({hits}) SELECT id, count(*) AS n_docs, sum(doc_id)::BIGINT AS doc_id_sum FROM h GROUP BY id",
+        "quality_rules": f"WITH {_LINES}, {findings} SELECT rule, 'error' AS severity, count(*) AS n, count(DISTINCT id) AS blocks FROM f GROUP BY rule",
+        "verification_report": f"WITH {_LINES}, {findings} SELECT chapter, count(*) AS errors, 0::BIGINT AS warnings, false AS ok, count(DISTINCT id) AS n_retry FROM f GROUP BY chapter",
+        "forbidden_terms": f"""WITH a AS (SELECT doc_id, text FROM documents WHERE lang = 'en'),
 f AS (SELECT 'glossary' AS rule, doc_id FROM a WHERE doc_id % 2 = 0 AND {hit("tion")} UNION ALL SELECT 'glossary.forbidden', doc_id FROM a WHERE doc_id % 2 = 0 AND {hit("tion")}
   UNION ALL SELECT 'glossary', doc_id FROM a WHERE doc_id % 2 = 1 AND {hit("erth")})
 SELECT rule, count(*) AS n, sum(doc_id)::BIGINT AS id_sum FROM f GROUP BY rule""",
-        "association_lift": f"""WITH {_TURNS}, {posts}, tot AS (SELECT count(*) AS n FROM t), lt AS (SELECT term, count(*) AS n_term FROM l GROUP BY 1 HAVING count(*) >= 12), rt AS (SELECT token, count(*) AS n_token FROM r GROUP BY 1),
-m AS (SELECT term, token, count(*) AS n FROM l JOIN r ON l.idx = r.idx GROUP BY 1, 2),
-x AS (SELECT m.term, m.token, m.n, n_term, n_token, tot.n AS total, m.n / n_term AS inside, (m.n / n_term) / greatest((n_token - m.n) / greatest(1, tot.n - n_term), 1 / tot.n) AS lift FROM m JOIN lt ON lt.term = m.term JOIN rt ON rt.token = m.token, tot)
-SELECT term, token, n, n_term, n_token, round(lift, 6) AS lift FROM x WHERE n >= 4 AND inside >= 0.08 AND lift >= 1.5""",
-        "top_k_variants": f"""WITH {_LINES}, c AS (SELECT book, norm AS line, count(*) AS n FROM lines GROUP BY 1, 2) SELECT book, line, n, r FROM (SELECT *, row_number() OVER (PARTITION BY book ORDER BY n DESC, line) AS r FROM c) WHERE r <= 5""",
-        "source_terms": r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+(?:[''-][a-z]+)?')) AS w FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\x00-\x7f]')),
+        "association_lift": f"WITH {_TURNS}, {posts}, {lift} SELECT term, token, n, n_term, n_token, round(lift, 6) AS lift FROM y",
+        "top_k_variants": f"WITH {_TURNS}, {posts}, {lift}, z AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY n * least(lift, 8.0) DESC, token) AS rank FROM y) SELECT term, token, n, rank FROM z WHERE rank <= 5",
+        "source_terms": r"""WITH w AS (SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '[A-Za-z]+(?:[''’-][A-Za-z]+)?'), lambda x: replace(lower(x), '’', chr(39)))) AS w FROM documents WHERE lang = 'en'),
 t AS (SELECT DISTINCT doc_id, CASE WHEN w LIKE '%ies' AND length(w) > 5 THEN left(w, -3) || 'y' WHEN w LIKE '%s' AND w NOT LIKE '%ss' AND length(w) > 4 THEN left(w, -1) ELSE w END AS term
   FROM w WHERE length(w) >= 4 AND NOT contains(w, chr(39)) AND w NOT IN (""" + ", ".join(f"'{w}'" for w in mining.COMMON_WORDS) + "))\nSELECT term, count(*) AS n_docs FROM t GROUP BY term",
         "configured_splits": f"WITH {_TURNS}, f(surface, token) AS (VALUES " + ", ".join(f"('{a}', '{x}')" for a, xs in CONFIGURED for x in xs) + """),
