@@ -1,7 +1,6 @@
 import hashlib
 import random
 import re
-import struct
 import zlib
 
 import numpy as np
@@ -29,13 +28,16 @@ def walked(x, n, seed=42, rounds=8):
     while True:
         left, right = divmod(x, b)
         for i in range(rounds):
-            key = struct.pack("<q", seed * 1_000_003 + i)
-            hashed = lambda v, k=key: xxhash.xxh64_intdigest(k, xxhash.xxh64_intdigest(struct.pack("<q", v), 42))
-            signed = lambda v: v - (1 << 64) if v >> 63 else v
+            key = (seed * 1_000_003 + (i + 1) * 1_640_531_527) % 2147483647
+
+            def mixed(v, k=key):
+                y = (v * 48271 + k) % 2147483647
+                return (y * 69621 + (y >> 16)) % 2147483647
+
             if i % 2 == 0:
-                left = (left + signed(hashed(right)) % a) % a
+                left = (left + mixed(right)) % a
             else:
-                right = (right + signed(hashed(left)) % b) % b
+                right = (right + mixed(left)) % b
         x = left * b + right
         if x < n:
             return x

@@ -8,7 +8,7 @@ from .langid import op5_langid
 from .packing import op8_packing
 from .phrases import op7_phrases
 from .quality import OP9_SQL, op9_quality
-from .sharding import op1_sharding
+from .sharding import OP1_SQL, op1_sharding
 from .simhash import op4_simhash
 from .token_counts import op10_token_counts
 from .token_store import op3_token_store
@@ -21,4 +21,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """Query name -> DuckDB SQL, where SQL can express the query."""
-    return {"op9_quality": OP9_SQL}
+    return {"op1_sharding": OP1_SQL, "op9_quality": OP9_SQL}
