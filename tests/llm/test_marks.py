@@ -133,6 +133,15 @@ def test_links_at_every_distance(spark):
     assert {(r["a"], r["b"]) for r in found} == want and len(found) == len(want)
 
 
+def test_balls_never_go_through_the_driver(spark):
+    """The table of fingerprints is small enough to broadcast, its balls of 131 rows each aren't."""
+    from twinleaf.llm.simhash import links
+
+    fps = spark.range(1000).withColumnRenamed("id", "fp")
+    plan = links(fps)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 def test_simhash_of_nothing():
     assert simhash(None) == simhash("") == simhash(" \n") == 0
 

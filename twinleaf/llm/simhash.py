@@ -93,10 +93,11 @@ def links(distinct_fps: DataFrame) -> DataFrame:
     emitted = [variants(low, high) for low, high in BLOCKS]
     distinct_fps = distinct_fps.repartition("fp")  # the rows grow a hundredfold: spread them before that
     balls = distinct_fps.select("fp", F.explode(F.concat(*emitted)).alias("key"))
-    # both sides have the same form, so that they share one shuffle
+    # both sides have the same form, so that they share one shuffle; merged by hint, as Spark takes them to be as small
+    # as the table that they are made of and would send 131 times as many rows through the driver
     left, right = (balls.select(F.col("key").alias(f"key_{x}"), F.col("fp").alias(x)) for x in "ab")
     near = (F.col("key_a") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
-    return left.join(right, near).select("a", "b").distinct()
+    return left.hint("merge").join(right, near).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
