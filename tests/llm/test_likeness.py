@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpus_pipeline import near_dedup
+from twinleaf.llm import likeness as likeness_module
 from twinleaf.llm import simhash as simhash_module
 from twinleaf.llm.likeness import Bands, components_of, likeness, near_texts, shingle_set, text_hash
 from twinleaf.llm.simhash import simhash
@@ -121,6 +122,18 @@ def test_all_levels_find_the_same_components(spark, small):
     assert sorted(map(sorted, found.values())) == sorted(map(sorted, want))
 
 
+def test_bitmaps_leave_near_pairs_and_few_others(spark):
+    """A group whose texts are mostly below 0.8 to each other: no near pair goes, hardly any other stays."""
+    texts = sorted({t for _, t in near_copies(1, 120, changes=(1, 3, 6, 9))} | {t for _, t in near_copies(1, 12, words=900, changes=30)} | {"a b c d e", "a b c d f"})
+    sets = [shingle_set(t) for t in texts]
+    near = {(a, b) for a in range(len(sets)) for b in range(len(sets)) if a < b and likeness(sets[a], sets[b]) >= 0.8}
+    members = spark.createDataFrame([(i, 0, len(s), likeness_module.bitmap(s), 0, i, -1) for i, s in enumerate(sets)], "h long, fp long, size long, bits array<long>, key long, root long, main long")
+    left = {(r["a"], r["b"]) for r in likeness_module._open(members).collect()}
+    assert near and near <= left
+    short = {(a, b) for a, b in left if max(len(sets[a]), len(sets[b])) < 200}
+    assert len(short) < 1.5 * len(near) < len(texts) * len(texts) / 4
+
+
 def test_likeness_of_sets():
     r = random.Random(3)
     for _ in range(200):

@@ -9,7 +9,7 @@ A text has a key for each band, made of the least values of its shingles under a
 as a band has rows; texts of likeness s share a key with probability 1 - (1 - s**rows)**bands, which is
 0.99997 at 0.8 on each of LEVELS. Under one key, each text is compared with the one that meets most others,
 the star. Where that leaves more than one component, texts of different components are compared, all of
-them under keys of up to SMALL texts. Texts under larger keys go to the next level, whose keys are
+them under keys of up to SMALL texts, but for pairs that bitmaps of their shingles prove to be apart. Texts under larger keys go to the next level, whose keys are
 stricter, so that they fall into smaller groups there; on the last level nothing is left out whatever
 the size. So no candidate is dropped, and copies of one original cost one comparison each.
 """
@@ -34,6 +34,8 @@ SMALL = 64
 FAR = 24
 #: Pairs of one text that are compared in one task.
 TOGETHER = 256
+#: Longs of a text's bitmap of shingles.
+WORDS = 16
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -51,6 +53,13 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(both) - common)
 
 
+def bitmap(hashes: np.ndarray) -> list[int]:
+    """WORDS signed longs; each hash of a set sets the bit that its lowest bits name."""
+    bits = np.zeros(WORDS * 64, np.uint8)
+    bits[(hashes % np.uint64(len(bits))).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64).tolist()
+
+
 class Bands:
     """Keys of sets of hashes on one level."""
 
@@ -87,22 +96,24 @@ def distinct_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _keyed(texts: DataFrame, rows: int, bands: int) -> DataFrame:
-    """h, fp, keys of texts (h, text)."""
+    """h, fp, size (shingles), bits (their bitmap), keys of texts (h, text)."""
 
     def compute(batch_rows):
         level = Bands(rows, bands)
         for hashes, found in batches(batch_rows, ["h", "text"]):
             sets = [shingle_set(t) for t in found]
             fps = np.array([fingerprint([s]) for s in sets], np.uint64).view(np.int64)
-            keys = [level.keys(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(fps), pa.array(keys, pa.list_(pa.int64()))], ["h", "fp", "keys"])
+            longs = pa.list_(pa.int64())
+            bits, keys = ([f(s) for s in sets] for f in (bitmap, level.keys))
+            columns = [pa.array(hashes, pa.int64()), pa.array(fps), pa.array([len(s) for s in sets], pa.int64()), pa.array(bits, longs), pa.array(keys, longs)]
+            yield pa.RecordBatch.from_arrays(columns, ["h", "fp", "size", "bits", "keys"])
 
-    return texts.select("h", "text").mapInArrow(compute, "h long, fp long, keys array<long>")
+    return texts.select("h", "text").mapInArrow(compute, "h long, fp long, size long, bits array<long>, keys array<long>")
 
 
 def _members(keyed: DataFrame) -> DataFrame:
-    """h, fp, key, n for keys of n texts, two at least."""
-    under = keyed.select("h", "fp", F.explode("keys").alias("key"))
+    """h, fp, size, bits, key, n for keys of n texts, two at least."""
+    under = keyed.select("h", "fp", "size", "bits", F.explode("keys").alias("key"))
     return under.join(under.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
 
 
@@ -113,26 +124,35 @@ def _hopeful(pairs: DataFrame) -> DataFrame:
 
 def _stars(members: DataFrame) -> DataFrame:
     """Pairs of each text with the star of each of its keys: the text that meets most others."""
-    met = members.join(members.groupBy("h").agg(F.sum("n").alias("met")), "h")
+    met = members.drop("size", "bits").join(members.groupBy("h").agg(F.sum("n").alias("met")), "h")
     star = met.groupBy("key").agg(F.max(F.struct("met", "h", "fp")).alias("s"))
     return _hopeful(met.join(star, "key").where("h != s.h").select(F.col("s.h").alias("a"), F.col("s.fp").alias("fa"), F.col("h").alias("b"), F.col("fp").alias("fb")))
 
 
 def _parted(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members of keys whose texts are in several components: h, fp, key, n, root, main (the component
-    with most texts under the key)."""
+    """Members of keys whose texts are in several components: their columns, root, main (the component with
+    most texts under the key)."""
     marked = members.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     counted = marked.groupBy("key", "root").agg(F.count("*").alias("m"))
     main = counted.groupBy("key").agg(F.max(F.struct("m", "root")).alias("x"), F.count("*").alias("r")).where("r > 1")
     return marked.join(main.select("key", F.col("x.root").alias("main")), "key")
 
 
+def _may_be_near() -> Column:
+    """False where bitmaps prove that a and b are apart. A bit that only one of two sets has stands for a
+    shingle at least that the other one lacks, so the sets have at most the rest in common."""
+    lacks = lambda x, y: sum(F.bit_count(F.col(f"bits_{x}")[i].bitwiseAND(F.bitwise_not(F.col(f"bits_{y}")[i]))) for i in range(WORDS))
+    common = F.least(F.col("size_a") - lacks("a", "b"), F.col("size_b") - lacks("b", "a"))
+    return common * (1 + LIKENESS) >= (F.col("size_a") + F.col("size_b")) * LIKENESS - 1e-6
+
+
 def _open(parted: DataFrame) -> DataFrame:
-    """Pairs under one key of texts in different components: each text outside the main component with
-    each text of another one."""
-    left = parted.where("root != main").select("key", F.col("h").alias("a"), F.col("fp").alias("fa"), F.col("root").alias("ra"))
-    right = parted.select(F.col("key").alias("_key"), F.col("h").alias("b"), F.col("fp").alias("fb"), F.col("root").alias("rb"), (F.col("root") == F.col("main")).alias("in_main"))
-    return _hopeful(left.join(right, (F.col("key") == F.col("_key")) & (F.col("ra") != F.col("rb")) & (F.col("in_main") | (F.col("a") < F.col("b")))))
+    """Pairs under one key of texts in different components that may be near: each text outside the main
+    component with each text of another one. Pairs that can't be near never leave the join."""
+    side = lambda x: [F.col("h").alias(x), F.col("fp").alias(f"f{x}"), F.col("size").alias(f"size_{x}"), F.col("bits").alias(f"bits_{x}"), F.col("root").alias(f"r{x}")]
+    left = parted.where("root != main").select("key", *side("a"))
+    right = parted.select(F.col("key").alias("_key"), *side("b"), (F.col("root") == F.col("main")).alias("in_main"))
+    return _hopeful(left.join(right, (F.col("key") == F.col("_key")) & (F.col("ra") != F.col("rb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & _may_be_near()))
 
 
 def _near(pairs: DataFrame, texts: DataFrame) -> DataFrame:
