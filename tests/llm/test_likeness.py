@@ -134,6 +134,17 @@ def test_bitmaps_leave_near_pairs_and_few_others(spark):
     assert len(short) < 1.5 * len(near) < len(texts) * len(texts) / 4
 
 
+def test_balls_find_what_keys_miss(spark):
+    """One key of 400 least values parts all different sets, so only balls link these texts."""
+    texts = [t for _, t in near_copies(4, 4, words=500, changes=1)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "h long, text string")
+    sets, fps = [shingle_set(t) for t in texts], [simhash(t, 5) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3 and likeness(sets[i], sets[j]) >= 0.8]
+    roots = {r["node"]: r["root"] for r in components_of(df, levels=((400, 1),)).collect()}
+    assert len(pairs) > 4 and all(roots[i] == roots[j] for i, j in pairs)
+    assert all(i // 4 == root // 4 for i, root in roots.items())
+
+
 def test_likeness_of_sets():
     r = random.Random(3)
     for _ in range(200):

@@ -1,9 +1,9 @@
 """Near-duplicates by likeness of word shingles, over SimHash fingerprints.
 
-Two texts are near if the Jaccard likeness of their sets of five-word shingles is 0.8 or more. SimHash
-balls can't find such pairs: their fingerprints differ in 10 of 64 bits on average, far beyond what
-balls can cover. So candidates come from MinHash keys, the distance of fingerprints throws out those that can't
-be near, and the shingles decide.
+Two texts are near if the Jaccard likeness of their sets of five-word shingles is 0.8 or more. Balls around
+SimHash fingerprints, as in simhash, give the first candidates. Alone they miss most such pairs, whose fingerprints
+differ in 10 of 64 bits on average, far beyond what balls can cover. So more candidates come from MinHash keys, the
+distance of fingerprints throws out those of them that can't be near, and the shingles decide on all.
 
 A text has a key for each band, made of the least values of its shingles under as many hash functions
 as a band has rows; texts of likeness s share a key with probability 1 - (1 - s**rows)**bands, which is
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import batches, bound_batches, discard, materialize, materialize_by
 from .components import connected_components
-from .simhash import fingerprint, shingle_hashes
+from .simhash import fingerprint, links as ball_links, shingle_hashes
 
 WIDTH, LIKENESS = 5, 0.8
 #: Rows and bands of each level.
@@ -122,6 +122,15 @@ def _hopeful(pairs: DataFrame) -> DataFrame:
     return pairs.where(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= FAR).select("a", "b").distinct()
 
 
+def _in_balls(keyed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts whose fingerprints are equal or meet in balls: one text stands for each fingerprint."""
+    least = keyed.groupBy("fp").agg(F.min("h").alias("least"))
+    same = keyed.select("fp", "h").join(least, "fp").where("h != least").select(F.col("least").alias("a"), F.col("h").alias("b"))
+    first, second = (least.select(F.col("fp").alias(x), F.col("least").alias(f"h_{x}")) for x in "ab")
+    met = ball_links(least.select("fp")).join(first, "a").join(second, "b")
+    return same.union(met.select(F.col("h_a").alias("a"), F.col("h_b").alias("b")))
+
+
 def _stars(members: DataFrame) -> DataFrame:
     """Pairs of each text with the star of each of its keys: the text that meets most others."""
     met = members.drop("size", "bits").join(members.groupBy("h").agg(F.sum("n").alias("met")), "h")
@@ -198,8 +207,8 @@ def components_of(texts: DataFrame, levels: tuple = LEVELS, small: int = SMALL)
     for level, (rows, bands) in enumerate(levels):
         keyed = materialize(_keyed(todo, rows, bands), "keys")
         members = materialize(_members(keyed), "members")
+        add(_stars(members) if level else _in_balls(keyed).union(_stars(members)).distinct())
         discard(keyed)
-        add(_stars(members))
         parted = _parted(members, roots)
         last = level == len(levels) - 1
         rest = None if last else materialize(parted.where(F.col("n") > small).select("h").distinct(), "rest")
