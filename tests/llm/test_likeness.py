@@ -134,6 +134,38 @@ def test_bitmaps_leave_near_pairs_and_few_others(spark):
     assert len(short) < 1.5 * len(near) < len(texts) * len(texts) / 4
 
 
+def test_later_levels_compare_no_linked_texts_and_carry_no_bitmap_under_each_key(spark, monkeypatch):
+    """From the second level on, no compared pair lies in a component that is known, and bitmaps allow each."""
+    texts = sorted({t for _, t in near_copies(1, 150, changes=(1, 3, 6, 9, 12))})
+    sets = [shingle_set(t) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "h long, text string")
+    near, members, asked, columns = likeness_module._near, likeness_module._members, [], set()
+
+    def counted(pairs, of):
+        asked.append([(r["a"], r["b"]) for r in pairs.collect()])
+        return near(pairs, of)
+
+    def seen(keyed):
+        found = members(keyed)
+        columns.update(found.columns)
+        return found
+
+    monkeypatch.setattr(likeness_module, "_near", counted)
+    monkeypatch.setattr(likeness_module, "_members", seen)
+    components_of(df, small=3).count()
+    assert columns == {"h", "fp", "key", "n"}
+    root = list(range(len(texts)))
+    for k, pairs in enumerate(asked):
+        if k > 1:  # 0 and 1: the first level
+            assert all(root[a] != root[b] for a, b in pairs)
+            held = [(set(sets[a].tolist()), set(sets[b].tolist())) for a, b in pairs]
+            assert all(len({x % 1024 for x in one} - {x % 1024 for x in two}) <= len(one) - 8 / 18 * (len(one) + len(two)) + 1e-6 for one, two in held)
+        for a, b in pairs:
+            if likeness(sets[a], sets[b]) >= 0.8 and root[a] != root[b]:
+                root = [root[a] if x == root[b] else x for x in root]
+    assert len(asked) > 3 and 1 < len(set(root)) < len(texts)
+
+
 def test_balls_find_what_keys_miss(spark):
     """One key of 400 least values parts all different sets, so only balls link these texts."""
     texts = [t for _, t in near_copies(4, 4, words=500, changes=1)]

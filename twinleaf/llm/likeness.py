@@ -11,7 +11,8 @@ as a band has rows; texts of likeness s share a key with probability 1 - (1 - s*
 the star. Where that leaves more than one component, texts of different components are compared, all of
 them under keys of up to SMALL texts, but for pairs that bitmaps of their shingles prove to be apart. Texts under larger keys go to the next level, whose keys are
 stricter, so that they fall into smaller groups there; on the last level nothing is left out whatever
-the size. So no candidate is dropped, and copies of one original cost one comparison each.
+the size. From the second level on, stars too meet only texts of other components that bitmaps leave possible.
+So no candidate is dropped, and copies of one original cost one comparison each.
 """
 
 from __future__ import annotations
@@ -112,8 +113,8 @@ def _keyed(texts: DataFrame, rows: int, bands: int) -> DataFrame:
 
 
 def _members(keyed: DataFrame) -> DataFrame:
-    """h, fp, size, bits, key, n for keys of n texts, two at least."""
-    under = keyed.select("h", "fp", "size", "bits", F.explode("keys").alias("key"))
+    """h, fp, key, n for keys of n texts, two at least."""
+    under = keyed.select("h", "fp", F.explode("keys").alias("key"))
     return under.join(under.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
 
 
@@ -133,7 +134,7 @@ def _in_balls(keyed: DataFrame) -> DataFrame:
 
 def _stars(members: DataFrame) -> DataFrame:
     """Pairs of each text with the star of each of its keys: the text that meets most others."""
-    met = members.drop("size", "bits").join(members.groupBy("h").agg(F.sum("n").alias("met")), "h")
+    met = members.join(members.groupBy("h").agg(F.sum("n").alias("met")), "h")
     star = met.groupBy("key").agg(F.max(F.struct("met", "h", "fp")).alias("s"))
     return _hopeful(met.join(star, "key").where("h != s.h").select(F.col("s.h").alias("a"), F.col("s.fp").alias("fa"), F.col("h").alias("b"), F.col("fp").alias("fb")))
 
@@ -147,6 +148,12 @@ def _parted(members: DataFrame, roots: DataFrame) -> DataFrame:
     return marked.join(main.select("key", F.col("x.root").alias("main")), "key")
 
 
+def _with_bits(parted: DataFrame, keyed: DataFrame) -> DataFrame:
+    """parted with size and bits of its texts. They are a hundred bytes and more for each key of a text, so
+    only what is left under keys of several components carries them."""
+    return parted.join(keyed.select("h", "size", "bits"), "h")
+
+
 def _may_be_near() -> Column:
     """False where bitmaps prove that a and b are apart. A bit that only one of two sets has stands for a
     shingle at least that the other one lacks, so the sets have at most the rest in common."""
@@ -155,12 +162,26 @@ def _may_be_near() -> Column:
     return common * (1 + LIKENESS) >= (F.col("size_a") + F.col("size_b")) * LIKENESS - 1e-6
 
 
+def _side(x: str) -> list[Column]:
+    """Columns of one text of a pair, as _may_be_near and _hopeful take them."""
+    return [F.col("h").alias(x), F.col("fp").alias(f"f{x}"), F.col("size").alias(f"size_{x}"), F.col("bits").alias(f"bits_{x}")]
+
+
+def _stars_apart(parted: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Pairs that may be near of each text outside the main component of a key and the key's star, here the text
+    of the main component that meets most others. What is linked already isn't compared again."""
+    met = parted.where("root = main").join(parted.groupBy("h").agg(F.sum("n").alias("met")), "h")
+    star = met.groupBy("key").agg(F.max(F.struct("met", "h")).alias("s")).select(F.col("key").alias("_key"), F.col("s.h").alias("h"))
+    left = star.join(keyed.select("h", "fp", "size", "bits"), "h").select("_key", *_side("a"))
+    right = _with_bits(parted.where("root != main"), keyed).select("key", *_side("b"))
+    return _hopeful(right.join(left, (F.col("key") == F.col("_key")) & _may_be_near()))
+
+
 def _open(parted: DataFrame) -> DataFrame:
     """Pairs under one key of texts in different components that may be near: each text outside the main
     component with each text of another one. Pairs that can't be near never leave the join."""
-    side = lambda x: [F.col("h").alias(x), F.col("fp").alias(f"f{x}"), F.col("size").alias(f"size_{x}"), F.col("bits").alias(f"bits_{x}"), F.col("root").alias(f"r{x}")]
-    left = parted.where("root != main").select("key", *side("a"))
-    right = parted.select(F.col("key").alias("_key"), *side("b"), (F.col("root") == F.col("main")).alias("in_main"))
+    left = parted.where("root != main").select("key", *_side("a"), F.col("root").alias("ra"))
+    right = parted.select(F.col("key").alias("_key"), *_side("b"), F.col("root").alias("rb"), (F.col("root") == F.col("main")).alias("in_main"))
     return _hopeful(left.join(right, (F.col("key") == F.col("_key")) & (F.col("ra") != F.col("rb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & _may_be_near()))
 
 
@@ -207,13 +228,19 @@ def components_of(texts: DataFrame, levels: tuple = LEVELS, small: int = SMALL)
     for level, (rows, bands) in enumerate(levels):
         keyed = materialize(_keyed(todo, rows, bands), "keys")
         members = materialize(_members(keyed), "members")
-        add(_stars(members) if level else _in_balls(keyed).union(_stars(members)).distinct())
-        discard(keyed)
-        parted = _parted(members, roots)
+        if level:
+            before, members = members, materialize(_parted(members, roots), "members")
+            discard(before)
+            add(_stars_apart(members, keyed))
+        else:
+            add(_in_balls(keyed).union(_stars(members)).distinct())
+        parted = materialize(_parted(members.select("h", "fp", "key", "n"), roots), "parted")
+        discard(members)
         last = level == len(levels) - 1
         rest = None if last else materialize(parted.where(F.col("n") > small).select("h").distinct(), "rest")
-        add(_open(parted if last else parted.where(F.col("n") <= small)))
-        discard(members)
+        add(_open(_with_bits(parted if last else parted.where(F.col("n") <= small), keyed)))
+        discard(parted)
+        discard(keyed)
         if last or rest.isEmpty():
             return roots
         todo = texts.join(rest, "h", "left_semi")
