@@ -11,7 +11,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from twinleaf.llm import library_tokens
+from twinleaf.llm import library_tokens, packing
 from twinleaf.llm.bpe import PerfectHash, encode_documents, model
 from twinleaf.llm.common import Memo
 from twinleaf.llm.library_tokens import token_counts, token_ids
@@ -206,6 +206,18 @@ def test_memo_is_bounded_and_keeps_no_long_keys():
     assert len(memo.young) < 400 and len(seen) > 400
 
 
+def test_packing_alone_has_the_whole_memo(spark, monkeypatch):
+    """op8 gives its workers the whole memo, those that served the pipeline included."""
+    small = token_ids("word_bpe_49k.json", None, True, packing.MEMO_BYTES, packing.SPAN_BYTES)
+    whole = token_ids("word_bpe_49k.json", None, True, Memo.BYTES, None)
+    assert whole.memo.limit == Memo.BYTES > small.memo.limit == packing.MEMO_BYTES and whole.span_bytes is None
+    asked = {}
+    monkeypatch.setattr(packing, "documents", lambda *_: documents(spark))
+    monkeypatch.setattr(packing, "pack_documents", lambda docs, **options: asked.update(options) or docs)
+    packing.op8_packing(spark, "")
+    assert asked == {"memo_bytes": Memo.BYTES, "span_bytes": None}
+
+
 def test_a_worker_holds_one_model():
     first = token_ids("byte_bpe_50k.json")
     assert token_ids("byte_bpe_50k.json") is first

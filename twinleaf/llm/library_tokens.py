@@ -242,4 +242,4 @@ def token_counts(file: str, folder: str | None = None) -> Counts:
 
 def token_ids(file: str, folder: str | None = None, drops_space: bool = False, memo_bytes: int = Memo.BYTES, span_bytes: int | None = None) -> Ids:
     """This worker's ids by a tokenizer file."""
-    return worker_model(("ids", file, folder, drops_space), lambda: Ids(Library(file, folder, drops_space), memo_bytes, span_bytes))
+    return worker_model(("ids", file, folder, drops_space, memo_bytes, span_bytes), lambda: Ids(Library(file, folder, drops_space), memo_bytes, span_bytes))

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, documents, text_batches
+from .common import Memo, bound_batches, documents, text_batches
 from .library_tokens import token_ids
 
 
@@ -66,6 +66,8 @@ def pack_documents(
     text_col: str = "text",
     folder: str | None = None,
     with_ids: bool = False,
+    memo_bytes: int = MEMO_BYTES,
+    span_bytes: int | None = SPAN_BYTES,
 ) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and with
     with_ids the piece's ids as little-endian unsigned 32-bit integers.
@@ -73,12 +75,13 @@ def pack_documents(
     A document is its ids and end_id. Only documents longer than capacity are cut, into pieces of
     capacity tokens and a shorter last one; any piece may share a sequence. Null and empty texts are
     a piece with end_id alone. Repeated rows are documents of their own. sequence_id holds the
-    partition above 32 bits of a number within it; a partition that is computed again gets the same."""
+    partition above 32 bits of a number within it; a partition that is computed again gets the same.
+    memo_bytes and span_bytes bound what a worker holds, and change only the time that it takes."""
     bound_batches(docs.sparkSession)
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
     def pack(rows):
-        model, bins = token_ids(file, folder, True, MEMO_BYTES, SPAN_BYTES), BestFit(capacity, max_open)
+        model, bins = token_ids(file, folder, True, memo_bytes, span_bytes), BestFit(capacity, max_open)
         base, end = TaskContext.get().partitionId() << 32, end_id.to_bytes(4, "little")
         for doc_ids, texts in text_batches(rows, ["doc_id"]):
             out, kept = [], []
@@ -97,5 +100,5 @@ def pack_documents(
 
 
 def op8_packing(spark, sf_dir: str) -> DataFrame:
-    """All documents in sequences of 2048 tokens."""
-    return pack_documents(documents(spark, sf_dir))
+    """All documents in sequences of 2048 tokens. Alone, packing has room for the whole memo."""
+    return pack_documents(documents(spark, sf_dir), memo_bytes=Memo.BYTES, span_bytes=None)
