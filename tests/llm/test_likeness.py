@@ -166,6 +166,31 @@ def test_later_levels_compare_no_linked_texts_and_carry_no_bitmap_under_each_key
     assert len(asked) > 3 and 1 < len(set(root)) < len(texts)
 
 
+def test_keys_and_texts_meet_once_on_later_levels(spark, monkeypatch):
+    r = random.Random(5)
+    keys = {h: r.sample(range(25), 4) for h in range(60)}
+    root = {h: h if h % 3 else min(h, 9 * (h // 20)) for h in keys}
+    links = [(h, root[h]) for h in keys if root[h] != h]
+    met = {h: sum(h in pair for pair in links) for h in keys}
+    want = set()
+    for key in range(25):
+        under = [h for h in keys if key in keys[h]]
+        if len({root[h] for h in under}) > 1:
+            main = max({root[h] for h in under}, key=lambda x: (sum(root[h] == x for h in under), x))
+            star = max((met[h], h) for h in under if root[h] == main)[1]
+            want |= {(h, -h, key, len(under), root[h], main, star) for h in under}
+    keyed = spark.createDataFrame([(h, -h, ks) for h, ks in keys.items()], "h long, fp long, keys array<long>")
+    roots = spark.createDataFrame([(h, x) for h, x in root.items() if x != h or h in root.values() and met[h]], "node long, root long")
+    got = likeness_module._parted_at_once(keyed, roots, spark.createDataFrame(links, "a long, b long"))
+    assert {tuple(x) for x in got.select("h", "fp", "key", "n", "root", "main", "star").collect()} == want and len(want) > 50
+
+    members, calls = likeness_module._members, []
+    monkeypatch.setattr(likeness_module, "_members", lambda keyed: calls.append(1) or members(keyed))
+    texts = [t for _, t in near_copies(1, 40, changes=(1, 6, 12))]
+    components_of(spark.createDataFrame(list(enumerate(texts)), "h long, text string"), small=1).count()
+    assert len(calls) == 1
+
+
 def test_balls_find_what_keys_miss(spark):
     """One key of 400 least values parts all different sets, so only balls link these texts."""
     texts = [t for _, t in near_copies(4, 4, words=500, changes=1)]

@@ -139,10 +139,15 @@ def _stars(members: DataFrame) -> DataFrame:
     return _hopeful(met.join(star, "key").where("h != s.h").select(F.col("s.h").alias("a"), F.col("s.fp").alias("fa"), F.col("h").alias("b"), F.col("fp").alias("fb")))
 
 
+def _rooted(rows: DataFrame, roots: DataFrame, of: str = "h", root: str = "root") -> DataFrame:
+    """rows with the root of the text in column `of`."""
+    return rows.join(roots.select(F.col("node").alias(of), F.col("root").alias(root)), of, "left").withColumn(root, F.coalesce(root, of))
+
+
 def _parted(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Members of keys whose texts are in several components: their columns, root, main (the component with
     most texts under the key)."""
-    marked = members.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").withColumn("root", F.coalesce("root", "h"))
+    marked = _rooted(members, roots)
     counted = marked.groupBy("key", "root").agg(F.count("*").alias("m"))
     main = counted.groupBy("key").agg(F.max(F.struct("m", "root")).alias("x"), F.count("*").alias("r")).where("r > 1")
     return marked.join(main.select("key", F.col("x.root").alias("main")), "key")
@@ -167,14 +172,22 @@ def _side(x: str) -> list[Column]:
     return [F.col("h").alias(x), F.col("fp").alias(f"f{x}"), F.col("size").alias(f"size_{x}"), F.col("bits").alias(f"bits_{x}")]
 
 
+def _parted_at_once(keyed: DataFrame, roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The columns of _members and _parted, and star, the text of main with most links. Texts get their roots
+    before their keys are listed, so that keys and texts meet once."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count("*").alias("met"))
+    rooted = _rooted(keyed.select("h", "fp", "keys"), roots).join(ends, "h", "left")
+    under = rooted.select("h", "fp", "root", F.coalesce("met", F.lit(0)).alias("met"), F.explode("keys").alias("key"))
+    counted = under.groupBy("key", "root").agg(F.count("*").alias("m"), F.max(F.struct("met", "h")).alias("s"))
+    main = counted.groupBy("key").agg(F.max(F.struct("m", "root", "s")).alias("x"), F.sum("m").alias("n"), F.count("*").alias("r")).where("r > 1")
+    return under.drop("met").join(main.select("key", "n", F.col("x.root").alias("main"), F.col("x.s.h").alias("star")), "key")
+
+
 def _stars_apart(parted: DataFrame, keyed: DataFrame) -> DataFrame:
-    """Pairs that may be near of each text outside the main component of a key and the key's star, here the text
-    of the main component that meets most others. What is linked already isn't compared again."""
-    met = parted.where("root = main").join(parted.groupBy("h").agg(F.sum("n").alias("met")), "h")
-    star = met.groupBy("key").agg(F.max(F.struct("met", "h")).alias("s")).select(F.col("key").alias("_key"), F.col("s.h").alias("h"))
-    left = star.join(keyed.select("h", "fp", "size", "bits"), "h").select("_key", *_side("a"))
-    right = _with_bits(parted.where("root != main"), keyed).select("key", *_side("b"))
-    return _hopeful(right.join(left, (F.col("key") == F.col("_key")) & _may_be_near()))
+    """Pairs that may be near of each text outside the main component of a key and the key's star. What is
+    linked already isn't compared again."""
+    pairs = parted.where("root != main").select(F.col("star").alias("a"), F.col("h").alias("b")).distinct()
+    return _hopeful(pairs.join(keyed.select(*_side("a")), "a").join(keyed.select(*_side("b")), "b").where(_may_be_near()))
 
 
 def _open(parted: DataFrame) -> DataFrame:
@@ -213,31 +226,37 @@ def components_of(texts: DataFrame, levels: tuple = LEVELS, small: int = SMALL)
     links reach."""
     links, roots = None, None
 
-    def add(pairs: DataFrame) -> None:
+    def add(pairs: DataFrame) -> bool:
+        """Whether the pairs give any link."""
         nonlocal links, roots
         pairs = materialize(pairs, "pairs")
         found = materialize(_near(pairs, texts), "links")
         discard(pairs)
-        if links is not None and not found.isEmpty():
+        any_found = not found.isEmpty()
+        if links is not None and any_found:
             found = materialize(links.union(found), "links")
-        if links is None or not found.isEmpty():
+        if links is None or any_found:
             links = found
             roots = connected_components(links)
+        return any_found
 
     todo = texts
     for level, (rows, bands) in enumerate(levels):
         keyed = materialize(_keyed(todo, rows, bands), "keys")
-        members = materialize(_members(keyed), "members")
         if level:
-            before, members = members, materialize(_parted(members, roots), "members")
-            discard(before)
-            add(_stars_apart(members, keyed))
+            parted = materialize(_parted_at_once(keyed, roots, links), "parted")
+            if add(_stars_apart(parted, keyed)):
+                before, now = parted, parted.select("h", "fp", "key", "n", F.col("main").alias("_main"))
+                parted = materialize(_rooted(_rooted(now, roots), roots, "_main", "main"), "parted")
+                discard(before)
         else:
+            members = materialize(_members(keyed), "members")
             add(_in_balls(keyed).union(_stars(members)).distinct())
-        parted = materialize(_parted(members.select("h", "fp", "key", "n"), roots), "parted")
-        discard(members)
+            parted = materialize(_parted(members, roots), "parted")
+            discard(members)
         last = level == len(levels) - 1
-        rest = None if last else materialize(parted.where(F.col("n") > small).select("h").distinct(), "rest")
+        large = parted.where(F.col("n") > small)
+        rest = None if last else materialize(large.join(large.where("root != main").select("key").distinct(), "key", "left_semi").select("h").distinct(), "rest")
         add(_open(_with_bits(parted if last else parted.where(F.col("n") <= small), keyed)))
         discard(parted)
         discard(keyed)
