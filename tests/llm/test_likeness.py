@@ -191,6 +191,33 @@ def test_keys_and_texts_meet_once_on_later_levels(spark, monkeypatch):
     assert len(calls) == 1
 
 
+@pytest.mark.parametrize("changes, small, levels", [((1,) * 9 + (4,), 64, 1), ((1, 4), 4, 2)])
+def test_keys_with_few_texts_outside_their_main_component_list_no_more_keys(spark, monkeypatch, changes, small, levels):
+    """One large group and some texts just below 0.8 to it: the keys are large, but what is outside is soon compared."""
+    texts = sorted({t for _, t in near_copies(1, 150, changes=changes)})
+    keyed, parted, listed, sizes = likeness_module._keyed, likeness_module._parted, [], []
+
+    def counted(todo, rows, bands):
+        listed.append(todo.count())
+        return keyed(todo, rows, bands)
+
+    def seen(members, roots):
+        found = parted(members, roots)
+        for key, under in {k: [r for r in rows if r["key"] == k] for rows in [found.collect()] for k in {r["key"] for r in rows}}.items():
+            outside = sum(r["root"] != r["main"] for r in under)
+            assert {(r["n"], r["outside"]) for r in under} == {(len(under), outside)} and outside, key
+            sizes.append(len(under))
+        return found
+
+    monkeypatch.setattr(likeness_module, "_keyed", counted)
+    monkeypatch.setattr(likeness_module, "_parted", seen)
+    found = {}
+    for r in components_of(spark.createDataFrame(list(enumerate(texts)), "h long, text string"), small=small).collect():
+        found.setdefault(r["root"], set()).add(texts[r["node"]])
+    assert sorted(map(sorted, found.values())) == sorted(sorted(g) for g in groups(texts) if len(g) > 1)
+    assert max(sizes) > 64 and len(listed) == levels and len(texts) > 100
+
+
 def test_balls_find_what_keys_miss(spark):
     """One key of 400 least values parts all different sets, so only balls link these texts."""
     texts = [t for _, t in near_copies(4, 4, words=500, changes=1)]

@@ -8,10 +8,11 @@ distance of fingerprints throws out those of them that can't be near, and the sh
 A text has a key for each band, made of the least values of its shingles under as many hash functions
 as a band has rows; texts of likeness s share a key with probability 1 - (1 - s**rows)**bands, which is
 0.99997 at 0.8 on each of LEVELS. Under one key, each text is compared with the one that meets most others,
-the star. Where that leaves more than one component, texts of different components are compared, all of
-them under keys of up to SMALL texts, but for pairs that bitmaps of their shingles prove to be apart. Texts under larger keys go to the next level, whose keys are
-stricter, so that they fall into smaller groups there; on the last level nothing is left out whatever
-the size. From the second level on, stars too meet only texts of other components that bitmaps leave possible.
+the star. Where that leaves more than one component, each text outside the largest one, the main component, is
+compared with all texts of other components, but for pairs that bitmaps of their shingles prove to be apart.
+Where more texts are outside than the next level has bands (SMALL), that would be more looks at pairs than the
+key's texts have keys to list there; they go to that level, whose keys are stricter, so that they fall into smaller groups. On the
+last level nothing is left out whatever the size. From the second level on, stars too meet only texts of other components that bitmaps leave possible.
 So no candidate is dropped, and copies of one original cost one comparison each.
 """
 
@@ -29,7 +30,8 @@ from .simhash import fingerprint, links as ball_links, shingle_hashes
 WIDTH, LIKENESS = 5, 0.8
 #: Rows and bands of each level.
 LEVELS = ((4, 20), (8, 64), (16, 400))
-#: Keys of up to so many texts are compared in full on each level.
+#: Keys with up to so many texts outside their main component are compared in full on the first level; on the next
+#: ones as many more as the level after has more bands (64, then 400).
 SMALL = 64
 #: Texts of likeness 0.8 have fingerprints that differ in more bits with probability 0.000002.
 FAR = 24
@@ -146,11 +148,11 @@ def _rooted(rows: DataFrame, roots: DataFrame, of: str = "h", root: str = "root"
 
 def _parted(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Members of keys whose texts are in several components: their columns, root, main (the component with
-    most texts under the key)."""
+    most texts under the key), outside (how many texts under the key are in other ones)."""
     marked = _rooted(members, roots)
     counted = marked.groupBy("key", "root").agg(F.count("*").alias("m"))
     main = counted.groupBy("key").agg(F.max(F.struct("m", "root")).alias("x"), F.count("*").alias("r")).where("r > 1")
-    return marked.join(main.select("key", F.col("x.root").alias("main")), "key")
+    return marked.join(main.select("key", F.col("x.root").alias("main"), F.col("x.m").alias("m")), "key").withColumn("outside", F.col("n") - F.col("m")).drop("m")
 
 
 def _with_bits(parted: DataFrame, keyed: DataFrame) -> DataFrame:
@@ -162,14 +164,16 @@ def _with_bits(parted: DataFrame, keyed: DataFrame) -> DataFrame:
 def _may_be_near() -> Column:
     """False where bitmaps prove that a and b are apart. A bit that only one of two sets has stands for a
     shingle at least that the other one lacks, so the sets have at most the rest in common."""
-    lacks = lambda x, y: sum(F.bit_count(F.col(f"bits_{x}")[i].bitwiseAND(F.bitwise_not(F.col(f"bits_{y}")[i]))) for i in range(WORDS))
-    common = F.least(F.col("size_a") - lacks("a", "b"), F.col("size_b") - lacks("b", "a"))
+    both = sum(F.bit_count(F.col("bits_a")[i].bitwiseAND(F.col("bits_b")[i])) for i in range(WORDS))
+    common = F.least(F.col("over_a"), F.col("over_b")) + both
     return common * (1 + LIKENESS) >= (F.col("size_a") + F.col("size_b")) * LIKENESS - 1e-6
 
 
 def _side(x: str) -> list[Column]:
-    """Columns of one text of a pair, as _may_be_near and _hopeful take them."""
-    return [F.col("h").alias(x), F.col("fp").alias(f"f{x}"), F.col("size").alias(f"size_{x}"), F.col("bits").alias(f"bits_{x}")]
+    """Columns of one text of a pair, as _may_be_near and _hopeful take them; over: its shingles beyond one for each
+    of its bits."""
+    over = F.col("size") - sum(F.bit_count(F.col("bits")[i]) for i in range(WORDS))
+    return [F.col("h").alias(x), F.col("fp").alias(f"f{x}"), F.col("size").alias(f"size_{x}"), F.col("bits").alias(f"bits_{x}"), over.alias(f"over_{x}")]
 
 
 def _parted_at_once(keyed: DataFrame, roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -180,7 +184,8 @@ def _parted_at_once(keyed: DataFrame, roots: DataFrame, links: DataFrame) -> Dat
     under = rooted.select("h", "fp", "root", F.coalesce("met", F.lit(0)).alias("met"), F.explode("keys").alias("key"))
     counted = under.groupBy("key", "root").agg(F.count("*").alias("m"), F.max(F.struct("met", "h")).alias("s"))
     main = counted.groupBy("key").agg(F.max(F.struct("m", "root", "s")).alias("x"), F.sum("m").alias("n"), F.count("*").alias("r")).where("r > 1")
-    return under.drop("met").join(main.select("key", "n", F.col("x.root").alias("main"), F.col("x.s.h").alias("star")), "key")
+    outside = (F.col("n") - F.col("x.m")).alias("outside")
+    return under.drop("met").join(main.select("key", "n", outside, F.col("x.root").alias("main"), F.col("x.s.h").alias("star")), "key")
 
 
 def _stars_apart(parted: DataFrame, keyed: DataFrame) -> DataFrame:
@@ -246,7 +251,7 @@ def components_of(texts: DataFrame, levels: tuple = LEVELS, small: int = SMALL)
         if level:
             parted = materialize(_parted_at_once(keyed, roots, links), "parted")
             if add(_stars_apart(parted, keyed)):
-                before, now = parted, parted.select("h", "fp", "key", "n", F.col("main").alias("_main"))
+                before, now = parted, parted.select("h", "fp", "key", "n", "outside", F.col("main").alias("_main"))
                 parted = materialize(_rooted(_rooted(now, roots), roots, "_main", "main"), "parted")
                 discard(before)
         else:
@@ -255,9 +260,11 @@ def components_of(texts: DataFrame, levels: tuple = LEVELS, small: int = SMALL)
             parted = materialize(_parted(members, roots), "parted")
             discard(members)
         last = level == len(levels) - 1
-        large = parted.where(F.col("n") > small)
+        # no more looks at pairs under a key than rows that its texts would list on the next level
+        closed = F.lit(True) if last else F.col("outside") <= small * levels[level + 1][1] // levels[1][1]
+        large = parted.where(~closed)
         rest = None if last else materialize(large.join(large.where("root != main").select("key").distinct(), "key", "left_semi").select("h").distinct(), "rest")
-        add(_open(_with_bits(parted if last else parted.where(F.col("n") <= small), keyed)))
+        add(_open(_with_bits(parted.where(closed), keyed)))
         discard(parted)
         discard(keyed)
         if last or rest.isEmpty():
