@@ -164,13 +164,19 @@ def _searchable(text: Column, surface: Column) -> Column:
     return out
 
 
-_WORDS = r"(?U)[\p{L}\p{N}_]+"
+# no other numbers, such as superscripts: a term's pattern may end before one
+_WORDS = r"(?U)[\p{L}\p{Nd}\p{Nl}_]+"
+
+
+def _low(text: Column) -> Column:
+    """Lower case, with the two letters folded that only a pattern takes for others."""
+    return F.replace(F.replace(F.lower(text), F.lit("ſ"), F.lit("s")), F.lit("ς"), F.lit("σ"))
 
 
 def form_key(form: Column) -> Column:
     """What a text must hold for a form to occur in it: the form's first word, or its first character where
     it has no word."""
-    low = F.lower(strip(form))
+    low = _low(strip(form))
     word = F.regexp_extract(low, _WORDS, 0)
     return F.when(word != "", word).otherwise(F.concat(F.lit("\x00"), F.substring(low, 1, 1)))
 
@@ -178,9 +184,9 @@ def form_key(form: Column) -> Column:
 def text_keys(text: Column) -> Column:
     """The keys that a text holds: its words, and what they are without the endings that a term's pattern
     allows; other characters."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_WORDS), F.lit(0)))
+    words = F.array_distinct(F.regexp_extract_all(_low(text), F.lit(_WORDS), F.lit(0)))
     stems = F.flatten(F.transform(words, lambda w: F.array(w, *[F.regexp_replace(w, f"{e}$", "") for e in ("s", "es", "d", "ing")])))
-    marks = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[^\p{L}\p{N}_\s]"), F.lit(0)))
+    marks = F.array_distinct(F.regexp_extract_all(_low(text), F.lit(r"(?U)[^\p{L}\p{Nd}\p{Nl}_\s]"), F.lit(0)))
     return F.array_union(F.array_distinct(stems), F.transform(marks, lambda c: F.concat(F.lit("\x00"), c)))
 
 
