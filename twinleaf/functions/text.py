@@ -13,6 +13,7 @@ NUMBER = r"(?i)(?<![A-Za-z0-9_-])\p{Nd}+(?:[.,]\p{Nd}+)*(?=\z|-(?:a|per)-|[.,](?
 FOOTNOTE = r"\[\p{Nd}+\]"
 LINK_TARGET = r"\]\(([^)]+)\)"
 WORD = r"[A-Za-z]+(?:['’-][A-Za-z]+)?"
+WORD_CHARACTER = r"[A-Za-z'’-]"
 CJK = r"[\u3400-\u9fff]"
 FOREIGN = r"[\u0370-\u03ff\u1f00-\u1fff]|[\u0400-\u052f]|[\u3040-\u30ff]|\ufffd"
 LIST_ITEM = rf"(?md)^{WS}*(?:[-*+]|\p{{Nd}}+[.)]){WS}+"
@@ -69,7 +70,7 @@ def bag_minus(a: Column, b: Column) -> Column:
     """Distinct elements of a with how many more a has than b, where more, in their order: both are
     sorted together once, and the runs of equal elements are compared."""
     tagged = lambda xs, mine: F.transform(xs, lambda x: F.struct(x.alias("x"), F.lit(mine).alias("mine")))
-    items = F.array_sort(F.concat(tagged(a, True), tagged(b, False)))  # false before true
+    items = F.sort_array(F.concat(tagged(a, True), tagged(b, False)))  # false before true; array_sort would interpret a comparison
 
     def runs(s: Column) -> Column:
         places = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
